@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from dockpulse.functions.casting import delivery_key, to_number, to_time
 from dockpulse.functions.timing import join_date_and_time, time_of_day
 from dockpulse.operators.headers import standardize_columns
+from dockpulse.schemas import present
 
 # Columns cleaned by the two presets.
 SCAN_NUMBERS = ("serial_number", "pallet", "delivery", "qty")
@@ -57,7 +58,7 @@ def normalize_delivery(
     """Delivery numbers as text keys; rows without a readable number are dropped."""
     kind = df.schema["delivery"].dataType
     keyed = df.withColumn("delivery", delivery_key(F.col("delivery"), kind, null_key_as_zero))
-    return keyed.dropna(subset=["delivery"]) if drop_missing else keyed
+    return present(keyed, "delivery") if drop_missing else keyed
 
 
 def with_scan_timestamp(df: DataFrame) -> DataFrame:

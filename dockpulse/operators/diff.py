@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dockpulse.functions.records import record_json
 from dockpulse.functions.timing import at
-from dockpulse.schemas import ONE_ROW_PER_KEY, SECTION_KEYS
+from dockpulse.schemas import SECTION_KEYS
 
-_KEY = "__key"
+_KEY, _NOW, _BEFORE = "__key", "__now", "__before"
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
+_NOTES = ("op", "changed_column", "previous_value")
+
+
+def _nothing() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,71 +39,114 @@ def removed_rows(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -
     return added_rows(previous, current, keys)
 
 
-def _one_per_key(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str, unique: bool
-) -> DataFrame:
+def _packed(df: DataFrame, keys: Sequence[str], name: str, unique: bool) -> DataFrame:
+    """Key and remaining columns as structs, one row per key: the lowest if there are several."""
+    values = [c for c in df.columns if c not in keys]
     packed = df.select(F.struct(*keys).alias(_KEY), F.struct(*values).alias(name))
     return packed if unique else packed.groupBy(_KEY).agg(F.min(name).alias(name))
 
 
+def _compared(
+    current: DataFrame, previous: DataFrame, keys: Sequence[str], ignore: Sequence[str]
+) -> list[str]:
+    return [
+        c
+        for c in current.columns
+        if c not in keys and c not in ignore and c in previous.columns
+    ]
+
+
+def _first_difference(matched: DataFrame, compared: Sequence[str]) -> DataFrame:
+    """Add the first differing column in column order and its previous value as text. The value
+    follows the column's name: it may be null itself."""
+
+    def differs(name: str) -> Column:
+        return ~F.col(f"{_NOW}.{name}").eqNullSafe(F.col(f"{_BEFORE}.{name}"))
+
+    column = F.coalesce(_nothing(), *[F.when(differs(c), F.lit(c)) for c in compared])
+    value = _nothing()
+    for c in compared:
+        before = F.col(f"{_BEFORE}.{c}").cast("string")
+        value = F.when(F.col("changed_column") == c, before).otherwise(value)
+    return matched.withColumn("changed_column", column).withColumn("previous_value", value)
+
+
 def changed_rows(
     current: DataFrame,
     previous: DataFrame,
     keys: Sequence[str],
     ignore: Sequence[str] = (),
-    unique: bool = False,
 ) -> DataFrame:
-    """Common keys with a differing value: the current row, the first differing column in column
-    order and its previous value as text. Of several rows with one key the lowest is compared."""
-    values = [c for c in current.columns if c not in keys]
-    compared = [c for c in values if c not in ignore and c in previous.columns]
-    if not compared:
-        return current.limit(0).withColumns(
-            {"changed_column": F.lit(None).cast("string"), "previous_value": F.lit(None).cast("string")}
-        )
-    now = _one_per_key(current, keys, values, "__now", unique)
-    before = _one_per_key(
-        previous, keys, [c for c in values if c in previous.columns], "__before", unique
-    )
-    both = now.join(before, _KEY, "inner")
-
-    def first_difference(result) -> Column:
-        return F.coalesce(
-            *[
-                F.when(~F.col(f"__now.{c}").eqNullSafe(F.col(f"__before.{c}")), result(c))
-                for c in compared
-            ]
-        )
-
-    column = first_difference(F.lit)
-    # a missing previous value must not fall through to the next differing column
-    value = reduce(
-        lambda expr, c: expr.when(
-            F.col("changed_column") == c, F.col(f"__before.{c}").cast("string")
-        ),
-        compared[1:],
-        F.when(F.col("changed_column") == compared[0], F.col(f"__before.{compared[0]}").cast("string")),
+    """Common keys with a differing value: current row, first differing column, previous value."""
+    matched = _packed(current, keys, _NOW, False).join(
+        _packed(previous, keys, _BEFORE, False), _KEY, "inner"
     )
-    differing = both.withColumn("changed_column", column).filter(
-        F.col("changed_column").isNotNull()
-    )
-    return differing.select(
-        *[F.col(f"{_KEY}.{c}" if c in keys else f"__now.{c}").alias(c) for c in current.columns],
+    noted = _first_difference(matched, _compared(current, previous, keys, ignore))
+    return noted.filter(F.col("changed_column").isNotNull()).select(
+        *[F.col(f"{_KEY if c in keys else _NOW}.{c}").alias(c) for c in current.columns],
         "changed_column",
-        value.alias("previous_value"),
+        "previous_value",
     )
 
 
-def _feed(df: DataFrame, section: str, op: str, keys: Sequence[str] | None) -> DataFrame:
-    nothing = F.lit(None).cast("string")
-    record = [c for c in df.columns if c not in ("changed_column", "previous_value")]
-    return df.select(
-        F.lit(section).alias("section"),
-        F.lit(op).alias("op"),
-        (record_json(df, keys) if keys else nothing).alias("key"),
-        (F.col("changed_column") if op == CHANGED else nothing).alias("changed_column"),
-        (F.col("previous_value") if op == CHANGED else nothing).alias("previous_value"),
-        record_json(df, record).alias("record"),
+def _noted(df: DataFrame, op: str) -> DataFrame:
+    missing = [c for c in ("changed_column", "previous_value") if c not in df.columns]
+    return df.withColumns({"op": F.lit(op), **{c: _nothing() for c in missing}})
+
+
+def _any_rows(
+    current: DataFrame, previous: DataFrame, keys: Sequence[str], ignore: Sequence[str]
+) -> DataFrame:
+    """Differences of tables that may repeat a key. Anti-joins keep every duplicate, and adaptive
+    skew handling can split their large side."""
+    parts = [
+        _noted(added_rows(current, previous, keys), ADDED),
+        _noted(removed_rows(current, previous, keys), REMOVED),
+    ]
+    if _compared(current, previous, keys, ignore):
+        parts.append(_noted(changed_rows(current, previous, keys, ignore), CHANGED))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _unique_rows(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Differences of tables without duplicates, keyed by all columns: one hash aggregation over
+    both, no join and no sort."""
+    names = current.columns
+    both = current.withColumn("__side", F.lit(1)).unionByName(
+        previous.select(*names).withColumn("__side", F.lit(-1))
+    )
+    side = both.groupBy(*names).agg(F.sum("__side").alias("__side"))
+    op = F.when(F.col("__side") > 0, ADDED).otherwise(REMOVED)
+    noted = side.filter(F.col("__side") != 0).withColumn("op", op).drop("__side")
+    return noted.withColumns({c: _nothing() for c in _NOTES[1:]})
+
+
+def _unique_keys(
+    current: DataFrame, previous: DataFrame, keys: Sequence[str], ignore: Sequence[str]
+) -> DataFrame:
+    """Differences of tables with one row per key: one outer join."""
+    matched = _packed(current, keys, _NOW, True).join(
+        _packed(previous, keys, _BEFORE, True), _KEY, "full_outer"
+    )
+    now, before = F.col(_NOW), F.col(_BEFORE)
+    noted = _first_difference(matched, _compared(current, previous, keys, ignore))
+    common = now.isNotNull() & before.isNotNull()
+    column = F.when(common, F.col("changed_column"))
+    op = F.when(before.isNull(), ADDED).when(now.isNull(), REMOVED).otherwise(CHANGED)
+
+    def value(name: str) -> Column:
+        if name in keys:
+            return F.col(f"{_KEY}.{name}")
+        if name not in previous.columns:
+            return F.col(f"{_NOW}.{name}")
+        # not coalesce: a null in the current row must stay null
+        return F.when(now.isNull(), F.col(f"{_BEFORE}.{name}")).otherwise(F.col(f"{_NOW}.{name}"))
+
+    return noted.filter(~common | column.isNotNull()).select(
+        *[value(c).alias(c) for c in current.columns],
+        op.alias("op"),
+        column.alias("changed_column"),
+        F.when(common, F.col("previous_value")).alias("previous_value"),
     )
 
 
@@ -110,19 +158,28 @@ def diff_section(
     ignore: Sequence[str] = (),
     unique: bool = False,
 ) -> DataFrame:
-    """Added, removed and changed rows of one section. Without keys every column is the key, and
-    no row can count as changed. Without a previous snapshot every row is added."""
+    """Added, removed and changed rows of one section as feed rows.
+
+    Without keys every column is the key, and no row can count as changed. Without a previous
+    snapshot every row is added. ``unique`` promises one row per key on both sides and takes a
+    shorter plan with the same result.
+    """
     if previous is None:
-        return _feed(current, section, ADDED, keys)
-    columns = list(keys) if keys else current.columns
-    parts = [
-        _feed(added_rows(current, previous, columns), section, ADDED, keys),
-        _feed(removed_rows(current, previous, columns), section, REMOVED, keys),
-    ]
-    if keys:
-        changed = changed_rows(current, previous, columns, ignore, unique)
-        parts.append(_feed(changed, section, CHANGED, keys))
-    return reduce(DataFrame.unionByName, parts)
+        rows = _noted(current, ADDED)
+    elif not unique:
+        rows = _any_rows(current, previous, keys or current.columns, ignore)
+    elif keys:
+        rows = _unique_keys(current, previous, keys, ignore)
+    else:
+        rows = _unique_rows(current, previous)
+    return rows.select(
+        F.lit(section).alias("section"),
+        "op",
+        (record_json(rows, keys) if keys else _nothing()).alias("key"),
+        "changed_column",
+        "previous_value",
+        record_json(rows, current.columns).alias("record"),
+    )
 
 
 def change_feed(
@@ -130,8 +187,14 @@ def change_feed(
     previous: Mapping[str, DataFrame] | None,
     as_of: datetime | str,
     ignore: Sequence[str] = (),
+    unique: bool = False,
 ) -> DataFrame:
-    """All sections as one flat feed. A section the previous snapshot lacks counts as added."""
+    """All sections as one flat feed. A section the previous snapshot lacks counts as added.
+
+    Idle minutes grow with every run and make nearly every user count as changed; ``ignore``
+    leaves such columns out of the comparison. Sections built from deduplicated serials have one
+    row per key, so ``unique`` may be set for them.
+    """
     parts = [
         diff_section(
             name,
@@ -139,7 +202,7 @@ def change_feed(
             previous.get(name) if previous else None,
             SECTION_KEYS.get(name),
             ignore,
-            name in ONE_ROW_PER_KEY,
+            unique,
         )
         for name, df in current.items()
     ]

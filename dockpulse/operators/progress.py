@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from dockpulse.functions.labels import card_band, card_percent, percent_of
+from dockpulse.params import SHIPPED
+from dockpulse.schemas import present
 
 
 def delivery_packages(df: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def progress(df: DataFrame) -> DataFrame:
     gives two rows per user.
     """
     counts = (
-        df.dropna(subset=["delivery", "created_by"])
+        present(df, "delivery", "created_by")
         .groupBy("delivery", "created_by")
         .agg(F.count(F.lit(1)).alias("scanned_count"))
     )
@@ -61,10 +63,10 @@ def progress_cards(section: DataFrame) -> DataFrame:
 def delivery_status(df: DataFrame) -> DataFrame:
     """Serials and shipped serials per delivery."""
     return (
-        df.dropna(subset=["delivery"])
+        present(df, "delivery")
         .groupBy("delivery")
         .agg(
             F.count("serial_number").alias("total_serials"),
-            F.count_if(F.col("status") == "SHP").alias("shipped_serials"),
+            F.count_if(F.col("status") == SHIPPED).alias("shipped_serials"),
         )
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dockpulse.functions.timing import at, duration_label, minutes_between
 from dockpulse.operators.ranking import ranked
+from dockpulse.schemas import present
 
 # Splits each user over this many groups while only the two latest times are looked for.
 _SPLITS = 32
@@ -35,7 +36,7 @@ def _two_latest_times(df: DataFrame) -> DataFrame:
 
 def scan_times(df: DataFrame, as_of: datetime | str) -> DataFrame:
     """Latest scan per user, the latest one strictly before it, and the gap between them."""
-    valid = df.dropna(subset=["scan_timestamp", "created_by"]).select(
+    valid = present(df, "scan_timestamp", "created_by").select(
         "created_by", "scan_timestamp", "serial_number", "status"
     )
     window = Window.partitionBy("created_by").orderBy(F.desc("scan_timestamp"))
@@ -74,7 +75,7 @@ def scan_gap_labels(section: DataFrame) -> DataFrame:
 def latest_two_scans(df: DataFrame) -> DataFrame:
     """The two most recent scan rows of each user side by side; unlike ``scan_times`` the two
     may have the same time."""
-    valid = df.dropna(subset=["scan_timestamp", "created_by"]).select(
+    valid = present(df, "scan_timestamp", "created_by").select(
         "created_by", "scan_timestamp", "serial_number", "status"
     )
     order = [F.desc("scan_timestamp"), F.asc("serial_number")]

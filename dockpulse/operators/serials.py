@@ -2,41 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from dockpulse.functions.labels import describe_status
 from dockpulse.operators.ranking import top_rows
 from dockpulse.params import SHIPPED, STATUS_DESCRIPTIONS
-from dockpulse.schemas import SCANS_REQUIRED, SECTIONS, require
-
-_ORDER_FIRST = ("scan_timestamp", "created_by")
-
-
-def _sortable(kind: T.DataType) -> bool:
-    return not isinstance(kind, (T.MapType, T.VariantType))
-
-
-def dedup_serials(combined: DataFrame) -> DataFrame:
+from dockpulse.schemas import SCANS_REQUIRED, SECTIONS, present, require
+
+# The metrics need no other columns. They also come first in the order of preference, so the
+# deduplication of these columns alone picks the same values as that of the whole table.
+CORE_COLUMNS = (
+    "serial_number",
+    "scan_timestamp",
+    "created_by",
+    "delivery",
+    "number_of_packages",
+    "status",
+    "name",
+)
+
+
+def dedup_serials(combined: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Keep one row per serial number, across deliveries; a shipped row wins over any other.
 
-    Among equals the latest scan wins, then the lowest user, then the lowest of the remaining
-    columns, so the choice does not depend on how the input is partitioned.
+    Among equals the latest scan wins, then the lowest user, delivery, package count and so on
+    over all columns, so the choice does not depend on how the input is partitioned. Serials of
+    one delivery thus agree on the package count even if the delivery report has several.
+    ``columns`` narrows what is shuffled, for callers that need only ``CORE_COLUMNS``.
     """
     require(combined, ("serial_number", "status"), "combined table")
-    kinds = {f.name: f.dataType for f in combined.schema.fields}
-    shipped = F.coalesce(F.col("status") == SHIPPED, F.lit(False))
-    order = [shipped.desc()]
-    if "scan_timestamp" in kinds:
-        order.append(F.col("scan_timestamp").desc_nulls_last())
-    if "created_by" in kinds:
-        order.append(F.col("created_by").asc_nulls_last())
-    order += [
-        F.col(c).asc_nulls_last()
-        for c, kind in kinds.items()
-        if c not in _ORDER_FIRST and c != "serial_number" and _sortable(kind)
-    ]
+    if columns is not None:
+        combined = combined.select(*[c for c in columns if c in combined.columns])
+    have = combined.columns
+    order = [F.coalesce(F.col("status") == SHIPPED, F.lit(False)).desc()]
+    for name in [*CORE_COLUMNS[1:], *[c for c in have if c not in CORE_COLUMNS]]:
+        if name in have:
+            column = F.col(name)
+            latest = name == "scan_timestamp"
+            order.append(column.desc_nulls_last() if latest else column.asc_nulls_last())
     return top_rows(combined, ["serial_number"], order)
 
 
@@ -54,4 +59,4 @@ def serials_section(described: DataFrame) -> DataFrame:
 
 
 def status_distribution(df: DataFrame) -> DataFrame:
-    return df.dropna(subset=["status"]).groupBy("status").agg(F.count(F.lit(1)).alias("row_count"))
+    return present(df, "status").groupBy("status").agg(F.count(F.lit(1)).alias("row_count"))

@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dockpulse.functions.labels import display_name
 from dockpulse.functions.timing import at, hours_between, minutes_between, window_start
+from dockpulse.schemas import present
 
 
 def recent_scans(df: DataFrame, as_of: datetime | str, window_minutes: int) -> DataFrame:
     """Scans at or after the start of the window; there is no upper bound."""
-    return df.dropna(subset=["scan_timestamp", "created_by"]).filter(
+    return present(df, "scan_timestamp", "created_by").filter(
         F.col("scan_timestamp") >= window_start(as_of, window_minutes)
     )
 
 
-def _first_names(per_name: DataFrame) -> Column:
+def _first_name() -> Column:
     """Name on the user's earliest scan, null if that row has none."""
     return F.min_by("__name", F.struct("__no_time", "__since", "__no_name", "__name"))
 
@@ -25,9 +26,9 @@ def _first_names(per_name: DataFrame) -> Column:
 def user_names(df: DataFrame) -> DataFrame:
     """Display name per user: the name on the earliest scan, else 'User <id>'."""
     return (
-        _per_user_and_name(df.dropna(subset=["created_by"]), [])
+        _per_user_and_name(present(df, "created_by"), [])
         .groupBy("created_by")
-        .agg(_first_names(df).alias("name"))
+        .agg(_first_name().alias("name"))
         .select(
             F.col("created_by").alias("user_id"),
             display_name(F.col("name"), F.col("created_by")).alias("name"),
@@ -61,7 +62,7 @@ def user_activity(
     """
     cutoff = window_start(as_of, window_minutes)
     recent = F.col("scan_timestamp") >= cutoff
-    known = df.dropna(subset=["created_by"])
+    known = present(df, "created_by")
     measures = [
         F.count_if(recent).alias("__scans"),
         F.min(F.when(recent, F.col("scan_timestamp"))).alias("__first"),
@@ -77,7 +78,7 @@ def user_activity(
             F.max("__last").alias("last_scan"),
             F.count_distinct("__delivery").alias("unique_deliveries"),
             F.min("__since").alias("__since"),
-            _first_names(df).alias("__first_name"),
+            _first_name().alias("__first_name"),
         )
     )
     active = F.col("scan_count") > 0

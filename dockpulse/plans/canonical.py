@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dockpulse.operators.combine import combine
 from dockpulse.operators.headers import report_header
+from dockpulse.operators.serials import CORE_COLUMNS
 from dockpulse.params import Params
-from dockpulse.plans.dashboard import build_sections, current_serials
+from dockpulse.plans.dashboard import build_section, current_serials
 from dockpulse.session import pin_utc
 from dockpulse.sources.reports import read_deliveries, read_scans
 
@@ -211,10 +212,25 @@ def current(spark: SparkSession, sf_dir: str, snapshot: Snapshot = CURRENT) -> D
     return current_serials(combined(spark, sf_dir, snapshot), PARAMS)
 
 
-def sections(
-    spark: SparkSession, sf_dir: str, snapshot: Snapshot, previous: Snapshot | None
-) -> dict[str, DataFrame]:
-    before = current(spark, sf_dir, previous) if previous else None
-    return build_sections(
-        current(spark, sf_dir, snapshot), before, snapshot.as_of, PARAMS, unique_previous=True
+def core(spark: SparkSession, sf_dir: str, snapshot: Snapshot = CURRENT) -> DataFrame:
+    """The same rows with the columns the metrics need."""
+    return current_serials(combined(spark, sf_dir, snapshot), PARAMS, CORE_COLUMNS)
+
+
+# Sections whose rows are whole serial records; the others need the core columns only.
+_WHOLE_ROWS = {"serials", "status_changes", "new_serials"}
+
+
+def section(
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    snapshot: Snapshot = CURRENT,
+    previous: Snapshot | None = None,
+) -> DataFrame:
+    """One section on its own, straight from the reports."""
+    now = current if name in _WHOLE_ROWS else core
+    before = core(spark, sf_dir, previous) if previous else None
+    return build_section(
+        name, now(spark, sf_dir, snapshot), before, snapshot.as_of, PARAMS, unique_previous=True
     )

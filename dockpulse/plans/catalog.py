@@ -15,7 +15,7 @@ from dockpulse.plans import canonical as given
 from dockpulse.plans.canonical import CURRENT, PARAMS, PREVIOUS, Snapshot
 from dockpulse.plans.refresh import refresh
 from dockpulse.plans.workbooks import scan_workbooks
-from dockpulse.schemas import ONE_ROW_PER_KEY, SECTION_KEYS, SECTIONS
+from dockpulse.schemas import SECTION_KEYS, SECTIONS
 from dockpulse.session import scratch_dir
 from dockpulse.sources.export import sections_to_json
 from dockpulse.sources.files import classify_files, latest_file
@@ -38,17 +38,17 @@ WINDOW = PARAMS.window_minutes
 
 
 def _section(name: str, snapshot: Snapshot = CURRENT, previous: Snapshot | None = PREVIOUS) -> Query:
-    return lambda spark, sf: given.sections(spark, sf, snapshot, previous)[name]
+    return lambda spark, sf: given.section(spark, sf, name, snapshot, previous)
 
 
 def _users(spark: SparkSession, sf: str, snapshot: Snapshot = CURRENT) -> DataFrame:
-    return people.user_activity(given.current(spark, sf, snapshot), snapshot.as_of, WINDOW)
+    return people.user_activity(given.core(spark, sf, snapshot), snapshot.as_of, WINDOW)
 
 
 def _pair(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, DataFrame]:
     """A section in the current and in the previous snapshot."""
-    now = given.sections(spark, sf, CURRENT, PREVIOUS)[name]
-    return now, given.sections(spark, sf, PREVIOUS, None)[name]
+    now = given.section(spark, sf, name, CURRENT, PREVIOUS)
+    return now, given.section(spark, sf, name, PREVIOUS)
 
 
 def _diff_added(spark, sf):
@@ -60,7 +60,7 @@ def _diff_removed(spark, sf):
 
 
 def _diff_changed(spark, sf):
-    return diff.changed_rows(*_pair(spark, sf, "progress"), SECTION_KEYS["progress"])
+    return diff.changed_rows(*_pair(spark, sf, "scan_times"), SECTION_KEYS["scan_times"])
 
 
 def _diff_serials(spark, sf):
@@ -68,9 +68,7 @@ def _diff_serials(spark, sf):
 
 
 def _diff_first_run(spark, sf):
-    return diff.diff_section(
-        "users", _users(spark, sf), None, SECTION_KEYS["users"], unique="users" in ONE_ROW_PER_KEY
-    )
+    return diff.diff_section("users", _users(spark, sf), None, SECTION_KEYS["users"])
 
 
 def _save(spark: SparkSession, sf: str, store: SnapshotStore, *snapshots: Snapshot) -> None:
@@ -269,30 +267,30 @@ QUERIES: dict[str, Query] = {
         given.scans(spark, sf)
     ).select("serial_number", "scan_timestamp", "status", "status_description"),
     "serials": _section("serials"),
-    "status_distribution": lambda spark, sf: serial.status_distribution(given.current(spark, sf)),
+    "status_distribution": lambda spark, sf: serial.status_distribution(given.core(spark, sf)),
     # packing progress
     "deliveries": _section("deliveries"),
     "progress": _section("progress"),
     "progress_lookup": lambda spark, sf: packing.progress_lookup(
-        packing.progress(given.current(spark, sf)), user=LOOKUP_USER
+        packing.progress(given.core(spark, sf)), user=LOOKUP_USER
     ),
     "progress_band": lambda spark, sf: packing.progress_cards(
-        packing.progress(given.current(spark, sf))
+        packing.progress(given.core(spark, sf))
     ),
-    "delivery_status": lambda spark, sf: packing.delivery_status(given.current(spark, sf)),
+    "delivery_status": lambda spark, sf: packing.delivery_status(given.core(spark, sf)),
     # scan times
     "scan_times": _section("scan_times"),
     "scan_times_lookup": lambda spark, sf: scanning.scan_times_lookup(
-        scanning.scan_times(given.current(spark, sf), CURRENT.as_of), LOOKUP_USER
+        scanning.scan_times(given.core(spark, sf), CURRENT.as_of), LOOKUP_USER
     ),
     "scan_gap_label": lambda spark, sf: scanning.scan_gap_labels(
-        scanning.scan_times(given.current(spark, sf), CURRENT.as_of)
+        scanning.scan_times(given.core(spark, sf), CURRENT.as_of)
     ),
-    "latest_two_scans": lambda spark, sf: scanning.latest_two_scans(given.current(spark, sf)),
+    "latest_two_scans": lambda spark, sf: scanning.latest_two_scans(given.core(spark, sf)),
     # users
     "users": _section("users"),
     "users_idle_fallback": lambda spark, sf: people.user_activity(
-        given.current(spark, sf), "2005-01-01 00:00:00"
+        given.core(spark, sf), "2005-01-01 00:00:00"
     ),
     "recent_scans": lambda spark, sf: people.recent_scans(
         given.current(spark, sf), CURRENT.as_of, WINDOW
@@ -300,14 +298,14 @@ QUERIES: dict[str, Query] = {
     "active_users": lambda spark, sf: people.active_users(
         _users(spark, sf), CURRENT.as_of, WINDOW // 3
     ),
-    "user_names": lambda spark, sf: people.user_names(given.current(spark, sf)),
+    "user_names": lambda spark, sf: people.user_names(given.core(spark, sf)),
     # changes since the previous snapshot
     "new_serials": _section("new_serials"),
     "new_serials_first_run": _section("new_serials", previous=None),
     "status_changes": _section("status_changes"),
     "completed_deliveries": _section("completed_deliveries"),
     "common_serials": lambda spark, sf: events.common_serials(
-        given.current(spark, sf), given.current(spark, sf, PREVIOUS)
+        given.current(spark, sf), given.core(spark, sf, PREVIOUS)
     ),
     "diff_added": _diff_added,
     "diff_removed": _diff_removed,

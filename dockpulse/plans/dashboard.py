@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -16,12 +17,44 @@ from dockpulse.operators.serials import (
 )
 from dockpulse.operators.users import user_activity
 from dockpulse.params import Params
+from dockpulse.schemas import SECTIONS
 
 
-def current_serials(combined: DataFrame, params: Params = Params()) -> DataFrame:
+def current_serials(
+    combined: DataFrame, params: Params = Params(), columns: Sequence[str] | None = None
+) -> DataFrame:
     """Combined table with one row per serial and the status description: what every section
     is computed from."""
-    return with_status_description(dedup_serials(combined), params.status_descriptions)
+    return with_status_description(dedup_serials(combined, columns), params.status_descriptions)
+
+
+def build_section(
+    name: str,
+    current: DataFrame,
+    previous_serials: DataFrame | None,
+    as_of: datetime | str,
+    params: Params = Params(),
+    unique_previous: bool = False,
+) -> DataFrame:
+    """One lazy section over ``current``."""
+    match name:
+        case "users":
+            return user_activity(current, as_of, params.window_minutes)
+        case "deliveries":
+            return delivery_packages(current)
+        case "progress":
+            return progress(current)
+        case "scan_times":
+            return scan_times(current, as_of)
+        case "serials":
+            return serials_section(current)
+        case "status_changes":
+            return shipped(current, previous_serials, unique_previous)
+        case "new_serials":
+            return newly_picked(current, previous_serials)
+        case "completed_deliveries":
+            return completed_deliveries(current, previous_serials)
+    raise ValueError(f"no section {name!r}; there are {list(SECTIONS)}")
 
 
 def build_sections(
@@ -31,15 +64,9 @@ def build_sections(
     params: Params = Params(),
     unique_previous: bool = False,
 ) -> dict[str, DataFrame]:
-    """Lazy sections over ``current``. Hand in a saved table when more than one of them is going
-    to run, otherwise each of them repeats the join and the deduplication."""
+    """All sections. Hand in a saved table: each section that runs is a query of its own, and
+    over anything else each of them would repeat the join and the deduplication."""
     return {
-        "users": user_activity(current, as_of, params.window_minutes),
-        "deliveries": delivery_packages(current),
-        "progress": progress(current),
-        "scan_times": scan_times(current, as_of),
-        "serials": serials_section(current),
-        "status_changes": shipped(current, previous_serials, unique_previous),
-        "new_serials": newly_picked(current, previous_serials),
-        "completed_deliveries": completed_deliveries(current, previous_serials),
+        name: build_section(name, current, previous_serials, as_of, params, unique_previous)
+        for name in SECTIONS
     }

@@ -542,7 +542,9 @@ FROM orders""",
             _absent(_NOW["progress"], _BEFORE["progress"], SECTION_KEYS["progress"])
         ),
         "diff_removed": _on_both(_absent(_BEFORE["users"], _NOW["users"], SECTION_KEYS["users"])),
-        "diff_changed": _on_both(_changed("progress", _NOW["progress"], _BEFORE["progress"])),
+        "diff_changed": _on_both(
+            _changed("scan_times", _NOW["scan_times"], _BEFORE["scan_times"])
+        ),
         "diff_serials": _on_both(_diff("serials", _NOW["serials"], _BEFORE["serials"])),
         "diff_first_run": _on_current(_feed_part("users", "added", _NOW["users"])),
         "activity_last_n": _with(_kept(ACTIVITY_KEEP), _ACTIVITY),

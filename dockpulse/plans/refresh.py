@@ -44,11 +44,11 @@ def refresh(
     sections = build_sections(
         current, previous and previous["serials"], as_of, params, unique_previous=True
     )
-    counts = {name: store.write(name, df, snapshot_id) for name, df in sections.items()}
+    counts = store.write_all(sections, snapshot_id)
 
     if previous:
         saved = {name: store.load(name, snapshot_id) for name in SECTIONS}
-        feed = change_feed(saved, previous, as_of)
+        feed = change_feed(saved, previous, as_of, unique=True)
     else:
         feed = store.spark.createDataFrame([], CHANGE_FEED)
     store.write("change_feed", feed, snapshot_id)

@@ -109,9 +109,6 @@ SECTION_KEYS: dict[str, tuple[str, ...]] = {
     "scan_times": ("user_id",),
 }
 
-# Sections that hold one row per key by construction.
-ONE_ROW_PER_KEY = frozenset({"users", "scan_times"})
-
 
 def require(df: DataFrame, columns: Sequence[str], what: str) -> None:
     missing = [name for name in columns if name not in df.columns]
@@ -119,6 +116,14 @@ def require(df: DataFrame, columns: Sequence[str], what: str) -> None:
         raise ValueError(f"{what} lacks required columns {missing}; it has {df.columns}")
 
 
+def present(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a value in every given column. Unlike ``dropna`` these are plain predicates the
+    optimizer can push into a scan."""
+    for name in columns:
+        df = df.filter(F.col(name).isNotNull())
+    return df
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project to exactly ``schema``; a column the frame lacks becomes a typed null."""
     have = set(df.columns)

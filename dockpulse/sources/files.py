@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dockpulse.params import DELIVERY_REPORT_MARK, SCAN_REPORT_MARK, WORKBOOK_SUFFIX
+from dockpulse.schemas import present
 
 SCAN_REPORT, DELIVERY_REPORT = "scans", "deliveries"
 
@@ -33,7 +34,7 @@ def classify_files(listing: DataFrame, suffix: str = WORKBOOK_SUFFIX) -> DataFra
 def latest_file(classified: DataFrame) -> DataFrame:
     """Newest file of each kind; the higher path wins a tie."""
     return (
-        classified.dropna(subset=["report_type"])
+        present(classified, "report_type")
         .groupBy("report_type")
         .agg(F.max(F.struct("modified_at", "path")).alias("newest"))
         .select("report_type", "newest.path", "newest.modified_at")

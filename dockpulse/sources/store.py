@@ -8,8 +8,10 @@ after a failure leaves the same files behind as one that succeeded at once.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -29,6 +31,8 @@ CURRENT = T.StructType(COMBINED.fields + [T.StructField("status_description", T.
 
 TABLES = {**SECTIONS, "current": CURRENT, "change_feed": CHANGE_FEED}
 
+_WRITERS = 4
+
 _SNAPSHOT = T.StructField("snapshot_id", T.StringType())
 
 
@@ -70,6 +74,17 @@ class SnapshotStore:
         )
         return rows.get["rows"]
 
+    def write_all(self, tables: Mapping[str, DataFrame], snapshot_id: str) -> dict[str, int]:
+        """Save several tables. The writes are independent jobs and run side by side, so that
+        small ones fill the executors while a large one finishes."""
+
+        def write(item: tuple[str, DataFrame]) -> tuple[str, int]:
+            name, df = item
+            return name, self.write(name, df, snapshot_id)
+
+        with ThreadPoolExecutor(_WRITERS) as pool:
+            return dict(pool.map(inheritable_thread_target(self.spark)(write), tables.items()))
+
     def commit(
         self, snapshot_id: str, row_counts: Mapping[str, int], updated_at: datetime | str
     ) -> None:
@@ -85,7 +100,7 @@ class SnapshotStore:
         self, sections: Mapping[str, DataFrame], snapshot_id: str, updated_at: datetime | str
     ) -> dict[str, int]:
         """Save the given sections, empty ones too, and commit the snapshot."""
-        counts = {name: self.write(name, df, snapshot_id) for name, df in sections.items()}
+        counts = self.write_all(sections, snapshot_id)
         self.commit(snapshot_id, counts, updated_at)
         return counts
 

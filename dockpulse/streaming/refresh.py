@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dockpulse.params import Params
 from dockpulse.plans.refresh import refresh
-from dockpulse.schemas import ARRIVAL
+from dockpulse.schemas import ARRIVAL, present
 from dockpulse.sources.files import (
     DELIVERY_REPORT,
     SCAN_REPORT,
@@ -32,11 +32,7 @@ def workbook_arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """Arrivals of report workbooks in a folder; only the listing is read."""
     files = spark.readStream.format("binaryFile").schema(_FILES).load(folder)
     listing = files.select("path", F.col("modificationTime").alias("modified_at"))
-    return (
-        classify_files(listing)
-        .dropna(subset=["report_type"])
-        .select(*ARRIVAL.fieldNames())
-    )
+    return present(classify_files(listing), "report_type").select(*ARRIVAL.fieldNames())
 
 
 def announced_arrivals(
