@@ -97,7 +97,8 @@ def standardize_columns(df: DataFrame) -> DataFrame:
 
 
 def copy_aliases(df: DataFrame, names: Mapping[str, str] = COMBINED_HEADERS) -> DataFrame:
-    """Add each standard column that is missing as a copy of its report column."""
+    """Add each standard column that is missing as a copy of its report column. Spark does not
+    tell names apart by case, so a report column that differs only in case is renamed instead."""
     have = set(df.columns)
     return df.withColumns(
         {

@@ -14,12 +14,18 @@ from io import BytesIO
 from xml.etree import ElementTree
 from zipfile import ZipFile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dockpulse.operators.headers import report_header
 
-_ROW_COLUMNS = ["path", "row_number", "cells"]
+_ROW_SCHEMA = pa.schema(
+    [
+        ("path", pa.string()),
+        ("row_number", pa.int32()),
+        ("cells", pa.map_(pa.string(), pa.string())),
+    ]
+)
 _ROWS_PER_BATCH = 5000
 
 # Built-in number formats of the workbook format that show a date or a time.
@@ -134,33 +140,40 @@ def _named_columns(first_row: Mapping[int, str]) -> dict[int, str]:
     return {column: report_header(text) for column, text in first_row.items()}
 
 
-def _decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batch(rows: list[tuple[str, int, list[tuple[str, str]]]]) -> pa.RecordBatch:
+    columns = [pa.array(c, type=t) for c, t in zip(zip(*rows), _ROW_SCHEMA.types)]
+    return pa.RecordBatch.from_arrays(columns, schema=_ROW_SCHEMA)
+
+
+def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            rows = _sheet_rows(content)
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            rows = _sheet_rows(content.as_py())
             names = _named_columns(next(rows, {}))
-            pending: list[tuple] = []
+            pending = []
             for number, cells in enumerate(rows, start=1):
-                named = {names[c]: text for c, text in cells.items() if c in names}
-                pending.append((path, number, named))
+                named = [(names[c], text) for c, text in cells.items() if c in names]
+                pending.append((path.as_py(), number, named))
                 if len(pending) == _ROWS_PER_BATCH:
-                    yield pd.DataFrame(pending, columns=_ROW_COLUMNS)
+                    yield _batch(pending)
                     pending = []
             if pending:
-                yield pd.DataFrame(pending, columns=_ROW_COLUMNS)
+                yield _batch(pending)
 
 
-def _decode_headers(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode_headers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = {n for c in batch["content"] for n in _named_columns(next(_sheet_rows(c), {})).values()}
-        yield pd.DataFrame({"name": sorted(names)})
+        names: set[str] = set()
+        for content in batch.column("content"):
+            names.update(_named_columns(next(_sheet_rows(content.as_py()), {})).values())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(names), pa.string())], ["name"])
 
 
 def workbook_rows(files: DataFrame) -> DataFrame:
     """Data rows of every workbook in ``files`` (path, content): the first sheet, its first row
     taken as the header. Cells are keyed by the cleaned header; dates and times come as
     'yyyy-MM-dd HH:mm:ss' and 'HH:mm:ss'."""
-    return files.select("path", "content").mapInPandas(
+    return files.select("path", "content").mapInArrow(
         _decode, "path string, row_number int, cells map<string,string>"
     )
 
@@ -168,7 +181,7 @@ def workbook_rows(files: DataFrame) -> DataFrame:
 def workbook_columns(files: DataFrame) -> list[str]:
     """Cleaned headers found in the files. Only the first row of each is decoded, and only the
     distinct names reach the driver."""
-    names = files.select("content").mapInPandas(_decode_headers, "name string").distinct()
+    names = files.select("content").mapInArrow(_decode_headers, "name string").distinct()
     return sorted(row.name for row in names.collect())
 
 
