@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from dockpulse.operators.ranking import top_rows
 
 
 def combine(scans: DataFrame, deliveries: DataFrame) -> DataFrame:
@@ -19,3 +21,12 @@ def combine(scans: DataFrame, deliveries: DataFrame) -> DataFrame:
     return left.join(right, "delivery", "inner").select(
         *left.columns, *[c for c in right.columns if c != "delivery"]
     )
+
+
+def one_row_per_delivery(deliveries: DataFrame) -> DataFrame:
+    """The row of each delivery that the deduplication by serial would pick: fewest packages
+    first, then the lowest of the remaining columns. Joining with these rows instead of all gives
+    the same serials and never multiplies the scans of a delivery that is listed repeatedly."""
+    rest = [c for c in deliveries.columns if c not in ("delivery", "number_of_packages")]
+    order = [F.col(c).asc_nulls_last() for c in ["number_of_packages", *rest]]
+    return top_rows(deliveries, ["delivery"], order)

@@ -7,25 +7,20 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dockpulse.functions.timing import at, duration_label, minutes_between
-from dockpulse.operators.ranking import ranked
+from dockpulse.operators.ranking import ranked, with_split
 from dockpulse.schemas import present
 
-# Splits each user over this many groups while only the two latest times are looked for.
-_SPLITS = 32
-
-
 def _two_latest_times(df: DataFrame) -> DataFrame:
-    """The two latest distinct scan times per user (at most ``_SPLITS`` times as many rows),
-    each with its first serial and status.
+    """The two latest distinct scan times per user and split, each with its first serial and
+    status.
 
     ``dense_rank`` keeps ties, and with day-only scan times one user may have a large share of
-    the input in a single tie. Splitting by serial first, then grouping by time, bounds what
-    any task holds for one user.
+    the input in a single tie. Splitting each user first, then grouping by time, bounds what any
+    task holds for one user.
     """
-    split = F.pmod(F.xxhash64("serial_number"), F.lit(_SPLITS))
     window = Window.partitionBy("created_by", "__split").orderBy(F.desc("scan_timestamp"))
     latest = (
-        df.withColumn("__split", split)
+        with_split(df, "__split")
         .withColumn("__rank", F.dense_rank().over(window))
         .filter(F.col("__rank") <= 2)
     )

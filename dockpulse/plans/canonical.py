@@ -219,6 +219,7 @@ def core(spark: SparkSession, sf_dir: str, snapshot: Snapshot = CURRENT) -> Data
 
 # Sections whose rows are whole serial records; the others need the core columns only.
 _WHOLE_ROWS = {"serials", "status_changes", "new_serials"}
+_COMPARED = {"status_changes", "new_serials", "completed_deliveries"}
 
 
 def section(
@@ -230,7 +231,8 @@ def section(
 ) -> DataFrame:
     """One section on its own, straight from the reports."""
     now = current if name in _WHOLE_ROWS else core
-    before = core(spark, sf_dir, previous) if previous else None
+    compare = previous is not None and name in _COMPARED
+    before = core(spark, sf_dir, previous) if compare else None
     return build_section(
         name, now(spark, sf_dir, snapshot), before, snapshot.as_of, PARAMS, unique_previous=True
     )

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from dockpulse.operators.combine import combine
+from dockpulse.operators.combine import combine, one_row_per_delivery
 from dockpulse.operators.diff import change_feed
 from dockpulse.params import Params
 from dockpulse.plans.dashboard import build_sections, current_serials
@@ -36,7 +36,8 @@ def refresh(
     if scans.isEmpty() or deliveries.isEmpty():
         return None
 
-    store.write("current", current_serials(combine(scans, deliveries), params), snapshot_id)
+    joined = combine(scans, one_row_per_delivery(deliveries))
+    store.write("current", current_serials(joined, params), snapshot_id)
     current = store.load("current", snapshot_id)
 
     before = store.latest_snapshot(before=snapshot_id)

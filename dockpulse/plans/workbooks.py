@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 from zipfile import ZIP_DEFLATED, ZipFile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 # The parts of a minimal workbook; cell style 1 is a date with time.
 _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -53,7 +53,8 @@ def workbook_bytes(columns: Iterable[str], rows: Iterable[Iterable[object]]) ->
 
 
 def scan_workbooks(report: DataFrame) -> DataFrame:
-    """(path, content) with one workbook per Arrow batch of the report."""
+    """(path, content) with one workbook per Arrow batch of the report, spread over all cores."""
+    cores = report.sparkSession.sparkContext.defaultParallelism
 
     def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, batch in enumerate(batches):
@@ -62,4 +63,4 @@ def scan_workbooks(report: DataFrame) -> DataFrame:
                 {"path": [f"ZMDESNR_{number}.xlsx"], "content": [workbook_bytes(batch.columns, rows)]}
             )
 
-    return report.mapInPandas(encode, "path string, content binary")
+    return report.repartition(cores, F.col(f"`{report.columns[0]}`")).mapInPandas(encode, "path string, content binary")

@@ -19,7 +19,7 @@ def normalized(frame: pd.DataFrame) -> list[tuple]:
         if isinstance(value, pd.Timestamp):
             return value.isoformat()
         if isinstance(value, float):
-            return round(value, 9)
+            return float(value)
         return value
 
     columns = sorted(frame.columns)

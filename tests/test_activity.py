@@ -1,6 +1,6 @@
 from datetime import timedelta
 
-from helpers import DAY, at, rows
+from helpers import DAY, at, plan, rows
 
 from dockpulse.operators.activity import (
     activity_counts,
@@ -24,6 +24,15 @@ def test_cap_keeps_the_newest(spark):
     assert kept.agg({"timestamp": "min"}).first()[0] == DAY + timedelta(minutes=1)
 
 
+def test_cap_beyond_what_the_map_side_can_cut(spark):
+    both = log(spark, 1200).union(log(spark, 5, "U2")).repartition(7)
+    kept = last_activities(both, 1100)
+    assert "__split" in plan(kept)
+    assert kept.count() == 1105
+    assert kept.agg({"timestamp": "min"}).first()[0] == DAY
+    assert kept.filter("user_id = 'U1'").agg({"timestamp": "min"}).first()[0] == DAY + timedelta(minutes=100)
+
+
 def test_history(spark):
     both = log(spark).union(log(spark, 3, "U2"))
     assert activity_history(both, "U1").count() == 20

@@ -5,6 +5,7 @@ from helpers import DAY, at, combined, random_scans, rows
 
 from dockpulse.functions.labels import card_band, card_percent
 from dockpulse.functions.timing import duration_label, iso_text
+from dockpulse.operators.combine import combine, one_row_per_delivery
 from dockpulse.operators.progress import (
     delivery_packages,
     delivery_status,
@@ -21,6 +22,7 @@ from dockpulse.operators.serials import (
     with_status_description,
 )
 from dockpulse.operators.users import active_users, recent_scans, user_activity, user_names
+from dockpulse.schemas import DELIVERIES
 from pyspark.sql import functions as F
 
 AS_OF = at("12:00")
@@ -64,6 +66,20 @@ def test_serials_of_a_delivery_agree_on_its_packages(spark):
     assert rows(delivery_packages(dedup_serials(df))) == [("D0", 4.0), ("D1", 4.0), ("D2", 4.0)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_one_row_per_delivery_gives_the_same_serials(spark, seed):
+    df = combined(spark, *random_scans(seed, 60))
+    packages = [
+        (f"D{i % 3 + 1}", p, s)
+        for i, (p, s) in enumerate([(4.0, "b"), (None, "a"), (5.0, None), (4.0, "a"), (5.0, "x"), (0.0, None)])
+    ]
+    deliveries = spark.createDataFrame(packages, DELIVERIES)
+    scans = df.drop("number_of_packages", "shipping_point")
+    single = one_row_per_delivery(deliveries)
+    assert single.count() == 3
+    assert rows(dedup_serials(combine(scans, single))) == rows(dedup_serials(combine(scans, deliveries)))
+
+
 def test_status_description_and_section(spark):
     df = with_status_description(combined(spark, {"status": "SHP"}, {"status": "ASH"}, {"status": "ZZ"}))
     section = serials_section(df.drop("time"))
