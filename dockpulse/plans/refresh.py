@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from dockpulse.operators.combine import combine, one_row_per_delivery
 from dockpulse.operators.diff import change_feed
 from dockpulse.params import Params
-from dockpulse.plans.dashboard import build_sections, current_serials
+from dockpulse.plans.dashboard import build_section, current_serials
 from dockpulse.schemas import SECTIONS
 from dockpulse.sources.reports import read_deliveries, read_scans
 from dockpulse.sources.store import CHANGE_FEED, SnapshotStore
@@ -41,17 +41,19 @@ def refresh(
     current = store.load("current", snapshot_id)
 
     before = store.latest_snapshot(before=snapshot_id)
-    previous = {name: store.load(name, before) for name in SECTIONS} if before else None
-    sections = build_sections(
-        current, previous and previous["serials"], as_of, params, unique_previous=True
-    )
-    counts = store.write_all(sections, snapshot_id)
-
-    if previous:
-        saved = {name: store.load(name, snapshot_id) for name in SECTIONS}
-        feed = change_feed(saved, previous, as_of, unique=True)
-    else:
-        feed = store.spark.createDataFrame([], CHANGE_FEED)
-    store.write("change_feed", feed, snapshot_id)
+    previous_serials = store.load("serials", before) if before else None
+
+    def save(name: str) -> int:
+        section = build_section(name, current, previous_serials, as_of, params, True)
+        rows = store.write(name, section, snapshot_id)
+        if before:
+            saved, previous = store.load(name, snapshot_id), store.load(name, before)
+            feed = change_feed({name: saved}, {name: previous}, as_of, unique=True)
+        else:
+            feed = store.spark.createDataFrame([], CHANGE_FEED)
+        store.write("change_feed", feed, snapshot_id, section=name)
+        return rows
+
+    counts = store.side_by_side(save, SECTIONS)
     store.commit(snapshot_id, counts, as_of)
     return counts

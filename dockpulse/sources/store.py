@@ -7,7 +7,7 @@ after a failure leaves the same files behind as one that succeeded at once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -63,30 +63,33 @@ class SnapshotStore:
                 raise
             return self.spark.createDataFrame([], full)
 
-    def write(self, table: str, df: DataFrame, snapshot_id: str) -> int:
-        """Save one table of a snapshot and return its row count, counted while writing."""
+    def write(
+        self, table: str, df: DataFrame, snapshot_id: str, section: str | None = None
+    ) -> int:
+        """Save one table of a snapshot and return its row count, counted while writing.
+
+        The change feed is written section by section, each to a folder of its own."""
         rows = Observation()
+        folder = f"{self._folder(table)}/snapshot_id={snapshot_id}"
         ordered = conform(df, TABLES[table])
+        if section is not None:
+            ordered, folder = ordered.drop("section"), f"{folder}/section={section}"
         if table in SECTION_KEYS:
             # local order only: lets a lookup by key skip most row groups, costs no shuffle
             ordered = ordered.sortWithinPartitions(*SECTION_KEYS[table])
         (
             ordered.observe(rows, F.count(F.lit(1)).alias("rows"))
             .write.mode("overwrite")
-            .parquet(f"{self._folder(table)}/snapshot_id={snapshot_id}")
+            .parquet(folder)
         )
         return rows.get["rows"]
 
-    def write_all(self, tables: Mapping[str, DataFrame], snapshot_id: str) -> dict[str, int]:
-        """Save several tables. The writes are independent jobs and run side by side, so that
-        small ones fill the executors while a large one finishes."""
-
-        def write(item: tuple[str, DataFrame]) -> tuple[str, int]:
-            name, df = item
-            return name, self.write(name, df, snapshot_id)
-
+    def side_by_side(self, task: Callable[[str], int], names: Iterable[str]) -> dict[str, int]:
+        """Run one independent writing task per name, several at a time, so that small ones fill
+        the executors while a large one finishes."""
         with ThreadPoolExecutor(_WRITERS) as pool:
-            return dict(pool.map(inheritable_thread_target(self.spark)(write), tables.items()))
+            names = list(names)
+            return dict(zip(names, pool.map(inheritable_thread_target(self.spark)(task), names)))
 
     def commit(
         self, snapshot_id: str, row_counts: Mapping[str, int], updated_at: datetime | str
@@ -103,7 +106,9 @@ class SnapshotStore:
         self, sections: Mapping[str, DataFrame], snapshot_id: str, updated_at: datetime | str
     ) -> dict[str, int]:
         """Save the given sections, empty ones too, and commit the snapshot."""
-        counts = self.write_all(sections, snapshot_id)
+        counts = self.side_by_side(
+            lambda name: self.write(name, sections[name], snapshot_id), sections
+        )
         self.commit(snapshot_id, counts, updated_at)
         return counts
 
@@ -122,7 +127,8 @@ class SnapshotStore:
 
     def load(self, table: str, snapshot_id: str) -> DataFrame:
         """One table of one snapshot. A missing one is empty but has its columns."""
-        return self._read(table, TABLES[table], snapshot_id).drop("snapshot_id")
+        saved = self._read(table, TABLES[table], snapshot_id)
+        return saved.select(*TABLES[table].fieldNames())
 
     def latest(self, table: str) -> DataFrame:
         """A table of the newest saved snapshot, the same one for every table."""
