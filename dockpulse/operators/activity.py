@@ -10,7 +10,7 @@ from dockpulse.functions.timing import at, minutes_between
 from dockpulse.operators.ranking import top_rows
 
 def _newest_first() -> list:
-    return [F.desc("timestamp"), F.asc("activity_type")]
+    return [F.desc("timestamp"), F.asc_nulls_last("activity_type")]
 
 
 def last_activities(log: DataFrame, keep: int = 100) -> DataFrame:

@@ -24,8 +24,9 @@ def _two_latest_times(df: DataFrame) -> DataFrame:
         .withColumn("__rank", F.dense_rank().over(window))
         .filter(F.col("__rank") <= 2)
     )
+    known = F.col("serial_number").isNull().alias("unknown")
     return latest.groupBy("created_by", "scan_timestamp").agg(
-        F.min(F.struct("serial_number", "status")).alias("__first")
+        F.min(F.struct(known, "serial_number", "status")).alias("__first")
     )
 
 
@@ -73,7 +74,7 @@ def latest_two_scans(df: DataFrame) -> DataFrame:
     valid = present(df, "scan_timestamp", "created_by").select(
         "created_by", "scan_timestamp", "serial_number", "status"
     )
-    order = [F.desc("scan_timestamp"), F.asc("serial_number")]
+    order = [F.desc("scan_timestamp"), F.asc_nulls_last("serial_number"), F.asc_nulls_last("status")]
     two = ranked(valid, ["created_by"], order, "__rank").filter(F.col("__rank") <= 2)
 
     def pick(rank: int, column: str) -> Column:

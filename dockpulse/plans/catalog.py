@@ -184,7 +184,7 @@ def _streamed_store(spark: SparkSession, sf: str) -> SnapshotStore:
 
 
 def _stream_refresh(spark, sf):
-    """Rows per change of the snapshots the stream saved."""
+    """Sections, times and row counts of the snapshots the stream saved."""
     return _streamed_store(spark, sf).refresh_log().select("section", "updated_at", "row_count")
 
 

@@ -49,11 +49,12 @@ def refresh(
         if before:
             saved, previous = store.load(name, snapshot_id), store.load(name, before)
             feed = change_feed({name: saved}, {name: previous}, as_of, unique=True)
-        else:
-            feed = store.spark.createDataFrame([], CHANGE_FEED)
-        store.write("change_feed", feed, snapshot_id, section=name)
+            store.write("change_feed", feed, snapshot_id, section=name)
         return rows
 
     counts = store.side_by_side(save, SECTIONS)
+    if not before:
+        nothing = store.spark.createDataFrame([], CHANGE_FEED)
+        store.write("change_feed", nothing, snapshot_id, section="serials")
     store.commit(snapshot_id, counts, as_of)
     return counts

@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 from zipfile import ZIP_DEFLATED, ZipFile
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 # The parts of a minimal workbook; cell style 1 is a date with time.
@@ -57,10 +58,9 @@ def scan_workbooks(report: DataFrame) -> DataFrame:
     cores = report.sparkSession.sparkContext.defaultParallelism
 
     def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
-            rows = batch.astype(object).itertuples(index=False)
-            yield pd.DataFrame(
-                {"path": [f"ZMDESNR_{number}.xlsx"], "content": [workbook_bytes(batch.columns, rows)]}
-            )
+            content = workbook_bytes(batch.columns, batch.astype(object).itertuples(index=False))
+            yield pd.DataFrame({"path": [f"ZMDESNR_{task}_{number}.xlsx"], "content": [content]})
 
     return report.repartition(cores, F.col(f"`{report.columns[0]}`")).mapInPandas(encode, "path string, content binary")

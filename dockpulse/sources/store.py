@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from dockpulse.functions.timing import at
-from dockpulse.schemas import COMBINED, REFRESH_LOG, SECTION_KEYS, SECTIONS, conform
+from dockpulse.schemas import ARRIVAL, COMBINED, REFRESH_LOG, SECTION_KEYS, SECTIONS, conform
 
 CHANGE_FEED = T.StructType(
     [
@@ -33,8 +33,6 @@ TABLES = {**SECTIONS, "current": CURRENT, "change_feed": CHANGE_FEED}
 
 _WRITERS = 4
 
-_SNAPSHOT = T.StructField("snapshot_id", T.StringType())
-
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, base: str):
@@ -50,18 +48,16 @@ class SnapshotStore:
     def _folder(self, table: str) -> str:
         return f"{self.base}/{table}"
 
-    def _read(self, table: str, schema: T.StructType, snapshot_id: str | None) -> DataFrame:
-        """``snapshot_id`` stays text: left to inference, Spark would read it as a number."""
-        folder = self._folder(table)
-        path = folder if snapshot_id is None else f"{folder}/snapshot_id={snapshot_id}"
-        fields = [f for f in schema.fields if f.name != _SNAPSHOT.name] + [_SNAPSHOT]
-        full = T.StructType(fields)
+    def _read(self, schema: T.StructType, folder: str, part: str = "") -> DataFrame:
+        """A folder, or one of its partitions; empty if there is none. Ids in the schema stay text:
+        left to inference, Spark would read them as numbers."""
         try:
-            return self.spark.read.schema(full).option("basePath", folder).parquet(path)
+            reader = self.spark.read.schema(schema).option("basePath", folder)
+            return reader.parquet(f"{folder}/{part}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], full)
+            return self.spark.createDataFrame([], schema)
 
     def write(
         self, table: str, df: DataFrame, snapshot_id: str, section: str | None = None
@@ -113,7 +109,8 @@ class SnapshotStore:
         return counts
 
     def refresh_log(self) -> DataFrame:
-        return self._read("refresh_log", REFRESH_LOG, None).select(*REFRESH_LOG.fieldNames())
+        log = self._read(REFRESH_LOG, self._folder("refresh_log"))
+        return log.select(*REFRESH_LOG.fieldNames())
 
     def latest_snapshot(self, before: str | None = None) -> str | None:
         """Newest saved snapshot, optionally among those before a given one."""
@@ -127,7 +124,7 @@ class SnapshotStore:
 
     def load(self, table: str, snapshot_id: str) -> DataFrame:
         """One table of one snapshot. A missing one is empty but has its columns."""
-        saved = self._read(table, TABLES[table], snapshot_id)
+        saved = self._read(TABLES[table], self._folder(table), f"snapshot_id={snapshot_id}")
         return saved.select(*TABLES[table].fieldNames())
 
     def latest(self, table: str) -> DataFrame:
@@ -136,3 +133,13 @@ class SnapshotStore:
         if snapshot_id is None:
             return self.spark.createDataFrame([], TABLES[table])
         return self.load(table, snapshot_id)
+
+    def arrivals(self, batch_id: int) -> DataFrame:
+        """Newest report of each kind known after a batch of arrivals."""
+        known = self._read(ARRIVAL, self._folder("arrivals"), f"batch_id={batch_id}")
+        return known.select(*ARRIVAL.fieldNames())
+
+    def save_arrivals(self, newest: DataFrame, batch_id: int) -> None:
+        newest.coalesce(1).write.mode("overwrite").parquet(
+            f"{self._folder('arrivals')}/batch_id={batch_id}"
+        )

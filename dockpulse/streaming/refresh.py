@@ -10,18 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dockpulse.params import Params
 from dockpulse.plans.refresh import refresh
 from dockpulse.schemas import ARRIVAL, present
-from dockpulse.sources.files import (
-    DELIVERY_REPORT,
-    SCAN_REPORT,
-    classify_files,
-    latest_file,
-)
+from dockpulse.sources.files import DELIVERY_REPORT, SCAN_REPORT, classify_files
 from dockpulse.sources.reports import load_report
 from dockpulse.sources.store import SnapshotStore
 
@@ -46,21 +41,23 @@ def announced_arrivals(
     return reader.json(folder)
 
 
-def _note_arrivals(store: SnapshotStore, batch: DataFrame, batch_id: int) -> dict[str, T.Row]:
-    """Remember the newest arrival of each kind in this batch; return the newest ever seen.
+def _newest_arrivals(store: SnapshotStore, batch: DataFrame, batch_id: int) -> dict[str, Row]:
+    """Newest report of each kind up to this batch: path, time and whether it was known before.
 
-    One row per kind and batch is kept, so what comes to the driver is one row per kind."""
-    folder = f"{store.base}/arrivals"
-    latest_file(batch).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
-    seen = store.spark.read.schema(
-        T.StructType(ARRIVAL.fields + [T.StructField("batch_id", T.LongType())])
-    ).parquet(folder)
-    # a batch that is run again must not see later ones
-    seen = seen.filter(F.col("batch_id") <= batch_id)
-    newest = seen.groupBy("report_type").agg(
-        F.max(F.struct("modified_at", "path", "batch_id")).alias("newest")
+    Each batch saves what it knows for the next one, so neither the state nor what comes to the
+    driver ever exceeds one row per kind.
+    """
+    known = store.arrivals(batch_id - 1).withColumn("known", F.lit(True))
+    seen = known.unionByName(batch.withColumn("known", F.lit(False)))
+    newest = (
+        seen.groupBy("report_type")
+        .agg(F.max(F.struct("modified_at", "path", "known")).alias("newest"))
+        .select("report_type", "newest.*")
+        .collect()
     )
-    return {row.report_type: row.newest for row in newest.collect()}
+    rows = [(row.report_type, row.path, row.modified_at) for row in newest]
+    store.save_arrivals(store.spark.createDataFrame(rows, ARRIVAL), batch_id)
+    return {row.report_type: row for row in newest}
 
 
 def start_refresh(
@@ -78,10 +75,10 @@ def start_refresh(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        newest = _note_arrivals(store, batch, batch_id)
+        newest = _newest_arrivals(store, batch, batch_id)
         if not {SCAN_REPORT, DELIVERY_REPORT} <= newest.keys():
             return
-        if all(arrival.batch_id != batch_id for arrival in newest.values()):
+        if all(arrival.known for arrival in newest.values()):
             return
         landed = max(arrival.modified_at for arrival in newest.values())
         refresh(

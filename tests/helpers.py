@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dockpulse.schemas import COMBINED, conform
+from dockpulse.schemas import COMBINED
 
 DAY = datetime(2024, 3, 1)
 
@@ -63,4 +63,4 @@ def plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-__all__ = ["DAY", "at", "combined", "conform", "plan", "random_scans", "rows"]
+__all__ = ["DAY", "at", "combined", "plan", "random_scans", "rows"]
