@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dockpulse.functions.labels import display_name
 from dockpulse.functions.timing import at, hours_between, minutes_between, window_start
@@ -18,33 +18,23 @@ def recent_scans(df: DataFrame, as_of: datetime | str, window_minutes: int) -> D
     )
 
 
-def _first_name() -> Column:
-    """Name on the user's earliest scan, null if that row has none."""
-    return F.min_by("__name", F.struct("__no_time", "__since", "__no_name", "__name"))
-
-
-def user_names(df: DataFrame) -> DataFrame:
-    """Display name per user: the name on the earliest scan, else 'User <id>'."""
-    return (
-        _per_user_and_name(present(df, "created_by"), [])
-        .groupBy("created_by")
-        .agg(_first_name().alias("name"))
-        .select(
-            F.col("created_by").alias("user_id"),
-            display_name(F.col("name"), F.col("created_by")).alias("name"),
-        )
+def _first_names(df: DataFrame) -> DataFrame:
+    """Name on the row of each user with the lowest serial number, null if that row has none."""
+    order = F.struct(
+        *[
+            part
+            for name in ("serial_number", "scan_timestamp", "name")
+            for part in (F.col(name).isNull().alias(f"no_{name}"), F.col(name))
+        ]
     )
+    return df.groupBy("created_by").agg(F.min_by("name", order).alias("__name"))
 
 
-def _per_user_and_name(df: DataFrame, measures: list, *extra_keys) -> DataFrame:
-    """First level: hash aggregation with fixed-width buffers, grouped by the text columns
-    instead of aggregating them, so a heavy user shrinks before any shuffle or sort."""
-    name = F.col("name") if "name" in df.columns else F.lit(None).cast("string")
-    return (
-        df.groupBy("created_by", name.alias("__name"), *extra_keys)
-        .agg(F.min("scan_timestamp").alias("__since"), *measures)
-        .withColumn("__no_time", F.col("__since").isNull())
-        .withColumn("__no_name", F.col("__name").isNull())
+def user_names(df: DataFrame) -> DataFrame:
+    """Display name per user: the name on the user's lowest serial, else 'User <id>'."""
+    return _first_names(present(df, "created_by")).select(
+        F.col("created_by").alias("user_id"),
+        display_name(F.col("__name"), F.col("created_by")).alias("name"),
     )
 
 
@@ -57,36 +47,37 @@ def user_activity(
     """Scan count, first and last scan, deliveries and rate per user within the window.
 
     When nobody scanned within the window, every user is returned with zeros and nulls;
-    ``include_inactive`` adds such rows for inactive users in any case. One pass over the scans
-    serves active and inactive users alike; a scalar ``max`` tells whether anybody is recent.
+    ``include_inactive`` adds such rows for inactive users in any case. The counts of
+    active and inactive users come from one pass; a scalar ``max`` tells whether anybody is
+    recent. Names take a pass of their own, as aggregating text would sort the counts' input.
     """
     cutoff = window_start(as_of, window_minutes)
     recent = F.col("scan_timestamp") >= cutoff
     known = present(df, "created_by")
-    measures = [
-        F.count_if(recent).alias("__scans"),
-        F.min(F.when(recent, F.col("scan_timestamp"))).alias("__first"),
-        F.max(F.when(recent, F.col("scan_timestamp"))).alias("__last"),
-    ]
-    by_delivery = F.when(recent, F.col("delivery")).alias("__delivery")
     users = (
-        _per_user_and_name(known, measures, by_delivery)
+        # by delivery first: a heavy user shrinks, by hash, before anything is moved
+        known.groupBy("created_by", F.when(recent, F.col("delivery")).alias("__delivery"))
+        .agg(
+            F.count_if(recent).alias("__scans"),
+            F.min(F.when(recent, F.col("scan_timestamp"))).alias("__first"),
+            F.max(F.when(recent, F.col("scan_timestamp"))).alias("__last"),
+            F.max("scan_timestamp").alias("__any_scan"),
+        )
         .groupBy("created_by")
         .agg(
             F.sum("__scans").alias("scan_count"),
             F.min("__first").alias("first_scan"),
             F.max("__last").alias("last_scan"),
-            F.count_distinct("__delivery").alias("unique_deliveries"),
-            F.min("__since").alias("__since"),
-            _first_name().alias("__first_name"),
+            F.count("__delivery").alias("unique_deliveries"),
+            F.max("__any_scan").alias("__any_scan"),
         )
     )
     active = F.col("scan_count") > 0
     if include_inactive:
-        users = users.filter(F.col("__since").isNotNull())
+        users = users.filter(F.col("__any_scan").isNotNull())
     else:
         newest = known.agg(F.max("scan_timestamp").alias("t")).scalar()
-        users = users.filter(active | (F.col("__since").isNotNull() & (newest < cutoff)))
+        users = users.filter(active | (F.col("__any_scan").isNotNull() & (newest < cutoff)))
     first, last = F.col("first_scan"), F.col("last_scan")
     rate = F.try_divide(F.col("scan_count").cast("double"), hours_between(last, first))
     columns = [
@@ -99,7 +90,8 @@ def user_activity(
         F.round(minutes_between(at(as_of), last), 2).alias("minutes_since_last_scan"),
     ]
     if "name" in df.columns:
-        name = display_name(F.col("__first_name"), F.col("created_by"))
+        users = users.join(_first_names(known), "created_by", "left")
+        name = display_name(F.col("__name"), F.col("created_by"))
         columns.append(F.when(active, name).alias("name"))
     return users.select(*columns)
 

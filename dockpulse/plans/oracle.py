@@ -125,7 +125,7 @@ def _first_names(t: str) -> str:
 SELECT created_by AS user_id, coalesce(name, 'User ' || created_by) AS name FROM current_{t}
 WHERE created_by IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY created_by
-                           ORDER BY scan_timestamp NULLS LAST, name NULLS LAST) = 1"""
+                           ORDER BY serial_number NULLS LAST, scan_timestamp, name) = 1"""
 
 
 def _users(t: str, as_of: str, window: int = WINDOW) -> str:

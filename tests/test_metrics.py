@@ -209,9 +209,9 @@ def test_user_activity(spark):
     )
     assert rows(user_activity(df, AS_OF, 60)) == [
         ("U1", 3, at("11:10"), at("11:40"), 2, 6.0, 20.0, "User U1"),
-        ("U2", 1, at("11:50"), at("11:50"), 1, None, 10.0, "Cy"),
+        ("U2", 1, at("11:50"), at("11:50"), 1, None, 10.0, "Bo"),
     ]
-    assert rows(user_names(df)) == [("U1", "User U1"), ("U2", "Cy")]
+    assert rows(user_names(df)) == [("U1", "User U1"), ("U2", "Bo")]
     assert "name" not in user_activity(df.drop("name"), AS_OF).columns
 
 
