@@ -1,9 +1,12 @@
 import os
+import subprocess
+import sys
 from datetime import datetime
 from io import BytesIO
 from zipfile import ZipFile
 
 import pytest
+from conftest import ROOT
 from helpers import rows
 
 from dockpulse.plans.workbooks import scan_workbooks, workbook_bytes
@@ -125,3 +128,21 @@ def test_workbooks_made_by_tasks(spark):
     assert books.select("path").distinct().count() == books.count() > 1
     assert workbook_rows(books).selectExpr("cells['serial_number']", "cells['t']").distinct().count() == 25
     assert workbook_rows(books).first().cells["t"] == "2024-03-01 10:20:30"
+
+
+def test_tasks_need_no_installed_package(tmp_path):
+    """The driver finds the package by path only; workers started elsewhere must cope."""
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "from dockpulse import build_session\n"
+        "from dockpulse.plans.workbooks import scan_workbooks\n"
+        "from dockpulse.sources.workbook import workbook_columns\n"
+        "spark = build_session('x', 'local[2]', **{'spark.ui.enabled': 'false'})\n"
+        "print(workbook_columns(scan_workbooks(spark.range(3))))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    job = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200
+    )
+    assert job.stdout.strip().endswith("['id']"), job.stderr[-2000:]
