@@ -30,8 +30,9 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def added_rows(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``current`` whose key ``previous`` lacks; duplicates are all kept."""
-    here, there = _keyed(current, keys), _keyed(previous, keys).select(_KEY)
+    """Rows of ``current`` whose key ``previous`` lacks; duplicates are all kept. The keys of
+    ``previous`` are collapsed before they are moved, so many copies of one key weigh nothing."""
+    here, there = _keyed(current, keys), _keyed(previous, keys).select(_KEY).distinct()
     return here.join(there, _KEY, "left_anti").drop(_KEY)
 
 

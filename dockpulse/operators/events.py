@@ -2,43 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dockpulse.operators.progress import delivery_status
 from dockpulse.operators.ranking import top_rows
 from dockpulse.params import PICKED, SHIPPED
 
 
-def _serial(df: DataFrame) -> Column:
-    return F.col("serial_number").cast("string")
+_SERIAL = "__serial"
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """Serial numbers are compared as text. Inside a struct a missing one equals itself, and the
+    comparison stays an equi-join that can reuse the partitioning of a preceding aggregation."""
+    return df.withColumn(_SERIAL, F.struct(F.col("serial_number").cast("string").alias("s")))
+
+
+def _seen(previous: DataFrame, unique: bool) -> DataFrame:
+    """Serials of a snapshot; repeated ones are collapsed on the map side."""
+    serials = _keyed(previous).select(_SERIAL)
+    return serials if unique else serials.distinct()
 
 
 def status_per_serial(previous: DataFrame, unique: bool = False) -> DataFrame:
     """Serial and its status in the previous snapshot. A saved serials section is unique already;
     for any other table the latest scan decides."""
+    keyed = _keyed(previous)
     if not unique:
         order = [F.col("status").asc_nulls_last()]
         if "scan_timestamp" in previous.columns:
             order.insert(0, F.col("scan_timestamp").desc_nulls_last())
-        previous = top_rows(previous, ["serial_number"], order)
-    return previous.select(
-        _serial(previous).alias("__serial"), F.col("status").alias("previous_status")
-    )
+        keyed = top_rows(keyed, [_SERIAL], order)
+    return keyed.select(_SERIAL, F.col("status").alias("previous_status"))
 
 
-def newly_picked(current: DataFrame, previous: DataFrame | None) -> DataFrame:
+def newly_picked(
+    current: DataFrame, previous: DataFrame | None, unique_previous: bool = False
+) -> DataFrame:
     """Picked serials the previous snapshot did not have; on a first run every picked serial."""
     picked = current.filter(F.col("status") == PICKED)
     if previous is not None:
-        seen = previous.select(_serial(previous).alias("__serial"))
-        picked = picked.join(seen, _serial(picked).eqNullSafe(F.col("__serial")), "left_anti")
+        seen = _seen(previous, unique_previous)
+        picked = _keyed(picked).join(seen, _SERIAL, "left_anti").drop(_SERIAL)
     return picked.withColumn("event", F.lit("newly_picked"))
 
 
-def common_serials(current: DataFrame, previous: DataFrame) -> DataFrame:
+def common_serials(
+    current: DataFrame, previous: DataFrame, unique_previous: bool = False
+) -> DataFrame:
     """Current rows whose serial the previous snapshot had."""
-    seen = previous.select(_serial(previous).alias("__serial"))
-    return current.join(seen, _serial(current).eqNullSafe(F.col("__serial")), "left_semi")
+    seen = _seen(previous, unique_previous)
+    return _keyed(current).join(seen, _SERIAL, "left_semi").drop(_SERIAL)
 
 
 def shipped(
@@ -47,16 +61,14 @@ def shipped(
     """Serials that were picked in the previous snapshot and are shipped now."""
     now_shipped = current.filter(F.col("status") == SHIPPED)
     if previous is None:
-        before = now_shipped.limit(0).select(
-            _serial(now_shipped).alias("__serial"), F.col("status").alias("previous_status")
-        )
+        before = status_per_serial(now_shipped.limit(0), unique=True)
     else:
-        before = status_per_serial(previous, unique_previous).filter(
-            F.col("previous_status") == PICKED
-        )
+        before = status_per_serial(previous, unique_previous)
+    before = before.filter(F.col("previous_status") == PICKED)
     return (
-        now_shipped.join(before, _serial(now_shipped).eqNullSafe(F.col("__serial")), "inner")
-        .drop("__serial")
+        _keyed(now_shipped)
+        .join(before, _SERIAL, "inner")
+        .select(*current.columns, "previous_status")
         .withColumn("event", F.lit("shipped"))
     )
 

@@ -305,7 +305,7 @@ QUERIES: dict[str, Query] = {
     "status_changes": _section("status_changes"),
     "completed_deliveries": _section("completed_deliveries"),
     "common_serials": lambda spark, sf: events.common_serials(
-        given.current(spark, sf), given.core(spark, sf, PREVIOUS)
+        given.current(spark, sf), given.core(spark, sf, PREVIOUS), unique_previous=True
     ),
     "diff_added": _diff_added,
     "diff_removed": _diff_removed,

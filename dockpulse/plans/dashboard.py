@@ -51,7 +51,7 @@ def build_section(
         case "status_changes":
             return shipped(current, previous_serials, unique_previous)
         case "new_serials":
-            return newly_picked(current, previous_serials)
+            return newly_picked(current, previous_serials, unique_previous)
         case "completed_deliveries":
             return completed_deliveries(current, previous_serials)
     raise ValueError(f"no section {name!r}; there are {list(SECTIONS)}")
