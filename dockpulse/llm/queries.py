@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import packing, simhash
+from dockpulse.llm import decontamination, lines, packing, simhash
 from dockpulse.llm.common import table
 
 
@@ -16,6 +16,28 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.with_kept_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "document.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "benchmark"),
+    )
+    return found.select(
+        "doc.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
 
@@ -30,8 +52,70 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op7_packing": op7_packing,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_line_dedup": r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+keyed AS (
+    SELECT doc_id, pos, lines[pos] AS line,
+           translate(trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM docs, unnest(range(1, len(lines) + 1)) AS t(pos)
+),
+repeated AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed
+    WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+),
+judged AS (
+    SELECT k.doc_id, pos, line, keeper IS NOT NULL AND k.doc_id <> keeper AS dropped
+    FROM keyed k LEFT JOIN repeated r USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), ''))
+           AS kept_sha256
+FROM judged GROUP BY doc_id
+""",
+    "op4_decontamination": r"""
+WITH folded AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+    UNION ALL
+    SELECT 'b', item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+),
+windows AS (
+    SELECT id AS item_id, least(len(words), 10) AS size,
+           array_to_string(words[p:p + least(len(words), 10) - 1], ' ') AS run
+    FROM folded, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS t(p)
+    WHERE kind = 'b' AND len(words) > 0
+),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+    SELECT id AS doc_id, p, s.size, array_to_string(words[p:p + s.size - 1], ' ') AS run
+    FROM folded, sizes s, unnest(range(1, len(words) - s.size + 2)) AS t(p)
+    WHERE kind = 'd'
+),
+found AS (SELECT doc_id, p, item_id, f.size FROM places f JOIN windows w USING (size, run)),
+hits AS (
+    SELECT doc_id, count(DISTINCT q) AS n_hit FROM found, unnest(range(p, p + size)) AS t(q)
+    GROUP BY doc_id
+),
+named AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items,
+           string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+    FROM found GROUP BY doc_id
+)
+SELECT f.id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM folded f LEFT JOIN hits h ON f.id = h.doc_id LEFT JOIN named n ON f.id = n.doc_id
+WHERE kind = 'd'
+""",
+}
