@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from dockpulse.session import scratch_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +32,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder; compact, and its lineage ends there."""
+    path = scratch_dir(df.sparkSession, f"llm-{purpose}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_arrow(
     df: DataFrame, schema: StructType, function: Callable[[Iterator[pa.RecordBatch]], Iterator[list]]
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import decontamination, lines, packing, simhash, toxicity
+from dockpulse.llm import decontamination, lines, packing, simhash, suffix_sort, toxicity
 from dockpulse.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_sort.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op6_suffix_sort": op6_suffix_sort,
     "op7_packing": op7_packing,
     "op10_simhash": op10_simhash,
 }
