@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import decontamination, lines, packing, simhash, suffix_sort, toxicity
+from dockpulse.llm import decontamination, lines, packing, simhash, suffix_sort, suffix_tree, toxicity
 from dockpulse.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_tree.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -73,6 +78,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_suffix_sort": op6_suffix_sort,
     "op7_packing": op7_packing,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_simhash": op10_simhash,
 }
 
@@ -135,5 +141,34 @@ SELECT f.id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM folded f LEFT JOIN hits h ON f.id = h.doc_id LEFT JOIN named n ON f.id = n.doc_id
 WHERE kind = 'd'
+""",
+    "op9_suffix_tree": r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+places AS (
+    SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS run
+    FROM docs, unnest(range(1, len(words) - 11)) AS t(p)
+),
+earliest AS (SELECT run, min(doc_id) AS first_doc FROM places GROUP BY run),
+removed AS (
+    SELECT DISTINCT doc_id, q
+    FROM places JOIN earliest USING (run), unnest(range(p, p + 13)) AS t(q)
+    WHERE first_doc < doc_id
+),
+judged AS (
+    SELECT d.doc_id, pos, words[pos] AS word, r.q IS NOT NULL AS gone
+    FROM docs d, unnest(range(1, len(words) + 1)) AS t(pos)
+    LEFT JOIN removed r ON r.doc_id = d.doc_id AND r.q = pos
+),
+kept AS (
+    SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+           string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS text
+    FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """,
 }

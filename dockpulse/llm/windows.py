@@ -126,11 +126,16 @@ def place_offset(place):
 
 
 def anchored_runs(
-    values: np.ndarray, bounds: np.ndarray, spec: Windows, powers: Powers
+    values: np.ndarray,
+    bounds: np.ndarray,
+    spec: Windows,
+    powers: Powers,
+    sizes: np.ndarray | None = None,
 ) -> tuple[np.ndarray, ...]:
     """(sequence, start, count, offset, key, context) of the runs of several sequences.
 
     ``values`` are their symbols one after the other, ``bounds`` where each begins and the end.
+    With ``sizes`` of the symbols the largest grams are anchors first, as they are the rarest.
     """
     n, span = len(values), spec.length - spec.gram + 1
     none = np.empty(0, np.int64)
@@ -140,7 +145,12 @@ def anchored_runs(
     at = np.arange(n - spec.gram + 1)
     grams = mixed(powers.between(first, at, at + spec.gram, 0))
     low = _U((1 << 20) - 1)
-    rank = (grams & ~low) | at.astype(_U)
+    rank = grams
+    if sizes is not None:
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        size = np.minimum(total[at + spec.gram] - total[at], 63).astype(_U)
+        rank = ((_U(63) - size) << _U(58)) | (grams >> _U(6))
+    rank = (rank & ~low) | at.astype(_U)
     width = 1
     while width * 2 <= span:
         rank = np.minimum(rank[:-width], rank[width:])
