@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockpulse.llm.common import text_key
+from dockpulse.llm.common import checkpointed, text_key
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -80,14 +80,16 @@ def drop_bitmaps(
         "pos",
         ((number == 1) | ~earlier.eqNullSafe(F.col("doc_id"))).alias("first_of_doc"),
     )
-    keys = (
+    # Checkpointed, so that the join below shuffles both sides for itself: only then can the
+    # adaptive skew join split the rows of a frequent line.
+    keys = checkpointed(
         marked.where("first_of_doc")
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
-    dropped = marked.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    dropped = lines.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     block = F.shiftright("pos", 6)
     bit = F.call_function(
         "shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(F.lit(63))
