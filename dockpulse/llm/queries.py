@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import decontamination, lines, packing, simhash, suffix_sort, suffix_tree, toxicity
+from dockpulse.llm import decontamination, digests, lines, packing, simhash, suffix_sort, suffix_tree, toxicity
 from dockpulse.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.with_kept_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -50,7 +54,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_sort.without_repeats(table(spark, sf_dir, "documents"))
+    found = suffix_sort.without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -74,6 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_digests": op2_digests,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_suffix_sort": op6_suffix_sort,
