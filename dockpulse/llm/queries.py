@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import decontamination, digests, lines, packing, simhash, suffix_sort, suffix_tree, toxicity
+from dockpulse.llm import (
+    decontamination,
+    digests,
+    html_text,
+    lines,
+    packing,
+    simhash,
+    suffix_sort,
+    suffix_tree,
+    toxicity,
+    warc,
+)
 from dockpulse.llm.common import table
 
 
@@ -53,6 +64,40 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits an archive of all pages against a replica with damage in known places.
+
+    The replica lacks the pages whose id leaves 1 when divided by 101; of those that leave 3 when
+    divided by 97 the first character is another, of those that leave 2 when divided by 103 the
+    second half is lost.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    original = warc.archive(pages)
+    html = F.coalesce("html", F.lit(""))
+    damaged = pages.withColumn(
+        "html",
+        F.when(F.col("page_id") % 97 == 3, F.concat(F.lit("#"), F.substring(html, 2, 1 << 30)))
+        .when(
+            F.col("page_id") % 103 == 2,
+            F.substring(html, F.lit(1), F.floor(F.char_length(html) / 2).cast("int")),
+        )
+        .otherwise(html),
+    )
+    places = original.select("page_id", "file", "offset")
+    record = warc.record_bytes(F.col("url"), F.col("html"))
+    replica = (
+        damaged.where("page_id % 101 <> 1")
+        .select(
+            "page_id",
+            F.octet_length(record).cast("long").alias("length"),
+            F.sha2(record, 256).alias("digest"),
+        )
+        .join(places, "page_id")
+        .select("file", "offset", "length", "page_id", "digest")
+    )
+    return warc.audit(original, replica)
+
+
 def op6_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_sort.without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -62,6 +107,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_tree.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -81,8 +130,10 @@ QUERIES = {
     "op2_digests": op2_digests,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_warc_fixity": op5_warc_fixity,
     "op6_suffix_sort": op6_suffix_sort,
     "op7_packing": op7_packing,
+    "op8_html_text": op8_html_text,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_simhash": op10_simhash,
 }
@@ -146,6 +197,25 @@ SELECT f.id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM folded f LEFT JOIN hits h ON f.id = h.doc_id LEFT JOIN named n ON f.id = n.doc_id
 WHERE kind = 'd'
+""",
+    "op5_warc_fixity": r"""
+WITH records AS (
+    SELECT page_id, page_id // 1024 AS file, coalesce(html, '') AS html, coalesce(url, '') AS url,
+           strlen(coalesce(url, '')) + strlen(coalesce(html, ''))
+           + strlen(strlen(coalesce(html, ''))::VARCHAR) + 99 AS length
+    FROM pages
+),
+placed AS (
+    SELECT *, coalesce(sum(length) OVER (
+        PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+    ), 0)::BIGINT AS "offset",
+    CASE WHEN page_id % 97 = 3 THEN '#' || substr(html, 2)
+         WHEN page_id % 103 = 2 THEN left(html, length(html) // 2) ELSE html END AS damaged
+    FROM records
+)
+SELECT file, "offset", length, page_id,
+       CASE WHEN page_id % 101 = 1 THEN 'missing' ELSE 'changed' END AS fault
+FROM placed WHERE page_id % 101 = 1 OR damaged <> html
 """,
     "op9_suffix_tree": r"""
 WITH docs AS (
