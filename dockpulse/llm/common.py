@@ -6,6 +6,7 @@ import os
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,12 @@ def utf8(column: str) -> Column:
 def text_key(column: str) -> Column:
     """Hash that tells apart rows of one doc_id with different texts; null counts as empty."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def octets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column one value after the other, and where each begins and the end."""
+    large = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), offsets

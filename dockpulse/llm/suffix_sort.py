@@ -35,12 +35,14 @@ from pyspark.sql.types import (
 )
 
 from dockpulse.llm import windows as W
-from dockpulse.llm.common import map_arrow
+from dockpulse.llm.common import map_arrow, octets_of
 
 LENGTH = 400
 GRAM = 100
 #: Suffixes that are sorted as one group at most; larger groups are split by window.
-GROUP = 1024
+GROUP = 32768
+#: Prefix hashes are kept at every so many bytes.
+STRIDE = 8
 
 _CONTEXTS = StructType(
     [
@@ -55,28 +57,29 @@ _SPANS = StructType([StructField("id", LongType()), StructField("place", LongTyp
 
 
 class Suffix:
-    """A byte string with its prefix polynomial hashes."""
+    """A byte string with the polynomial hashes of its prefixes of whole strides."""
 
     __slots__ = ("data", "hashes")
-    powers = None
 
     def __init__(self, data: bytes, values: np.ndarray, powers: W.Powers):
         self.data = data
-        octets = np.frombuffer(data, np.uint8)
-        self.hashes = powers.prefixes(values[octets], 0).tolist()
+        self.hashes = powers.prefixes(values[np.frombuffer(data, np.uint8)], 0)[::STRIDE].copy()
 
 
 def common_extension(a: Suffix, b: Suffix) -> int:
     """Length of the longest common prefix, by binary search on the prefix hashes."""
-    low, high = 0, min(len(a.data), len(b.data))
     x, y = a.hashes, b.hashes
+    low, high = 0, min(len(x), len(y)) - 1
     while low < high:
         middle = (low + high + 1) // 2
         if x[middle] == y[middle]:
             low = middle
         else:
             high = middle - 1
-    return low
+    at, end = low * STRIDE, min(len(a.data), len(b.data))
+    while at < end and a.data[at] == b.data[at]:
+        at += 1
+    return at
 
 
 def verified_extension(a: Suffix, b: Suffix) -> int:
@@ -165,13 +168,22 @@ def _spec(length: int, gram: int, group: int) -> W.Windows:
     return W.Windows(length=length, gram=gram, earlier=False, limit=group)
 
 
-def _parts(body: bytes, length: int) -> Iterator[tuple[int, bytes]]:
-    """A long text in parts that share ``length - 1`` bytes, so that each window is in one."""
-    if len(body) <= 2 * W.SEGMENT:
-        yield 0, body
-        return
-    for start in range(0, len(body) - length + 1, W.SEGMENT):
-        yield start, body[start : start + W.SEGMENT + length - 1]
+def _segments(lengths: np.ndarray, length: int) -> Iterator[list[tuple[int, int, int]]]:
+    """(text, from, to) in groups of about a segment; long texts in parts that share
+    ``length - 1`` bytes, so that each window is in one of them."""
+    group, size = [], 0
+    for text in np.flatnonzero(lengths >= length).tolist():
+        whole = int(lengths[text])
+        step = whole if whole <= 2 * W.SEGMENT else W.SEGMENT
+        for start in range(0, whole - length + 1, step):
+            end = min(start + step + length - 1, whole) if step < whole else whole
+            if group and size + end - start > W.SEGMENT:
+                yield group
+                group, size = [], 0
+            group.append((text, start, end))
+            size += end - start
+    if group:
+        yield group
 
 
 def _runs(spec: W.Windows):
@@ -180,34 +192,20 @@ def _runs(spec: W.Windows):
         powers = W.Powers(2 * W.SEGMENT + 2 * spec.length + 2)
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            octets, offsets = octets_of(batch.column(2))
             rows: list[list[np.ndarray]] = []
-            owners, shifts, bodies, size = [], [], [], 0
-
-            def flush() -> None:
-                nonlocal owners, shifts, bodies, size
-                if not bodies:
-                    return
-                octets = np.frombuffer(b"".join(bodies), np.uint8)
-                bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+            for group in _segments(np.diff(offsets), spec.length):
+                owners, froms, tos = (np.array(c, np.int64) for c in zip(*group))
+                text = np.concatenate(
+                    [octets[offsets[o] + a : offsets[o] + b] for o, a, b in group]
+                )
+                bounds = np.concatenate([[0], np.cumsum(tos - froms)])
                 of, start, count, offset, key, context = W.anchored_runs(
-                    values[octets], bounds, spec, powers
+                    values[text], bounds, spec, powers
                 )
-                owner, shift = np.array(owners)[of], np.array(shifts, np.int64)[of]
-                place = W.pack_place(start + shift, tags[owner], count, offset, 0)
+                owner = owners[of]
+                place = W.pack_place(start + froms[of], tags[owner], count, offset, 0)
                 rows.append([ids[owner], place, key, context])
-                owners, shifts, bodies, size = [], [], [], 0
-
-            for row, body in enumerate(batch.column(2).to_pylist()):
-                if len(body) < spec.length:
-                    continue
-                for shift, part in _parts(body, spec.length):
-                    if size + len(part) > W.SEGMENT:
-                        flush()
-                    owners.append(row)
-                    shifts.append(shift)
-                    bodies.append(part)
-                    size += len(part)
-            flush()
             if rows:
                 yield W.local_rows(*[np.concatenate(c) for c in zip(*rows)], spec.earlier)
 
@@ -316,9 +314,16 @@ def repeated_bytes(
 
 
 def without_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    group: int = GROUP,
+    with_bytes: bool = True,
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256); ``kept`` has the bytes left."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document.
+
+    ``kept`` has the bytes that are left; it is null unless ``with_bytes`` asks for them.
+    """
     found = repeated_bytes(docs, length, gram, group)
     schema = StructType(
         [
@@ -326,25 +331,25 @@ def without_repeats(
             StructField("n_bytes", LongType()),
             StructField("n_removed", LongType()),
             StructField("n_spans", LongType()),
-            StructField("kept", BinaryType()),
             StructField("kept_sha256", StringType()),
+            StructField("kept", BinaryType()),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             out = []
-            bodies, places = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for body, spans in zip(bodies, places):
-                if not spans:
-                    out.append((len(body), 0, 0, body, hashlib.sha256(body).hexdigest()))
-                    continue
-                gone = W.covered_mask(spans, len(body), length)
-                kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
-                edges = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append(
-                    (len(body), len(body) - len(kept), edges, kept, hashlib.sha256(kept).hexdigest())
-                )
+            octets, offsets = octets_of(batch.column(1))
+            for i, spans in enumerate(batch.column(2)):
+                kept = octets[offsets[i] : offsets[i + 1]]
+                size, edges = len(kept), 0
+                if spans.is_valid:
+                    gone = W.covered_mask(spans.as_py(), size, length)
+                    kept = kept[~gone]
+                    edges = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+                digest = hashlib.sha256(kept).hexdigest()
+                text = kept.tobytes() if with_bytes else None
+                out.append((size, size - len(kept), edges, digest, text))
             columns = [list(c) for c in zip(*out)] if out else [[] for _ in range(5)]
             yield [batch.column(0), *columns]
 

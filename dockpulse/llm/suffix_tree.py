@@ -37,7 +37,7 @@ from dockpulse.llm.suffix_sort import groups_by_key, runs_of
 LENGTH = 13
 GRAM = 2
 #: Contexts whose suffixes make one tree at most.
-GROUP = 2048
+GROUP = 16384
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CONTEXTS = StructType(

@@ -14,8 +14,9 @@ symbols that its windows cover. One row per run stands for all its windows:
    out over several partitions. Rows of one context are decided as they stream by. A key with
    several contexts may hide partial matches: their rows become requests.
 3. Requests fetch the contexts themselves. Keys of up to ``limit`` contexts are resolved as one
-   group by the caller's method; larger groups, and keys at the edge of a partition, are split
-   by window: each window becomes a row of its own as in 1, and is decided as in 2.
+   group by the caller's method; larger groups are split by window: each window becomes a row of
+   its own as in 1, and is decided as in 2. Keys that meet the edge of a partition are counted
+   over all partitions first.
 
 Decisions are spans of window starts, which the caller joins to the documents.
 
@@ -38,7 +39,7 @@ from pyspark.sql.types import ByteType, LongType, StructField, StructType
 from dockpulse.llm.common import map_arrow, text_key, written
 
 #: Symbols handled at once; longer documents are read in overlapping parts.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 NULL_ID = -(1 << 63)
 
 _U = np.uint64
@@ -290,12 +291,16 @@ def decided(rows: DataFrame, spec: Windows, partial: bool) -> DataFrame:
     return map_arrow(dealt, DECIDED, run)
 
 
-def requested(out: DataFrame) -> DataFrame:
-    """Requests of each document."""
+def requested(out: DataFrame, limit: int) -> DataFrame:
+    """Requests of each document, with the keys at partition edges counted as wholes."""
     tag = F.shiftright("place", 18).bitwiseAND(F.lit(0x1FFF))
+    sizes = out.where(F.col("kind") == LARGE).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("n") > limit, F.lit(LARGE)).otherwise(F.lit(SMALL)).cast("byte")
     return (
         out.where(F.col("kind") > SPAN)
-        .select("id", tag.alias("tag"), F.struct("kind", "place", "key").alias("request"))
+        .join(sizes, "key", "left")
+        .where("n is null or n > 1")
+        .select("id", tag.alias("tag"), F.struct(kind.alias("kind"), "place", "key").alias("request"))
         .groupBy("id", "tag")
         .agg(F.collect_list("request").alias("requests"))
     )
@@ -329,7 +334,7 @@ def window_spans(
     texts = documents(docs)
     rows = map_arrow(texts, ROWS, runs)
     out = written(decided(rows, spec, partial=True), "windows")
-    asked = requested(out)
+    asked = requested(out, spec.limit)
     fetched = contexts(texts.join(asked, ["id", "tag"]))
     small = fetched.where(F.col("kind") == SMALL).drop("kind")
     large = fetched.where(F.col("kind") == LARGE).drop("kind")
