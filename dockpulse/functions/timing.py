@@ -32,10 +32,12 @@ def window_start(as_of: datetime | str | Column, minutes: int) -> Column:
 
 
 def time_of_day(value: Column, kind: T.DataType) -> Column:
-    """Time of day as 'HH:mm:ss' text; text passes through."""
+    """Time of day as 'HH:mm:ss' text; text passes through, of 12-hour clocks too."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(value, "HH:mm:ss")
-    return value.cast("string")
+    text = F.upper(F.trim(value.cast("string")))
+    half_day = F.try_to_timestamp(text, F.lit("h:mm[:ss] a"))
+    return F.when(text.rlike("[AP]M$"), F.date_format(half_day, "HH:mm:ss")).otherwise(text)
 
 
 def join_date_and_time(day: Column, time_text: Column) -> Column:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from dockpulse.functions.timing import at, minutes_between
-from dockpulse.operators.ranking import top_rows
+from dockpulse.operators.ranking import most_rows, top_rows
 
 def _newest_first() -> list:
     return [F.desc("timestamp"), F.asc_nulls_last("activity_type")]
@@ -15,17 +15,20 @@ def _newest_first() -> list:
 
 def last_activities(log: DataFrame, keep: int = 100) -> DataFrame:
     """The newest ``keep`` activities of every user."""
-    return top_rows(log, ["user_id"], _newest_first(), keep)
+    return most_rows(log, ["user_id"], _newest_first(), keep)
 
 
 def activity_history(
     log: DataFrame, user: str | None = None, limit: int = 20, keep: int = 100
 ) -> DataFrame:
     """The newest ``limit`` of the kept activities, of one user or of everybody. Sort by
-    ``timestamp`` to show them oldest first; a limit of zero returns nothing."""
+    ``timestamp`` to show them oldest first; a limit of zero returns nothing. Only ``keep``
+    activities of a user count as kept, so a larger limit is refused."""
+    if limit > keep:
+        raise ValueError(f"limit {limit} exceeds the {keep} activities kept per user")
     if user is not None:
         log = log.filter(F.col("user_id") == user)
-    return last_activities(log, min(limit, keep))
+    return last_activities(log, limit)
 
 
 def activity_counts(log: DataFrame) -> DataFrame:
@@ -56,15 +59,11 @@ def activity_metrics(log: DataFrame, as_of: datetime | str, keep: int = 100) ->
 
 
 def with_last_activity(users: DataFrame, log: DataFrame) -> DataFrame:
-    """Users with the time and type of their newest activity."""
-    newest = (
-        # grouping by type first keeps the map-side aggregation on fixed-width buffers
-        log.groupBy("user_id", "activity_type")
-        .agg(F.max("timestamp").alias("t"))
-        .groupBy("user_id")
-        .agg(
-            F.max("t").alias("last_activity"),
-            F.max_by("activity_type", "t").alias("last_activity_type"),
-        )
+    """Users with the time and type of their newest activity; of several at that time the first
+    type in order, a missing one last."""
+    newest = top_rows(log.filter(F.col("timestamp").isNotNull()), ["user_id"], _newest_first()).select(
+        "user_id",
+        F.col("timestamp").alias("last_activity"),
+        F.col("activity_type").alias("last_activity_type"),
     )
     return users.join(newest, "user_id", "left")

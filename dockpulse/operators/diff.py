@@ -77,10 +77,14 @@ def changed_rows(
     previous: DataFrame,
     keys: Sequence[str],
     ignore: Sequence[str] = (),
+    unique: bool = False,
 ) -> DataFrame:
-    """Common keys with a differing value: current row, first differing column, previous value."""
-    matched = _packed(current, keys, _NOW, False).join(
-        _packed(previous, keys, _BEFORE, False), _KEY, "inner"
+    """Common keys with a differing value: current row, first differing column, previous value.
+
+    ``unique`` promises one row per key on both sides.
+    """
+    matched = _packed(current, keys, _NOW, unique).join(
+        _packed(previous, keys, _BEFORE, unique), _KEY, "inner"
     )
     noted = _first_difference(matched, _compared(current, previous, keys, ignore))
     return noted.filter(F.col("changed_column").isNotNull()).select(

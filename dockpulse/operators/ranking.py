@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _RANK, _SPLIT = "__rank", "__split"
-_SPLITS = 32
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str) -> DataFrame:
@@ -20,21 +19,16 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: st
     return df.withColumn(rank, F.row_number().over(window))
 
 
-def with_split(df: DataFrame, name: str) -> DataFrame:
-    """Number the map tasks modulo a constant: spreads the rows of one key, copies of one row
-    included, over several reducers. Only for steps whose result does not depend on the split."""
-    return df.withColumn(name, F.pmod(F.spark_partition_id(), F.lit(_SPLITS)))
-
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
+    """The first n rows of every key, for a small n that Spark cuts on the map side.
 
-def _map_side_limit(df: DataFrame) -> int:
-    """Largest n that Spark cuts on the map side."""
-    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    ``order`` should leave ties only between equal rows.
+    """
+    return ranked(df, keys, order, _RANK).filter(F.col(_RANK) <= n).drop(_RANK)
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """The first n rows of every key. ``order`` should leave ties only between equal rows."""
-    if n > _map_side_limit(df):
-        # too many for the map side: cut each key in several parts first, then the rest of it
-        parts = ranked(with_split(df, _SPLIT), [*keys, _SPLIT], order, _RANK)
-        df = parts.filter(F.col(_RANK) <= n).drop(_SPLIT, _RANK)
-    return ranked(df, keys, order, _RANK).filter(F.col(_RANK) <= n).drop(_RANK)
+def most_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows of every key for any n: the rows of a key that one map task holds are cut
+    as a part of their own, then what is left of the key."""
+    parts = ranked(df.withColumn(_SPLIT, F.spark_partition_id()), [*keys, _SPLIT], order, _RANK)
+    return top_rows(parts.filter(F.col(_RANK) <= n).drop(_SPLIT, _RANK), keys, order, n)

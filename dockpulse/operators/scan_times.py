@@ -4,43 +4,37 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dockpulse.functions.timing import at, duration_label, minutes_between
-from dockpulse.operators.ranking import ranked, with_split
+from dockpulse.operators.ranking import ranked, top_rows
 from dockpulse.schemas import present
 
-def _two_latest_times(df: DataFrame) -> DataFrame:
-    """The two latest distinct scan times per user and split, each with its first serial and
-    status.
-
-    ``dense_rank`` keeps ties, and with day-only scan times one user may have a large share of
-    the input in a single tie. Splitting each user first, then grouping by time, bounds what any
-    task holds for one user.
-    """
-    window = Window.partitionBy("created_by", "__split").orderBy(F.desc("scan_timestamp"))
-    latest = (
-        with_split(df, "__split")
-        .withColumn("__rank", F.dense_rank().over(window))
-        .filter(F.col("__rank") <= 2)
-    )
-    known = F.col("serial_number").isNull().alias("unknown")
-    return latest.groupBy("created_by", "scan_timestamp").agg(
-        F.min(F.struct(known, "serial_number", "status")).alias("__first")
-    )
-
 
 def scan_times(df: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Latest scan per user, the latest one strictly before it, and the gap between them."""
+    """Latest scan per user, the latest one strictly before it, and the gap between them.
+
+    Two passes, both cut to a row or two per user and map task before anything is moved: the
+    first row at the latest time, and the two latest distinct times.
+    """
     valid = present(df, "scan_timestamp", "created_by").select(
         "created_by", "scan_timestamp", "serial_number", "status"
     )
-    window = Window.partitionBy("created_by").orderBy(F.desc("scan_timestamp"))
-    newest = (
-        _two_latest_times(valid)
-        .withColumn("previous_scan_time", F.lead("scan_timestamp").over(window))
-        .withColumn("__rank", F.row_number().over(window))
-        .filter(F.col("__rank") == 1)
+    order = [F.desc("scan_timestamp"), F.asc_nulls_last("serial_number"), F.asc_nulls_first("status")]
+    first = top_rows(valid, ["created_by"], order)
+    times = top_rows(
+        valid.select("created_by", "scan_timestamp").distinct(),
+        ["created_by"],
+        [F.desc("scan_timestamp")],
+        2,
+    )
+    earlier = times.groupBy("created_by").agg(
+        F.max("scan_timestamp").alias("__latest"),
+        F.min("scan_timestamp").alias("__earliest"),
+    )
+    newest = first.join(earlier, "created_by").withColumn(
+        "previous_scan_time",
+        F.when(F.col("__earliest") < F.col("__latest"), F.col("__earliest")),
     )
     current, previous = F.col("scan_timestamp"), F.col("previous_scan_time")
     return newest.select(
@@ -48,8 +42,8 @@ def scan_times(df: DataFrame, as_of: datetime | str) -> DataFrame:
         current.alias("current_scan_time"),
         previous,
         minutes_between(current, previous).alias("time_between_scans_minutes"),
-        F.coalesce("__first.serial_number", F.lit("")).alias("serial"),
-        F.coalesce("__first.status", F.lit("")).alias("status"),
+        F.coalesce("serial_number", F.lit("")).alias("serial"),
+        F.coalesce("status", F.lit("")).alias("status"),
         F.round(minutes_between(at(as_of), current), 2).alias("minutes_since_last_scan"),
     )
 

@@ -47,38 +47,31 @@ def user_activity(
     """Scan count, first and last scan, deliveries and rate per user within the window.
 
     When nobody scanned within the window, every user is returned with zeros and nulls;
-    ``include_inactive`` adds such rows for inactive users in any case. The counts of
-    active and inactive users come from one pass; a scalar ``max`` tells whether anybody is
-    recent. Names take a pass of their own, as aggregating text would sort the counts' input.
+    ``include_inactive`` adds such rows for inactive users in any case. Whether anybody is recent
+    is decided first, from the newest scan alone. The counts then read the window only, a filter
+    that reaches the scan of a saved table, and names are sought for the users left.
     """
     cutoff = window_start(as_of, window_minutes)
-    recent = F.col("scan_timestamp") >= cutoff
-    known = present(df, "created_by")
-    users = (
+    known = present(df, "created_by", "scan_timestamp")
+    anybody = known.agg(F.max("scan_timestamp") >= cutoff).first()[0]
+    first, last = F.col("first_scan"), F.col("last_scan")
+    active = (
         # by delivery first: a heavy user shrinks, by hash, before anything is moved
-        known.groupBy("created_by", F.when(recent, F.col("delivery")).alias("__delivery"))
+        known.filter(F.col("scan_timestamp") >= cutoff)
+        .groupBy("created_by", "delivery")
         .agg(
-            F.count_if(recent).alias("__scans"),
-            F.min(F.when(recent, F.col("scan_timestamp"))).alias("__first"),
-            F.max(F.when(recent, F.col("scan_timestamp"))).alias("__last"),
-            F.max("scan_timestamp").alias("__any_scan"),
+            F.count(F.lit(1)).alias("scan_count"),
+            F.min("scan_timestamp").alias("first_scan"),
+            F.max("scan_timestamp").alias("last_scan"),
         )
         .groupBy("created_by")
         .agg(
-            F.sum("__scans").alias("scan_count"),
-            F.min("__first").alias("first_scan"),
-            F.max("__last").alias("last_scan"),
-            F.count("__delivery").alias("unique_deliveries"),
-            F.max("__any_scan").alias("__any_scan"),
+            F.sum("scan_count").alias("scan_count"),
+            F.min(first).alias("first_scan"),
+            F.max(last).alias("last_scan"),
+            F.count("delivery").alias("unique_deliveries"),
         )
     )
-    active = F.col("scan_count") > 0
-    if include_inactive:
-        users = users.filter(F.col("__any_scan").isNotNull())
-    else:
-        newest = known.agg(F.max("scan_timestamp").alias("t")).scalar()
-        users = users.filter(active | (F.col("__any_scan").isNotNull() & (newest < cutoff)))
-    first, last = F.col("first_scan"), F.col("last_scan")
     rate = F.try_divide(F.col("scan_count").cast("double"), hours_between(last, first))
     columns = [
         F.col("created_by").alias("user_id"),
@@ -86,14 +79,29 @@ def user_activity(
         first,
         last,
         "unique_deliveries",
-        F.when(active, F.round(rate, 2)).otherwise(F.lit(0.0)).alias("scans_per_hour"),
+        F.round(rate, 2).alias("scans_per_hour"),
         F.round(minutes_between(at(as_of), last), 2).alias("minutes_since_last_scan"),
     ]
     if "name" in df.columns:
-        users = users.join(_first_names(known), "created_by", "left")
-        name = display_name(F.col("__name"), F.col("created_by"))
-        columns.append(F.when(active, name).alias("name"))
-    return users.select(*columns)
+        everything = present(df, "created_by").join(active.select("created_by"), "created_by", "left_semi")
+        active = active.join(_first_names(everything), "created_by", "left")
+        columns.append(display_name(F.col("__name"), F.col("created_by")).alias("name"))
+    section = active.select(*columns)
+    if anybody and not include_inactive:
+        return section
+    idle = known.select(F.col("created_by").alias("user_id")).distinct()
+    if anybody:
+        idle = idle.join(section.select("user_id"), "user_id", "left_anti")
+    zeros = {"scan_count": 0, "unique_deliveries": 0, "scans_per_hour": 0.0}
+    idle = idle.select(
+        *[
+            "user_id"
+            if f.name == "user_id"
+            else F.lit(zeros.get(f.name)).cast(f.dataType).alias(f.name)
+            for f in section.schema.fields
+        ]
+    )
+    return section.unionByName(idle) if anybody else idle
 
 
 def active_users(section: DataFrame, as_of: datetime | str, window_minutes: int = 60) -> DataFrame:

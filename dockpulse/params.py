@@ -29,4 +29,7 @@ class Params:
     activity_keep: int = 100
     history_limit: int = 20
     null_key_as_zero: bool = False
+    include_inactive: bool = False
+    #: Columns that the change feed does not compare, such as minutes that grow with every run.
+    ignore_columns: tuple[str, ...] = ()
     status_descriptions: Mapping[str, str] = field(default_factory=lambda: dict(STATUS_DESCRIPTIONS))

@@ -109,12 +109,23 @@ def untidy_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_rows(spark, sf_dir, CURRENT).select(
         F.when(line == 7, _text("S", number)).otherwise(number).alias("SerialNo"),
         _text("U", F.col("l_suppkey")).alias("User ID"),
-        F.when(line == 6, "garbage").when(line != 5, day).alias("Created Date"),
+        F.when(line == 6, "garbage")
+        .when(line == 4, F.date_format("o_orderdate", "MM/dd/yyyy"))
+        .when(line == 3, F.date_format("o_orderdate", "yyyyMMdd"))
+        .when(line != 5, day)
+        .alias("Created Date"),
         F.when(kind == 1, "ab")
         .when(kind == 2, _text(order, ".9"))
+        .when(kind == 3, _text(order, "D"))
+        .when(kind == 4, _text(order, "f"))
+        .when(kind == 5, F.when(line % 2 == 0, "  ").otherwise("NaN"))
+        .when(kind == 6, _text(" ", order, "e0 "))
         .when(kind != 0, order.cast("string"))
         .alias("Delivery Number"),
-        F.when(F.col("l_quantity") >= 45, "n/a").otherwise(quantity).alias("Qty"),
+        F.when(F.col("l_quantity") >= 45, "n/a")
+        .when(F.col("l_quantity") >= 40, _text(quantity, "d"))
+        .otherwise(quantity)
+        .alias("Qty"),
         (line % 2).cast("string").alias("Pallet"),
         F.col("l_returnflag").alias("Warehouse ID"),
     )

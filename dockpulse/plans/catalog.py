@@ -60,11 +60,12 @@ def _diff_removed(spark, sf):
 
 
 def _diff_changed(spark, sf):
-    return diff.changed_rows(*_pair(spark, sf, "scan_times"), SECTION_KEYS["scan_times"])
+    keys = SECTION_KEYS["scan_times"]
+    return diff.changed_rows(*_pair(spark, sf, "scan_times"), keys, unique=True)
 
 
 def _diff_serials(spark, sf):
-    return diff.diff_section("serials", *_pair(spark, sf, "serials"))
+    return diff.diff_section("serials", *_pair(spark, sf, "serials"), unique=True)
 
 
 def _diff_first_run(spark, sf):

@@ -39,7 +39,7 @@ def build_section(
     """One lazy section over ``current``."""
     match name:
         case "users":
-            return user_activity(current, as_of, params.window_minutes)
+            return user_activity(current, as_of, params.window_minutes, params.include_inactive)
         case "deliveries":
             return delivery_packages(current)
         case "progress":

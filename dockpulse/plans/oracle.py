@@ -78,10 +78,17 @@ untidy AS (
            AS serialno,
          'U' || l_suppkey AS user_id,
          CASE WHEN l_linenumber = 6 THEN 'garbage'
+              WHEN l_linenumber = 4 THEN strftime(o_orderdate, '%m/%d/%Y')
+              WHEN l_linenumber = 3 THEN strftime(o_orderdate, '%Y%m%d')
               WHEN l_linenumber <> 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS created_date,
          CASE l_suppkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'ab' WHEN 2 THEN l_orderkey || '.9'
+              WHEN 3 THEN l_orderkey || 'D' WHEN 4 THEN l_orderkey || 'f'
+              WHEN 5 THEN CASE WHEN l_linenumber % 2 = 0 THEN '  ' ELSE 'NaN' END
+              WHEN 6 THEN ' ' || l_orderkey || 'e0 '
               ELSE CAST(l_orderkey AS VARCHAR) END AS delivery_number,
          CASE WHEN l_quantity >= 45 THEN 'n/a'
+              WHEN l_quantity >= 40
+              THEN CAST(CAST(floor(l_quantity) AS INTEGER) AS VARCHAR) || 'd'
               ELSE CAST(CAST(floor(l_quantity) AS INTEGER) AS VARCHAR) END AS qty,
          CAST(l_linenumber % 2 AS VARCHAR) AS pallet,
          l_returnflag AS warehouse_id
@@ -327,8 +334,20 @@ def _both_counts(snapshot_id: bool) -> str:
     )
 
 
+def _double(column: str) -> str:
+    """A decimal number; casts alone would take texts such as 'NaN' too."""
+    number = r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*"
+    return f"CASE WHEN regexp_full_match({column}, '{number}') THEN CAST(trim({column}) AS DOUBLE) END"
+
+
 def _number(column: str) -> str:
-    return f"TRY_CAST({column} AS DOUBLE) AS {column}"
+    return f"{_double(column)} AS {column}"
+
+
+_DAY = (
+    "coalesce(TRY_CAST(CASE WHEN NOT regexp_full_match(created_on, '[0-9]+') THEN created_on END "
+    "AS TIMESTAMP), try_strptime(created_on, '%m/%d/%Y'), try_strptime(created_on, '%Y%m%d'))"
+)
 
 
 def _kept(n: int) -> str:
@@ -340,8 +359,9 @@ def _kept(n: int) -> str:
 
 def _last_activity() -> str:
     return """
-SELECT user_id, max(timestamp) AS last_activity, arg_max(activity_type, timestamp)
-  AS last_activity_type FROM activity GROUP BY user_id"""
+SELECT user_id, timestamp AS last_activity, activity_type AS last_activity_type
+FROM activity WHERE timestamp IS NOT NULL QUALIFY row_number() OVER
+  (PARTITION BY user_id ORDER BY timestamp DESC, activity_type NULLS LAST) = 1"""
 
 
 def _freshness() -> str:
@@ -480,12 +500,12 @@ def sql_by_query() -> dict[str, str]:
             f"SELECT * REPLACE ({_number('qty')}, {_number('pallet')}) FROM tidy", _UNTIDY
         ),
         "clean_dates": _with(
-            "SELECT * REPLACE (TRY_CAST(created_on AS TIMESTAMP) AS created_on) FROM tidy", _UNTIDY
+            f"SELECT * REPLACE ({_DAY} AS created_on) FROM tidy", _UNTIDY
         ),
         "sanitize_scans": _with(
             f"SELECT * REPLACE ({_number('serial_number')}, {_number('pallet')}, "
             f"{_number('delivery')}, {_number('qty')}, "
-            "TRY_CAST(created_on AS TIMESTAMP) AS created_on) FROM tidy",
+            f"{_DAY} AS created_on) FROM tidy",
             _UNTIDY,
         ),
         "sanitize_deliveries": """
@@ -495,8 +515,8 @@ SELECT CAST(o_orderkey AS DOUBLE) AS delivery,
        'SP' || (o_custkey % 7) AS shipping_point
 FROM orders""",
         "normalize_delivery": _with(
-            "SELECT * REPLACE (CAST(CAST(trunc(TRY_CAST(delivery AS DOUBLE)) AS BIGINT) AS VARCHAR) "
-            "AS delivery) FROM tidy WHERE TRY_CAST(delivery AS DOUBLE) IS NOT NULL",
+            f"SELECT * REPLACE (CAST(CAST(trunc({_double('delivery')}) AS BIGINT) AS VARCHAR) "
+            f"AS delivery) FROM tidy WHERE {_double('delivery')} IS NOT NULL",
             _UNTIDY,
         ),
         "scan_timestamp": _timed(),

@@ -48,7 +48,9 @@ def refresh(
         rows = store.write(name, section, snapshot_id)
         if before:
             saved, previous = store.load(name, snapshot_id), store.load(name, before)
-            feed = change_feed({name: saved}, {name: previous}, as_of, unique=True)
+            feed = change_feed(
+                {name: saved}, {name: previous}, as_of, params.ignore_columns, unique=True
+            )
             store.write("change_feed", feed, snapshot_id, section=name)
         return rows
 

@@ -29,7 +29,7 @@ from dockpulse.schemas import (
     conform,
     require,
 )
-from dockpulse.sources.workbook import workbook_table
+from dockpulse.sources.workbook import unreadable_workbooks, workbook_table
 
 
 def load_report(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +42,14 @@ def load_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def unreadable_report(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(path, error) of the workbooks of a report that cannot be opened; other formats are not
+    looked into."""
+    if not path.lower().endswith(".xlsx"):
+        return []
+    return unreadable_workbooks(spark.read.format("binaryFile").load(path))
+
+
 def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Bring text cells to the column types; cells that cannot be read become null."""
     kinds = {f.name: f.dataType for f in df.schema.fields}

@@ -31,7 +31,16 @@ CURRENT = T.StructType(COMBINED.fields + [T.StructField("status_description", T.
 
 TABLES = {**SECTIONS, "current": CURRENT, "change_feed": CHANGE_FEED}
 
+UNREADABLE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
 _WRITERS = 4
+_EMPTY = object()
 
 
 class SnapshotStore:
@@ -48,16 +57,18 @@ class SnapshotStore:
     def _folder(self, table: str) -> str:
         return f"{self.base}/{table}"
 
-    def _read(self, schema: T.StructType, folder: str, part: str = "") -> DataFrame:
-        """A folder, or one of its partitions; empty if there is none. Ids in the schema stay text:
-        left to inference, Spark would read them as numbers."""
+    def _read(
+        self, schema: T.StructType, folder: str, part: str = "", missing: object = _EMPTY
+    ) -> DataFrame | None:
+        """A folder, or one of its partitions; if there is none, an empty table or ``missing``. Ids
+        in the schema stay text: left to inference, Spark would read them as numbers."""
         try:
             reader = self.spark.read.schema(schema).option("basePath", folder)
             return reader.parquet(f"{folder}/{part}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema) if missing is _EMPTY else missing
 
     def write(
         self, table: str, df: DataFrame, snapshot_id: str, section: str | None = None
@@ -119,14 +130,35 @@ class SnapshotStore:
             log = log.filter(F.col("snapshot_id") < before)
         return log.agg(F.max("snapshot_id")).first()[0]
 
+    def _committed(self, snapshot_id: str) -> DataFrame:
+        """The snapshot's own rows of the refresh log; no other snapshot is listed."""
+        return self._read(REFRESH_LOG, self._folder("refresh_log"), f"snapshot_id={snapshot_id}")
+
     def is_saved(self, snapshot_id: str) -> bool:
-        return not self.refresh_log().filter(F.col("snapshot_id") == snapshot_id).isEmpty()
+        return not self._committed(snapshot_id).isEmpty()
 
     def load(self, table: str, snapshot_id: str) -> DataFrame:
-        """One table of one snapshot. A missing one is empty but has its columns."""
-        saved = self._read(TABLES[table], self._folder(table), f"snapshot_id={snapshot_id}")
+        """One table of one snapshot. A table that was never saved is empty but has its columns;
+        one that the snapshot committed and that is gone is an error."""
+        folder, part = self._folder(table), f"snapshot_id={snapshot_id}"
+        saved = self._read(TABLES[table], folder, part, missing=None)
+        if saved is None:
+            if not self._committed(snapshot_id).filter(F.col("section") == table).isEmpty():
+                raise FileNotFoundError(f"snapshot {snapshot_id} was saved, but {folder}/{part} is gone")
+            return self.spark.createDataFrame([], TABLES[table])
         return saved.select(*TABLES[table].fieldNames())
 
+    def record_unreadable(self, reports: list[tuple[str, str]], batch_id: int) -> None:
+        """Reports of a batch of arrivals that could not be opened, with the error."""
+        rows = self.spark.createDataFrame(reports, "path string, error string")
+        rows.coalesce(1).write.mode("overwrite").parquet(
+            f"{self._folder('unreadable')}/batch_id={batch_id}"
+        )
+
+    def unreadable(self) -> DataFrame:
+        """(path, error, batch_id) of all reports that were passed over."""
+        return self._read(UNREADABLE, self._folder("unreadable"))
+
     def latest(self, table: str) -> DataFrame:
         """A table of the newest saved snapshot, the same one for every table."""
         snapshot_id = self.latest_snapshot()

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from datetime import datetime, timedelta
 from io import BytesIO
 from xml.etree import ElementTree
-from zipfile import ZipFile
+from zipfile import BadZipFile, ZipFile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +27,8 @@ _ROW_SCHEMA = pa.schema(
     ]
 )
 _ROWS_PER_BATCH = 5000
+#: Fixed value: columns of a sheet at most.
+MAX_COLUMNS = 16384
 
 # Built-in number formats of the workbook format that show a date or a time.
 _DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
@@ -89,13 +91,17 @@ def _first_sheet(archive: ZipFile) -> tuple[str, bool]:
     raise ValueError("workbook without a sheet")
 
 
-def _date_text(number: float, from_1904: bool) -> str:
-    """Day count with fraction as text; a count below one is a time of day."""
+def _date_text(number: float, from_1904: bool) -> str | None:
+    """Day count with fraction as text; a count below one is a time of day, which never rounds up
+    to the next day. Counts outside the calendar give nothing."""
     seconds = round(number * 86400)
-    if number < 1 and not from_1904:
-        return str(timedelta(seconds=seconds)).rjust(8, "0")
+    if 0 <= number < 1 and not from_1904:
+        return str(timedelta(seconds=min(seconds, 86399))).rjust(8, "0")
     origin = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
-    return str(origin + timedelta(seconds=seconds))
+    try:
+        return str(origin + timedelta(seconds=seconds))
+    except OverflowError:
+        return None
 
 
 def _column(reference: str) -> int:
@@ -107,12 +113,17 @@ def _column(reference: str) -> int:
     return index - 1
 
 
+def _shared_strings(archive: ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in archive.namelist():
+        return []
+    return [_text(n) for n in _nodes(archive, "xl/sharedStrings.xml", {"si"})]
+
+
 def _sheet_rows(content: bytes) -> Iterator[dict[int, str]]:
-    """Rows of the first sheet as column number to text; empty cells are left out."""
+    """Rows of the first sheet as column number to text; empty cells are left out. The table of
+    shared strings is read when a cell first refers to it."""
     with ZipFile(BytesIO(content)) as archive:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in archive.namelist():
-            shared = [_text(n) for n in _nodes(archive, "xl/sharedStrings.xml", {"si"})]
+        shared: list[str] | None = None
         dates = _date_styles(archive)
         sheet, from_1904 = _first_sheet(archive)
         for row in _nodes(archive, sheet, {"row"}):
@@ -128,16 +139,27 @@ def _sheet_rows(content: bytes) -> Iterator[dict[int, str]]:
                 if text is None or kind == "e":
                     continue
                 if kind == "s":
+                    shared = _shared_strings(archive) if shared is None else shared
                     text = shared[int(text)]
                 elif kind == "n" and int(cell.get("s", 0)) in dates:
                     text = _date_text(float(text), from_1904)
-                if text != "":
+                if text:
                     cells[column] = text
             yield cells
 
 
 def _named_columns(first_row: Mapping[int, str]) -> dict[int, str]:
-    return {column: report_header(text) for column, text in first_row.items()}
+    """Column names by the header row. Equal headers are numbered from the second on, so that no
+    column hides another."""
+    names: dict[int, str] = {}
+    for column in sorted(first_row):
+        name = report_header(first_row[column])
+        number, plain = 1, name
+        while name in names.values():
+            number += 1
+            name = f"{plain}_{number}"
+        names[column] = name
+    return names
 
 
 def _batch(rows: list[tuple[str, int, list[tuple[str, str]]]]) -> pa.RecordBatch:
@@ -152,7 +174,7 @@ def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = _named_columns(next(rows, {}))
             pending = []
             for number, cells in enumerate(rows, start=1):
-                named = [(names[c], text) for c, text in cells.items() if c in names]
+                named = [(names.get(c, f"column_{c + 1}"), text) for c, text in cells.items()]
                 pending.append((path.as_py(), number, named))
                 if len(pending) == _ROWS_PER_BATCH:
                     yield _batch(pending)
@@ -171,7 +193,8 @@ def _decode_headers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def workbook_rows(files: DataFrame) -> DataFrame:
     """Data rows of every workbook in ``files`` (path, content): the first sheet, its first row
-    taken as the header. Cells are keyed by the cleaned header; dates and times come as
+    taken as the header. Cells are keyed by the cleaned header, those below no header by their
+    place (``column_4``), which ``workbook_table`` reads if asked for; dates and times come as
     'yyyy-MM-dd HH:mm:ss' and 'HH:mm:ss'."""
     return files.select("path", "content").mapInArrow(
         _decode, "path string, row_number int, cells map<string,string>"
@@ -179,10 +202,32 @@ def workbook_rows(files: DataFrame) -> DataFrame:
 
 
 def workbook_columns(files: DataFrame) -> list[str]:
-    """Cleaned headers found in the files. Only the first row of each is decoded, and only the
-    distinct names reach the driver."""
+    """Cleaned headers found in the files. Of each file only the sheet's first row is decoded, with
+    the shared strings where it refers to them, and only the distinct names reach the driver: no
+    more than a sheet can have columns."""
     names = files.select("content").mapInArrow(_decode_headers, "name string").distinct()
-    return sorted(row.name for row in names.collect())
+    found = sorted(row.name for row in names.limit(MAX_COLUMNS + 1).collect())
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"the workbooks have more than {MAX_COLUMNS} different headers")
+    return found
+
+
+def unreadable_workbooks(files: DataFrame) -> list[tuple[str, str]]:
+    """(path, error) of the workbooks that are no complete archive or have no first sheet."""
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                try:
+                    next(_sheet_rows(content.as_py()), None)
+                except (BadZipFile, ElementTree.ParseError, KeyError, ValueError, EOFError) as error:
+                    bad.append((path.as_py(), f"{type(error).__name__}: {error}"))
+            columns = [pa.array(c, pa.string()) for c in zip(*bad)] if bad else [pa.array([], pa.string())] * 2
+            yield pa.RecordBatch.from_arrays(columns, ["path", "error"])
+
+    found = files.select("path", "content").mapInArrow(probe, "path string, error string")
+    return [(row.path, row.error) for row in found.collect()]
 
 
 def workbook_table(files: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The stream carries arrivals (kind, path, time), never the report rows: a refresh reads the
 newest report of each kind in a batch job of its own. Reports that were overtaken before the
-batch ran are skipped, as snapshots are cumulative.
+batch ran are skipped, as snapshots are cumulative. A workbook that cannot be opened, such as a
+half-copied one, is recorded in the store and passed over for the next newest of its kind.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dockpulse.params import Params
 from dockpulse.plans.refresh import refresh
 from dockpulse.schemas import ARRIVAL, present
 from dockpulse.sources.files import DELIVERY_REPORT, SCAN_REPORT, classify_files
-from dockpulse.sources.reports import load_report
+from dockpulse.sources.reports import load_report, unreadable_report
 from dockpulse.sources.store import SnapshotStore
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -49,12 +50,26 @@ def _newest_arrivals(store: SnapshotStore, batch: DataFrame, batch_id: int) -> d
     """
     known = store.arrivals(batch_id - 1).withColumn("known", F.lit(True))
     seen = known.unionByName(batch.withColumn("known", F.lit(False)))
-    newest = (
-        seen.groupBy("report_type")
-        .agg(F.max(F.struct("modified_at", "path", "known")).alias("newest"))
-        .select("report_type", "newest.*")
-        .collect()
-    )
+    passed_over: list[tuple[str, str]] = []
+    while True:
+        newest = (
+            seen.filter(~F.col("path").isin([path for path, _ in passed_over]))
+            .groupBy("report_type")
+            .agg(F.max(F.struct("modified_at", "path", "known")).alias("newest"))
+            .select("report_type", "newest.*")
+            .collect()
+        )
+        bad = [
+            (row.path, error)
+            for row in newest
+            if not row.known
+            for _, error in unreadable_report(store.spark, row.path)
+        ]
+        if not bad:
+            break
+        passed_over += bad
+    if passed_over:
+        store.record_unreadable(passed_over, batch_id)
     rows = [(row.report_type, row.path, row.modified_at) for row in newest]
     store.save_arrivals(store.spark.createDataFrame(rows, ARRIVAL), batch_id)
     return {row.report_type: row for row in newest}

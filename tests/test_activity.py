@@ -1,5 +1,6 @@
 from datetime import timedelta
 
+import pytest
 from helpers import DAY, at, plan, rows
 
 from dockpulse.operators.activity import (
@@ -39,7 +40,9 @@ def test_history(spark):
     assert activity_history(both, "U2").count() == 3
     assert activity_history(both, limit=2).count() == 4
     assert activity_history(both, "U1", limit=0).count() == 0
-    assert activity_history(both, "U1", limit=500).count() == 100
+    assert activity_history(both, "U1", limit=100).count() == 100
+    with pytest.raises(ValueError):
+        activity_history(both, "U1", limit=500)
     newest = activity_history(both, "U1", limit=1).first()
     assert newest.timestamp == DAY + timedelta(minutes=100)
 
@@ -82,3 +85,13 @@ def test_freshness(spark):
     assert (by_section["progress"].is_stale, by_section["progress"].last_updated) == (True, None)
     old = snapshot_freshness(spark.createDataFrame(entries, REFRESH_LOG), at("12:00"), 3599)
     assert {r.section: r.is_stale for r in old.collect()}["serials"]
+
+
+def test_last_activity_does_not_depend_on_the_order_of_rows(spark):
+    log = [("U1", "view", at("10:00")), ("U1", "scan", at("10:00")), ("U1", None, at("10:00"))]
+    users = spark.createDataFrame([("U1",)], "user_id string")
+    for order in (log, log[::-1]):
+        for parts in (1, 3):
+            frame = spark.createDataFrame(order, "user_id string, activity_type string, timestamp timestamp")
+            found = with_last_activity(users, frame.repartition(parts)).first()
+            assert (found.last_activity, found.last_activity_type) == (at("10:00"), "scan")

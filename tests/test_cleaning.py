@@ -201,3 +201,37 @@ def test_read_from_files(spark, tmp_path):
     deliveries.write.parquet(str(tmp_path / "deliveries"))
     both = read_combined(spark, str(tmp_path / "scans.csv"), str(tmp_path / "deliveries"))
     assert rows(both, "serial_number", "number_of_packages") == [("S1", 4.0), ("S1", 5.0)]
+
+
+@pytest.mark.parametrize(
+    "text, key",
+    [("12D", None), ("12f", None), ("12L", None), ("", None), ("  ", None), ("NaN", None), ("0x1F", None),
+     ("12.9", "12"), (" 12 ", "12"), ("12e0", "12"), ("-.5", "0"), ("9007199254740993", "9007199254740993")],
+)
+def test_delivery_keys_of_text(spark, text, key):
+    df = spark.createDataFrame([(text,)], "delivery string")
+    assert normalize_delivery(df, drop_missing=False).first().delivery == key
+
+
+def test_nan_delivery_as_zero(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,), (3.0,)], "delivery double")
+    kept = normalize_delivery(df, null_key_as_zero=True)
+    assert sorted(r.delivery for r in kept.collect()) == ["0", "0", "3"]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [("2024-01-31", "2024-01-31 00:00:00"), ("01/31/2024", "2024-01-31 00:00:00"),
+     ("20240131", "2024-01-31 00:00:00"), ("Jan 31 2024", "2024-01-31 00:00:00"),
+     ("31-Jan-2024", "2024-01-31 00:00:00"), ("1/31/2024 2:05 PM", "2024-01-31 14:05:00"),
+     ("31.01.2024", None), ("12:30:00", None), ("garbage", None)],
+)
+def test_date_texts(spark, text, expected):
+    found = clean_dates(spark.createDataFrame([(text,)], "d string"), ["d"]).first().d
+    assert (found and str(found)) == expected
+
+
+def test_times_of_twelve_hour_clocks(spark):
+    df = spark.createDataFrame([("2024-03-01", "2:05:00 PM"), ("2024-03-01", "12:00 am")], "created_on string, time string")
+    times = [str(r.scan_timestamp) for r in with_scan_timestamp(df).collect()]
+    assert times == ["2024-03-01 14:05:00", "2024-03-01 00:00:00"]

@@ -7,13 +7,13 @@ from conftest import SF
 from helpers import plan
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from dockpulse.operators.combine import combine
 from dockpulse.operators.diff import change_feed
 from dockpulse.operators.progress import progress_lookup
 from dockpulse.operators.scan_times import scan_times
 from dockpulse.operators.serials import dedup_serials
-from dockpulse.plans import canonical
+from dockpulse.operators.users import user_activity
+from dockpulse.plans import canonical, catalog
 from dockpulse.schemas import SECTIONS
 
 # These run jobs or streams before they return a frame; their parts are covered by the others.
@@ -28,7 +28,7 @@ EAGER = {
     "stream_change_feed",
     "stream_activity",
 }
-LAZY = [name for name in entry.queries() if name not in EAGER]
+LAZY = [name for name in catalog.QUERIES if name not in EAGER]
 
 
 @pytest.fixture()
@@ -44,7 +44,7 @@ def no_broadcast(spark):
 @pytest.mark.parametrize("name", LAZY)
 def test_no_nested_loops_and_no_row_python(spark, no_broadcast, name):
     """Without broadcasts every join must still find an equality to shuffle on."""
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(catalog.QUERIES[name](spark, SF))
     for bad in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in text
     if name != "xlsx_ingest":
@@ -64,7 +64,7 @@ def test_scan_filters_reach_the_files(spark):
 
 
 def test_metrics_read_the_columns_they_need(spark):
-    text = plan(entry.queries()["progress"](spark, SF))
+    text = plan(catalog.QUERIES["progress"](spark, SF))
     assert "l_quantity" not in text
     assert "o_totalprice" not in text
 
@@ -78,24 +78,32 @@ def test_rows_per_serial_are_cut_before_the_shuffle(spark):
 def test_scan_times_are_cut_before_the_shuffle(spark):
     scans = canonical.core(spark, SF)
     text = plan(scan_times(scans, "1998-12-31"))
-    assert re.search(r"dense_rank\(scan_timestamp[^)]*\), 2, Partial", text)
+    assert re.search(r"row_number\(\), 1, Partial", text)
+    assert re.search(r"row_number\(\), 2, Partial", text)
 
 
 def test_activity_is_cut_before_the_shuffle(spark):
-    assert re.search(r"row_number\(\), 50, Partial", plan(entry.queries()["activity_last_n"](spark, SF)))
+    assert re.search(r"row_number\(\), 50, Partial", plan(catalog.QUERIES["activity_last_n"](spark, SF)))
 
 
 def test_both_sides_of_progress_share_one_deduplication(spark):
-    df = entry.queries()["progress"](spark, SF)
+    df = catalog.QUERIES["progress"](spark, SF)
     df.collect()
     assert "ReusedExchange" in plan(df)
 
 
 def test_user_metrics_aggregate_by_hash_first(spark):
-    text = plan(entry.queries()["users"](spark, SF))
+    text = plan(catalog.QUERIES["users"](spark, SF))
     assert re.search(r"HashAggregate\(keys=\[created_by[^\n]*partial_max\(scan_timestamp", text)
 
 
+def test_the_window_of_user_metrics_reaches_a_saved_table(spark, tmp_path):
+    canonical.core(spark, SF).write.parquet(f"{tmp_path}/current")
+    saved = spark.read.parquet(f"{tmp_path}/current")
+    text = plan(user_activity(saved, canonical.CURRENT.as_of, 43200))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(scan_timestamp", text)
+
+
 def test_unique_feed_needs_no_sort_for_whole_rows(spark, tmp_path):
     tables = {
         name: spark.createDataFrame([], schema) for name, schema in SECTIONS.items() if name == "serials"

@@ -118,6 +118,23 @@ def test_unknown_section(spark):
         build_section("nonsense", combined(spark, {}), None, at("12:00"))
 
 
+def test_a_lost_table_of_a_committed_snapshot_is_an_error(spark, store):
+    refresh(store, *reports(spark, *FIRST), "1", at("11:00"))
+    lost = SnapshotStore(spark, store.base)
+    lost._folder = lambda table: f"{store.base}/{'elsewhere' if table == 'serials' else table}"
+    assert lost.load("serials", "2").count() == 0
+    with pytest.raises(FileNotFoundError, match="snapshot 1"):
+        lost.load("serials", "1")
+
+
+def test_settings_of_a_refresh(spark, store):
+    params = Params(include_inactive=True, ignore_columns=("minutes_since_last_scan",))
+    refresh(store, *reports(spark, *FIRST), "1", at("10:45"), params)
+    refresh(store, *reports(spark, *FIRST), "2", at("10:50"), params)
+    assert store.latest("users").count() == 2
+    assert store.latest("change_feed").filter("section in ('users', 'scan_times')").count() == 0
+
+
 def test_json_records(spark):
     df = spark.createDataFrame(
         [("U1", datetime(2024, 3, 1, 10, 0, 0, 500), float("nan"), None)],

@@ -62,6 +62,33 @@ def test_workbooks_landing_in_a_folder(spark, tmp_path):
     assert store.refresh_log().select("snapshot_id").distinct().count() == 2
 
 
+def test_a_truncated_workbook_is_passed_over(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    stamp = int(datetime(2024, 3, 1, 11).timestamp())
+
+    def run():
+        arrivals = workbook_arrivals(spark, str(inbox))
+        finish(start_refresh(arrivals, store, str(tmp_path / "check"), availableNow=True))
+
+    drop_workbook(inbox, "vl06o.xlsx", ["Delivery", "Number of packages"], [(7, 4), (8, 2)], stamp)
+    good = workbook_bytes(HEADERS, scan_rows(FIRST))
+    bad = inbox / "ZMDESNR_1.xlsx"
+    bad.write_bytes(good[: len(good) // 2])
+    os.utime(bad, (stamp + 60, stamp + 60))
+    run()
+    assert store.latest_snapshot() is None
+    drop_workbook(inbox, "ZMDESNR_2.xlsx", HEADERS, scan_rows(FIRST), stamp + 120)
+    worse = inbox / "ZMDESNR_3.xlsx"
+    worse.write_bytes(b"PK")
+    os.utime(worse, (stamp + 180, stamp + 180))
+    run()
+    assert rows(store.latest("serials"), "serial_number") == [("S1",), ("S2",)]
+    names = [r.path.rsplit("/", 1)[-1] for r in store.unreadable().orderBy("path").collect()]
+    assert names == ["ZMDESNR_1.xlsx", "ZMDESNR_3.xlsx"]
+
+
 def announce(spark, folder, kind, path, clock):
     row = [(kind, path, f"2024-03-01 {clock}")]
     df = spark.createDataFrame(row, "report_type string, path string, modified_at string")

@@ -12,7 +12,13 @@ from helpers import rows
 from dockpulse.plans.workbooks import scan_workbooks, workbook_bytes
 from dockpulse.sources.files import classify_files, latest_file, list_files
 from dockpulse.sources.reports import load_report, read_scans
-from dockpulse.sources.workbook import _sheet_rows, workbook_columns, workbook_rows
+from dockpulse.sources.workbook import (
+    _date_text,
+    _sheet_rows,
+    unreadable_workbooks,
+    workbook_columns,
+    workbook_rows,
+)
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -146,3 +152,30 @@ def test_tasks_need_no_installed_package(tmp_path):
         [sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200
     )
     assert job.stdout.strip().endswith("['id']"), job.stderr[-2000:]
+
+
+def test_equal_and_blank_headers_keep_their_columns(spark):
+    content = workbook_bytes(["Delivery", "Delivery", None, "Status"], [(1, 2, "x", "ASH"), (None, 7, None, None)])
+    files = spark.createDataFrame([("a.xlsx", content)], "path string, content binary")
+    assert workbook_columns(files) == ["delivery", "delivery_2", "status"]
+    cells = [r.cells for r in workbook_rows(files).orderBy("row_number").collect()]
+    assert cells == [
+        {"delivery": "1", "delivery_2": "2", "column_3": "x", "status": "ASH"},
+        {"delivery_2": "7"},
+    ]
+
+
+def test_times_at_the_end_of_the_day_and_counts_beyond_the_calendar():
+    assert _date_text(0.999998, False) == "23:59:59"
+    assert _date_text(0.5, False) == "12:00:00"
+    assert _date_text(45352.0, False) == "2024-03-01 00:00:00"
+    assert _date_text(1e12, False) is None
+    assert _date_text(-1e9, True) is None
+
+
+def test_unreadable_workbooks(spark):
+    good = workbook_bytes(["a"], [(1,)])
+    files = spark.createDataFrame(
+        [("good.xlsx", good), ("cut.xlsx", good[:-30]), ("text.xlsx", b"hello")], "path string, content binary"
+    )
+    assert sorted(path for path, _ in unreadable_workbooks(files)) == ["cut.xlsx", "text.xlsx"]
