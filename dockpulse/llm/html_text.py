@@ -60,6 +60,8 @@ _NAMES = re.compile(
     r"pagination|popup|promo\w*|recommend\w*|related|replies|respond|search|share|sidebar|signup|"
     r"skip|social|sponsor\w*|subscribe|tags|toolbar|widget)(?:$|[\s_-])"
 )
+#: A tag, comment or declaration that the page ends in.
+_UNFINISHED = re.compile("<[A-Za-z/!?]")
 #: An element of these ends an open one of the same kind of its own accord.
 _CLOSES = {
     "li": frozenset(["li"]),
@@ -82,8 +84,9 @@ class _Lines(HTMLParser):
         self.regions: list[int] = []
         self.allowed: list[bool] = []
         self.landmark: dict[int, bool] = {}
-        # Open elements: tag, tag that excludes it or "", region, inside an article.
-        self._open: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
+        # Open elements: tag, tag that excludes it or "", region, inside an article, and whether
+        # an excluded inline element mutes it, whose text is no part of the line around.
+        self._open: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, False)]
         self._next_region = 1
         self._parts: list[str] = []
         self._tag_count = 0
@@ -93,7 +96,7 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self._parts).split())
             self._parts = []
             if text:
-                _, excluded, region, inside = self._open[-1]
+                _, excluded, region, inside, _ = next(e for e in reversed(self._open) if not e[4])
                 self.texts.append(text)
                 self.tags.append(self._tag_count)
                 self.regions.append(region)
@@ -110,17 +113,18 @@ class _Lines(HTMLParser):
             self._parts.append(" ")
         if tag in _VOID:
             return
-        _, excluded, region, inside = self._open[-1]
+        _, excluded, region, inside, muted = self._open[-1]
         article = tag in _ARTICLE
         if not excluded or (article and excluded == "form"):  # a form around the whole page
             excluded = tag if self._excludes(tag, attrs, inside) else ""
+            muted = muted or bool(excluded) and tag not in _BLOCK
         if article and not inside and not excluded:
             region, inside = self._next_region, True
             self._next_region += 1
         elif tag in _BLOCK - _LEAVES and not inside:
             region = self._next_region
             self._next_region += 1
-        self._open.append((tag, excluded, region, inside))
+        self._open.append((tag, excluded, region, inside, muted))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -139,9 +143,12 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self._parts.append(data)
+        if not self._open[-1][4]:
+            self._parts.append(data)
 
     def close(self):
+        if _UNFINISHED.match(self.rawdata):
+            self.rawdata = ""
         super().close()
         self.end_line()
 
