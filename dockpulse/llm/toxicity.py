@@ -11,8 +11,8 @@ step goes back up that term instead. Features are the distinct words of a text a
 bytes, so that inflected forms of a toxic word count together.
 
 Learning uses bounded samples, ``MAX_POSITIVE`` toxic examples and ``MAX_UNLABELLED`` texts, drawn
-by a hash of the id and dealt to ``MEMBERS`` classifiers that train in parallel; their mean is the
-model. It holds features of these samples only, so it is small enough to be sent to every task.
+by a hash of the id; ``MEMBERS`` classifiers train in parallel, each without its own share of
+them, and their mean is the model. It holds features of these samples only, so it is small enough to be sent to every task.
 The prior comes from all labels that may be used, and every document is scored whole.
 
 Defined results: an empty or null text is scored by the bias alone; without a toxic example every
@@ -41,8 +41,8 @@ from pyspark.sql.types import (
 from dockpulse.llm.common import map_arrow, utf8
 from dockpulse.llm.decontamination import words_of
 
-MAX_POSITIVE = 6144
-MAX_UNLABELLED = 18432
+MAX_POSITIVE = 4096
+MAX_UNLABELLED = 12288
 MEMBERS = 3
 #: Lengths in bytes of the word beginnings that are features.
 PREFIXES = (4, 5, 6)
@@ -106,7 +106,7 @@ def train(
     positive: list[bytes],
     unlabelled: list[bytes],
     prior: float,
-    epochs: int = 80,
+    steps: int = 1000,
     batch: int = 512,
     rate: float = 0.05,
     decay: float = 1e-6,
@@ -139,7 +139,7 @@ def train(
         gradient[-1] += by_row.sum()
 
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(n_unl) + n_pos
         for begin in range(0, n_unl, batch):
             step += 1
@@ -202,7 +202,8 @@ def fit(
         .select("doc_id")
         .distinct()
     )
-    member = F.pmod(F.xxhash64("doc_id", F.lit("member")), F.lit(MEMBERS)).cast("int")
+    share = F.pmod(F.xxhash64("doc_id", F.lit("member")), F.lit(MEMBERS)).cast("int")
+    member = F.explode(F.filter(F.array(*map(F.lit, range(MEMBERS))), lambda m: m != share))
     # Both sides are bounded: ids of at most some max_positive rows, and the sampled texts.
     positive = texts.join(F.broadcast(toxic), "doc_id").select(
         member.alias("member"), F.lit(1).alias("confirmed"), "doc_id", "body"
