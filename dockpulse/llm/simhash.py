@@ -266,10 +266,9 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that with the least doc_id, which names it.
+    """``docs`` with the document of each component that has the least doc_id, which names it.
 
-    Rows that share this doc_id all stay only if their fingerprints are alike in no other row;
-    of repeated rows the first by text stays.
+    Rows that share this doc_id all stay.
     """
     found = near_duplicates(docs, radius, text_col=text_col)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
