@@ -15,9 +15,14 @@ def describe_status(status: Column, descriptions: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for x in chain(*descriptions.items())])[status]
 
 
-def percent_of(part: Column, total: Column) -> Column:
+def rounded(value: Column, half_even: bool = False) -> Column:
+    """Two decimals; halves go up, or to the even neighbour."""
+    return F.bround(value, 2) if half_even else F.round(value, 2)
+
+
+def percent_of(part: Column, total: Column, half_even: bool = False) -> Column:
     """part / total in percent to two decimals; null when the total is zero or missing."""
-    return F.round(F.try_divide(part.cast("double"), total) * 100, 2)
+    return rounded(F.try_divide(part.cast("double"), total) * 100, half_even)
 
 
 def card_percent(part: Column, total: Column) -> Column:

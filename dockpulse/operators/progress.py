@@ -14,7 +14,7 @@ def delivery_packages(df: DataFrame) -> DataFrame:
     return df.select("delivery", "number_of_packages").distinct()
 
 
-def progress(df: DataFrame) -> DataFrame:
+def progress(df: DataFrame, half_even: bool = False) -> DataFrame:
     """Scanned count per delivery and user against the packages of the delivery.
 
     Both sides are reduced on the map side before they are shuffled. A delivery with two totals
@@ -30,7 +30,7 @@ def progress(df: DataFrame) -> DataFrame:
         "created_by",
         "scanned_count",
         "number_of_packages",
-        percent_of(F.col("scanned_count"), F.col("number_of_packages")).alias(
+        percent_of(F.col("scanned_count"), F.col("number_of_packages"), half_even).alias(
             "progress_percentage"
         ),
     )

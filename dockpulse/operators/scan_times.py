@@ -6,12 +6,13 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dockpulse.functions.labels import rounded
 from dockpulse.functions.timing import at, duration_label, minutes_between
 from dockpulse.operators.ranking import ranked, top_rows
 from dockpulse.schemas import present
 
 
-def scan_times(df: DataFrame, as_of: datetime | str) -> DataFrame:
+def scan_times(df: DataFrame, as_of: datetime | str, half_even: bool = False) -> DataFrame:
     """Latest scan per user, the latest one strictly before it, and the gap between them.
 
     Two passes, both cut to a row or two per user and map task before anything is moved: the
@@ -44,7 +45,7 @@ def scan_times(df: DataFrame, as_of: datetime | str) -> DataFrame:
         minutes_between(current, previous).alias("time_between_scans_minutes"),
         F.coalesce("serial_number", F.lit("")).alias("serial"),
         F.coalesce("status", F.lit("")).alias("status"),
-        F.round(minutes_between(at(as_of), current), 2).alias("minutes_since_last_scan"),
+        rounded(minutes_between(at(as_of), current), half_even).alias("minutes_since_last_scan"),
     )
 
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from dockpulse.functions.labels import display_name
+from dockpulse.functions.labels import display_name, rounded
 from dockpulse.functions.timing import at, hours_between, minutes_between, window_start
 from dockpulse.schemas import present
 
@@ -43,6 +43,7 @@ def user_activity(
     as_of: datetime | str,
     window_minutes: int = 60,
     include_inactive: bool = False,
+    half_even: bool = False,
 ) -> DataFrame:
     """Scan count, first and last scan, deliveries and rate per user within the window.
 
@@ -79,8 +80,8 @@ def user_activity(
         first,
         last,
         "unique_deliveries",
-        F.round(rate, 2).alias("scans_per_hour"),
-        F.round(minutes_between(at(as_of), last), 2).alias("minutes_since_last_scan"),
+        rounded(rate, half_even).alias("scans_per_hour"),
+        rounded(minutes_between(at(as_of), last), half_even).alias("minutes_since_last_scan"),
     ]
     if "name" in df.columns:
         everything = present(df, "created_by").join(active.select("created_by"), "created_by", "left_semi")

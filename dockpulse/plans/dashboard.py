@@ -39,13 +39,15 @@ def build_section(
     """One lazy section over ``current``."""
     match name:
         case "users":
-            return user_activity(current, as_of, params.window_minutes, params.include_inactive)
+            return user_activity(
+                current, as_of, params.window_minutes, params.include_inactive, params.half_even
+            )
         case "deliveries":
             return delivery_packages(current)
         case "progress":
-            return progress(current)
+            return progress(current, params.half_even)
         case "scan_times":
-            return scan_times(current, as_of)
+            return scan_times(current, as_of, params.half_even)
         case "serials":
             return serials_section(current)
         case "status_changes":

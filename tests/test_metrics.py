@@ -2,8 +2,9 @@ from datetime import timedelta
 
 import pytest
 from helpers import DAY, at, combined, random_scans, rows
+from pyspark.sql import functions as F
 
-from dockpulse.functions.labels import card_band, card_percent
+from dockpulse.functions.labels import card_band, card_percent, rounded
 from dockpulse.functions.timing import duration_label, iso_text
 from dockpulse.operators.combine import combine, one_row_per_delivery
 from dockpulse.operators.progress import (
@@ -257,3 +258,9 @@ def test_iso_text(spark):
     assert [r[0] for r in df.select(iso_text(F.col("t"))).collect()] == [
         m and m.isoformat() for m in moments
     ]
+
+
+def test_halves_go_up_or_to_the_even_neighbour(spark):
+    df = spark.createDataFrame([(0.125,), (0.375,), (None,)], "x double")
+    found = df.select(rounded(F.col("x")).alias("up"), rounded(F.col("x"), True).alias("even")).collect()
+    assert [tuple(r) for r in found] == [(0.13, 0.12), (0.38, 0.38), (None, None)]
