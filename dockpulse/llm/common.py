@@ -25,11 +25,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Only a local session without that setting falls back to a folder of its own.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "dockpulse-llm"))
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "dockpulse-llm"))
     return df.checkpoint()
 
 
