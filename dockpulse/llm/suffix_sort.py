@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import (
     BinaryType,
-    ByteType,
     LongType,
     StringType,
     StructField,
@@ -47,7 +46,6 @@ STRIDE = 8
 _CONTEXTS = StructType(
     [
         StructField("key", LongType()),
-        StructField("kind", ByteType()),
         StructField("id", LongType()),
         StructField("place", LongType()),
         StructField("symbols", BinaryType()),
@@ -224,7 +222,7 @@ def _contexts(spec: W.Windows):
                         place = request["place"]
                         start = W.place_start(place)
                         end = start + W.place_count(place) - 1 + spec.length
-                        made.append((request["key"], request["kind"], doc, place, body[start:end]))
+                        made.append((request["key"], doc, place, body[start:end]))
                     if len(made) > 10_000:
                         yield [list(c) for c in zip(*made)]
                         made = []

@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import (
     BinaryType,
-    ByteType,
     LongType,
     StringType,
     StructField,
@@ -43,7 +42,6 @@ _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CONTEXTS = StructType(
     [
         StructField("key", LongType()),
-        StructField("kind", ByteType()),
         StructField("id", LongType()),
         StructField("place", LongType()),
         StructField("symbols", BinaryType()),
@@ -203,7 +201,7 @@ def _contexts(spec: W.Windows):
                         start = W.place_start(place)
                         end = start + W.place_count(place) - 1 + spec.length
                         text = b" ".join(words[start:end])
-                        made.append((request["key"], request["kind"], doc, place, text))
+                        made.append((request["key"], doc, place, text))
                     if len(made) > 20_000:
                         yield [list(c) for c in zip(*made)]
                         made = []

@@ -328,16 +328,20 @@ def window_spans(
     """``docs`` as (id, tag, body) joined with the places of their repeated windows.
 
     ``runs`` turns batches of (id, tag, body) into columns of ROWS; ``contexts`` turns documents
-    with requests into (key, kind, id, place, symbols); ``resolve`` decides groups by key into
+    with requests into (key, id, place, symbols); ``resolve`` decides groups by key into
     (id, place); ``single`` makes rows of single windows of contexts.
     """
     texts = documents(docs)
     rows = map_arrow(texts, ROWS, runs)
     out = written(decided(rows, spec, partial=True), "windows")
     asked = requested(out, spec.limit)
-    fetched = contexts(texts.join(asked, ["id", "tag"]))
-    small = fetched.where(F.col("kind") == SMALL).drop("kind")
-    large = fetched.where(F.col("kind") == LARGE).drop("kind")
+    together = texts.join(asked, ["id", "tag"])
+
+    def fetched(kind: int) -> DataFrame:
+        wanted = F.filter("requests", lambda request: request["kind"] == kind)
+        return contexts(together.withColumn("requests", wanted).where(F.size("requests") > 0))
+
+    small, large = fetched(SMALL), fetched(LARGE)
     decisions = (
         out.where(F.col("kind") == SPAN)
         .select("id", "place")
