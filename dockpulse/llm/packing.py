@@ -89,10 +89,17 @@ class WordIds(dict):
         simple, unseen = [], set()
         for word in new:
             text = word.decode()
-            if _SIMPLE.fullmatch(text):
+            if text.isascii() and text.isalpha():
+                runs = [text.lower()]
+            elif text.isascii() and text[:-1].isalpha() and text[-1] in ".,;:!?":
+                runs = [text[:-1].lower(), text[-1]]
+            elif _SIMPLE.fullmatch(text):
                 runs = _RUNS.findall(text.lower())
+            else:
+                runs = None
+            if runs is not None:
                 simple.append((word, runs))
-                unseen.update(run for run in runs if run not in self._runs)
+                unseen.update([run for run in runs if run not in self._runs])
             else:
                 ids = self._tokenizer.encode(text, add_special_tokens=False).ids
                 self[word] = np.array(ids, "<u4").tobytes()
