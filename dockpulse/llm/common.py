@@ -16,6 +16,10 @@ from pyspark.sql.types import StructType
 from dockpulse.session import scratch_dir
 
 
+#: Rows that a Python function is handed at once.
+BATCH_ROWS = 2048
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,11 +48,20 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def map_arrow(
     df: DataFrame, schema: StructType, function: Callable[[Iterator[pa.RecordBatch]], Iterator[list]]
 ) -> DataFrame:
-    """``mapInArrow`` for functions that yield lists of columns in the order of ``schema``."""
+    """``mapInArrow`` for functions that yield lists of columns in the order of ``schema``.
+
+    The function gets batches of at most ``BATCH_ROWS`` rows, so that what it makes of one at a
+    time stays small however many rows Spark sends at once.
+    """
     arrow = to_arrow_schema(schema)
 
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(start, BATCH_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in function(batches):
+        for columns in function(sliced(batches)):
             arrays = [
                 c if isinstance(c, pa.Array) else pa.array(c, type=field.type)
                 for c, field in zip(columns, arrow)
