@@ -4,8 +4,8 @@ The standard library's parser streams through the page. Block elements end lines
 its characters of text and the number of tags seen since the line before. The ratios of the two
 are smoothed by a Gaussian, so that a short paragraph between long ones counts with them, and
 lines from a threshold of the page's own spread upwards form the content cluster. The cluster
-selects regions: the element that a line stands in directly, or the article around it. A selected
-region gives all its lines.
+selects a region: the articles of the page if it has any, else the least element around all lines of
+the cluster. It gives all its lines, with lists, quotes, tables and nested blocks.
 
 Elements that cannot hold an article (navigation, headers, footers, asides, forms, scripts, styles
 and those whose class, id or role names an advert, notice, menu, sidebar or comments) have ratio
@@ -19,7 +19,6 @@ gives no rows. Other columns of the table are not read.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,8 +33,6 @@ from dockpulse.llm.common import map_arrow
 #: Lines on either side that smoothing takes in, and the width of the Gaussian.
 RADIUS = 2
 SIGMA = 1.0
-#: Share of the heaviest region's weight from which another region is selected too.
-SHARE = 0.3
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset(
@@ -84,6 +81,7 @@ class _Lines(HTMLParser):
         self.regions: list[int] = []
         self.allowed: list[bool] = []
         self.landmark: dict[int, bool] = {}
+        self.around: dict[int, int] = {}  # the region that a region stands in
         # Open elements: tag, tag that excludes it or "", region, inside an article, and whether
         # an excluded inline element mutes it, whose text is no part of the line around.
         self._open: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, False)]
@@ -119,13 +117,31 @@ class _Lines(HTMLParser):
             excluded = tag if self._excludes(tag, attrs, inside) else ""
             muted = muted or bool(excluded) and tag not in _BLOCK
         if article and not inside and not excluded:
-            region, inside = self._next_region, True
-            self._next_region += 1
+            region, inside = self._new_region(region), True
         elif tag in _BLOCK - _LEAVES and not inside:
-            region = self._next_region
-            self._next_region += 1
+            region = self._new_region(region)
         self._open.append((tag, excluded, region, inside, muted))
 
+    def _new_region(self, around: int) -> int:
+        region = self._next_region
+        self._next_region += 1
+        self.around[region] = around
+        return region
+
+    def around_all(self, regions: set[int]) -> set[int]:
+        """The least region that holds all of these, and all regions in it."""
+        for region in range(max(regions), 0, -1):  # a region has a larger number than that around it
+            if len(regions) == 1:
+                break
+            if region in regions:
+                regions.remove(region)
+                regions.add(self.around[region])
+        held = set(regions)
+        for region, around in self.around.items():
+            if around in held:
+                held.add(region)
+        return held
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
@@ -198,21 +214,15 @@ def main_text(html: str) -> str:
     lengths = np.array([len(t) for t in page.texts], float)
     ratios = np.where(allowed, lengths / np.maximum(page.tags, 1), 0.0)
     smooth = np.where(allowed, smoothed(ratios), 0.0)
-    content = smooth >= smooth.std()
-    weight: dict[int, float] = defaultdict(float)
-    for region, inside, value in zip(page.regions, content & allowed, smooth):
-        if inside:
-            weight[region] += float(value)
-    if not weight:  # no line stands out
-        for region, may, value in zip(page.regions, allowed, smooth):
-            if may:
-                weight[region] += float(value)
-    articles = {r for r in weight if page.landmark[r]}
+    content = allowed & (smooth >= smooth.std())
+    if not content.any():  # no line stands out
+        content = allowed
+    regions = np.array(page.regions)
+    articles = {r for r in set(regions[allowed].tolist()) if page.landmark[r]}
     if articles:
         chosen = articles
     else:
-        least = SHARE * max(weight.values())
-        chosen = {r for r, w in weight.items() if w >= least}
+        chosen = page.around_all(set(regions[content].tolist()))
     kept = [
         text
         for text, region, may in zip(page.texts, page.regions, page.allowed)
