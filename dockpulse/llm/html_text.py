@@ -9,7 +9,9 @@ the cluster. It gives all its lines, with lists, quotes, tables and nested block
 
 Elements that cannot hold an article (navigation, headers, footers, asides, forms, scripts, styles
 and those whose class, id or role names an advert, notice, menu, sidebar or comments) have ratio
-zero and are never selected.
+zero and are never selected. A name counts only as a whole class or id, which may be made of several
+such names (``cookie-notice``). An article in an element excluded by name alone is judged anew, and an
+element that holds more than half of the page's text is not excluded by name.
 
 Defined results: null or empty pages, and pages without text, give the empty string; unclosed
 elements end with the one around them; repeated rows are extracted row by row; an empty table
@@ -51,12 +53,15 @@ _ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
     "status toolbar".split()
 )
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|consent|cookies?|disqus|"
+_NAME = (
+    r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|consent|cookies?|disqus|"
     r"footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|"
     r"pagination|popup|promo\w*|recommend\w*|related|replies|respond|search|share|sidebar|signup|"
-    r"skip|social|sponsor\w*|subscribe|tags|toolbar|widget)(?:$|[\s_-])"
+    r"skip|social|sponsor\w*|subscribe|tags|toolbar|widget)"
 )
+_NAMES = re.compile(rf"(?:^|\s){_NAME}(?:[_-]+{_NAME})*(?:$|\s)")
+#: Stands for the tag of an element that is excluded by its name alone.
+_NAMED = "#name"
 #: A tag, comment or declaration that the page ends in.
 _UNFINISHED = re.compile("<[A-Za-z/!?]")
 #: An element of these ends an open one of the same kind of its own accord.
@@ -74,8 +79,11 @@ _CLOSES = {
 class _Lines(HTMLParser):
     """Lines of a page with their tags, region and whether they may be content."""
 
-    def __init__(self):
+    def __init__(self, spared: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.spared = spared  # elements, by number, that are not excluded by name
+        self.named: list[int] = []  # characters in each element of an excluding name
+        self.characters = 0
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.regions: list[int] = []
@@ -84,7 +92,10 @@ class _Lines(HTMLParser):
         self.around: dict[int, int] = {}  # the region that a region stands in
         # Open elements: tag, tag that excludes it or "", region, inside an article, and whether
         # an excluded inline element mutes it, whose text is no part of the line around.
-        self._open: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, False)]
+        # Last the numbers of the elements of excluding names around.
+        self._open: list[tuple[str, str, int, bool, bool, tuple[int, ...]]] = [
+            ("", "", 0, False, False, ())
+        ]
         self._next_region = 1
         self._parts: list[str] = []
         self._tag_count = 0
@@ -94,7 +105,7 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self._parts).split())
             self._parts = []
             if text:
-                _, excluded, region, inside, _ = next(e for e in reversed(self._open) if not e[4])
+                _, excluded, region, inside, *_ = next(e for e in reversed(self._open) if not e[4])
                 self.texts.append(text)
                 self.tags.append(self._tag_count)
                 self.regions.append(region)
@@ -111,16 +122,25 @@ class _Lines(HTMLParser):
             self._parts.append(" ")
         if tag in _VOID:
             return
-        _, excluded, region, inside, muted = self._open[-1]
+        _, excluded, region, inside, muted, names = self._open[-1]
         article = tag in _ARTICLE
-        if not excluded or (article and excluded == "form"):  # a form around the whole page
-            excluded = tag if self._excludes(tag, attrs, inside) else ""
+        if article and excluded in ("form", _NAMED):  # a form or wrapper around the whole page
+            excluded, muted = "", False
+        if excluded in ("", _NAMED):
+            if self._excludes(tag, attrs, inside):
+                excluded = tag
+            elif tag not in ("html", "body") and self._is_named(attrs):
+                number = len(self.named)
+                self.named.append(0)
+                names = (*names, number)
+                if number not in self.spared:
+                    excluded = _NAMED
             muted = muted or bool(excluded) and tag not in _BLOCK
         if article and not inside and not excluded:
             region, inside = self._new_region(region), True
         elif tag in _BLOCK - _LEAVES and not inside:
             region = self._new_region(region)
-        self._open.append((tag, excluded, region, inside, muted))
+        self._open.append((tag, excluded, region, inside, muted, names))
 
     def _new_region(self, around: int) -> int:
         region = self._next_region
@@ -159,7 +179,13 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self._open[-1][4]:
+        _, excluded, _, _, muted, names = self._open[-1]
+        if excluded in ("", _NAMED):
+            length = len("".join(data.split()))
+            self.characters += length
+            for number in names:
+                self.named[number] += length
+        if not muted:
             self._parts.append(data)
 
     def close(self):
@@ -183,10 +209,7 @@ class _Lines(HTMLParser):
         if tag in _NEVER or (tag == "header" and not inside):
             return True
         for name, value in attrs:
-            if name in ("class", "id"):
-                if tag not in ("html", "body") and _NAMES.search((value or "").lower()):
-                    return True
-            elif name == "role":
+            if name == "role":
                 if (value or "").lower() in _ROLES:
                     return True
             elif name == "hidden":
@@ -195,6 +218,12 @@ class _Lines(HTMLParser):
                 return True
         return False
 
+    @staticmethod
+    def _is_named(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(
+            name in ("class", "id") and bool(_NAMES.search((value or "").lower())) for name, value in attrs
+        )
+
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
     """Gaussian mean of each ratio and those of its neighbours; beyond the ends there is nothing."""
@@ -203,11 +232,19 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return total / weights.sum()
 
 
-def main_text(html: str) -> str:
-    """The text of the selected regions, one block to a line."""
-    page = _Lines()
+def _read(html: str, spared: frozenset[int] = frozenset()) -> _Lines:
+    page = _Lines(spared)
     page.feed(html)
     page.close()
+    return page
+
+
+def main_text(html: str) -> str:
+    """The text of the selected regions, one block to a line."""
+    page = _read(html)
+    most = frozenset(i for i, n in enumerate(page.named) if 2 * n > page.characters)
+    if most:
+        page = _read(html, most)
     if not any(page.allowed):
         return ""
     allowed = np.array(page.allowed)

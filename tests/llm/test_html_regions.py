@@ -35,3 +35,22 @@ def test_paragraphs_in_blocks_of_their_own_stay():
 def test_a_short_article_counts():
     html = page(f"<article><h1>{'h' * 20}</h1><p>{'p' * 60}</p></article><div>{'x' * 500}</div>")
     assert html_text.main_text(html) == "h" * 20 + "\n" + "p" * 60
+
+
+@pytest.mark.parametrize("name", ["right-sidebar", "no-sidebar", "nav-open", "sidebar", "widget search"])
+@pytest.mark.parametrize("tag", ["div", "span", "section"])
+def test_a_wrapper_of_any_name_keeps_the_page(name, tag):
+    content = "".join(f"<p>{t}</p>" for t in LONG)
+    for inner in (f"<article>{content}</article>", f"<div>{content}</div>"):
+        html = page(f"<{tag} id=page class='{name}'>{inner}<div class='social-share'>share it</div></{tag}>")
+        assert html_text.main_text(html).split("\n") == LONG
+
+
+def test_a_small_article_in_a_named_element_is_judged_anew():
+    html = page(f"<div class=widget><article><p>Short article.</p></article></div><div>{'x' * 500}</div>")
+    assert html_text.main_text(html) == "Short article."
+
+
+def test_headings_in_an_entry_header_stay():
+    html = page("<article><div class='entry-header'><h1>Head</h1></div><p>Text.</p><p class='ad'>Buy</p></article>")
+    assert html_text.main_text(html) == "Head\nText."
