@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dockpulse.llm import decontamination, lines, near_copies, packing, toxicity
+from dockpulse.llm import decontamination, lines, packing, simhash, toxicity
 from dockpulse.llm.common import table
 from dockpulse.llm.queries import word_tokenizer
 from dockpulse.session import scratch_dir
@@ -29,8 +29,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word similarity from 0.8) the one with the least id stays."""
-    return near_copies.one_of_each(docs)
+    """Of documents whose SimHash of three-word shingles differs in at most two bits, linked in
+    chains, the one with the least id stays."""
+    return simhash.one_of_each(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
