@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from dockpulse.llm import (
     decontamination,
     digests,
+    hard_negatives,
     html_text,
+    lexical,
     lines,
     packing,
+    signature_join,
     simhash,
     suffix_sort,
     suffix_tree,
@@ -125,6 +128,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.similar_sets(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; every seventh label is moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(rows, lambda vec_id: vec_id % 100 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_digests": op2_digests,
@@ -136,6 +154,9 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_simhash": op10_simhash,
+    "op11_signature_trees": op11_signature_trees,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 SQL = {
@@ -245,5 +266,89 @@ kept AS (
 SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op11_signature_trees": r"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+shingled AS (
+    SELECT DISTINCT r, array_to_string(words[p:p + 4], ' ') AS shingle
+    FROM docs, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS t(p) WHERE len(words) > 0
+),
+contents AS (SELECT r, count(*) AS n, list_sort(list(shingle)) AS shingles FROM shingled GROUP BY r),
+classes AS (SELECT shingles, n, min(r) AS c FROM contents GROUP BY shingles, n),
+parts AS (SELECT c, n, unnest(shingles) AS shingle FROM classes),
+pairs AS (
+    SELECT a.c AS x, b.c AS y FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.c < b.c
+    GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs UNION ALL SELECT c, c FROM classes),
+reached AS (
+    SELECT c AS start, c AS node FROM classes
+    UNION SELECT start, y FROM reached JOIN links ON node = x
+),
+roots AS (SELECT start AS c, min(node) AS root FROM reached GROUP BY start),
+members AS (
+    SELECT r, contents.n, root FROM contents JOIN classes USING (shingles) JOIN roots USING (c)
+),
+named AS (SELECT root, min(doc_id) AS component_id FROM members JOIN docs USING (r) GROUP BY root)
+SELECT doc_id, coalesce(m.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM docs LEFT JOIN members m USING (r) LEFT JOIN named USING (root)
+""",
+    "op12_hard_negatives": """
+WITH sound AS (
+    SELECT row_number() OVER () AS ref, vec_id,
+           CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scores AS (
+    SELECT a.ref AS anchor, a.vec_id AS anchor_id, b.ref, b.vec_id, a.label = b.label AS same,
+           list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score
+    FROM sound a JOIN sound b ON a.ref <> b.ref WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT anchor, anchor_id, ref AS pos, vec_id AS positive_id, score AS positive_score
+    FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+       row_number() OVER (PARTITION BY anchor, pos ORDER BY score DESC, vec_id) AS rank
+FROM positives JOIN (SELECT anchor, vec_id, score FROM scores WHERE NOT same) USING (anchor)
+WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+""",
+    "op13_lexical_search": r"""
+WITH texts AS (
+    SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents
+    UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark
+),
+terms AS (
+    SELECT kind, r, id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM texts
+),
+counted AS (SELECT kind, r, id, term, count(*) AS tf FROM terms GROUP BY kind, r, id, term),
+sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM counted WHERE kind = 'd' GROUP BY r),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, totals WHERE kind = 'd' GROUP BY term
+),
+scored AS (
+    SELECT q.r AS query, q.id AS item_id, d.id AS doc_id,
+           sum(q.tf * w * ((1000000000 * d.tf)
+               // (1000 * d.tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+    FROM counted q JOIN counted d ON q.term = d.term AND q.kind = 'b' AND d.kind = 'd'
+    JOIN weights w ON w.term = q.term JOIN sizes s ON s.r = d.r, totals
+    GROUP BY q.r, q.id, d.r, d.id
+)
+SELECT item_id, doc_id, score,
+       row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank
+FROM scored WHERE score > 0 QUALIFY rank <= 20
 """,
 }
