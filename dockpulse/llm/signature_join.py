@@ -12,7 +12,8 @@ start. Two sets link when ``100 * common >= percent * united``, so either one ha
    can only make a hash look shared and keep a set in.
 2. *Groups.* Linked sets share one of the lowest ``fifth + 1`` hashes of both. The sets left meet by
    these hashes: first only by the lowest shared one of each set, then, for hashes whose sets are
-   not yet of one component, by all of them.
+   not yet of one component, by all of them. The first time the hashes of the sets meet, afterwards
+   their signatures only; pairs that these leave open are compared once each.
 3. *Signature trees.* Sets of a group, sorted by size and content, are leaves of a tree whose nodes
    hold the OR of the bitmaps, the range of sizes, and the largest number of hashes that share a
    bit. Two trees are walked together: a pair of nodes is left when its sizes are too far apart, or
@@ -32,7 +33,7 @@ ever naming it; an empty table gives no rows. Further columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -289,6 +290,30 @@ def _packed(values: np.ndarray) -> bytes:
 # -- signature trees -------------------------------------------------------------------------
 
 
+def width_of(n: int) -> int:
+    """Bits of a set's signature: a power of two above twice its hashes, within limits."""
+    return min(max(128, 1 << (2 * n - 1).bit_length()), 1 << 14)
+
+
+def signature(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A bit for each hash."""
+    bits = np.zeros(width // 64, _U)
+    place = hashes.view(_U) & _U(width - 1)
+    np.bitwise_or.at(bits, (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63)))
+    return bits
+
+
+@dataclass
+class Member:
+    """A set as the trees see it; ``mark`` names its component, ``hashes`` may be left out."""
+
+    name: int
+    mark: int
+    size: int
+    bits: np.ndarray
+    hashes: np.ndarray | None = None
+
+
 @dataclass
 class Node:
     bits: np.ndarray
@@ -301,21 +326,22 @@ class Node:
 
 
 class SignatureTree:
-    """Sets in the order of size and content, and the nodes above them."""
-
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], width: int, marks: np.ndarray):
-        sizes = np.array([len(s) for s in sets])
-        heads = np.array([s[0] if len(s) else 0 for s in sets], np.int64)
-        by = np.lexsort((heads, sizes))
-        self.ids, self.marks = ids[by], marks[by]
-        self.sets = [sets[i] for i in by.tolist()]
-        self.sizes = sizes[by]
-        self.bits = np.zeros((len(sets), width // 64), _U)
-        for row, hashes in zip(self.bits, self.sets):
-            place = hashes.view(_U) & _U(width - 1)
-            np.bitwise_or.at(row, (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63)))
-        self.hidden = self.sizes - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
-        level = [self._leaf(i, min(i + LEAF, len(sets))) for i in range(0, len(sets), LEAF)]
+    """Sets in the order of size and signature, and the nodes above them.
+
+    A signature narrower than ``width`` is repeated: each of its bits then stands for several, so
+    that a hash common to two sets still has a common bit.
+    """
+
+    def __init__(self, members: list[Member], width: int):
+        self.members = sorted(members, key=lambda m: (m.size, m.bits.tobytes(), m.name))
+        self.sizes = np.array([m.size for m in self.members])
+        self.marks = np.array([m.mark for m in self.members])
+        self.bits = np.array([np.tile(m.bits, width // 64 // len(m.bits)) for m in self.members])
+        self.hidden = np.array(
+            [m.size - int(np.bitwise_count(m.bits).sum()) for m in self.members]
+        )
+        count = len(self.members)
+        level = [self._leaf(i, min(i + LEAF, count)) for i in range(0, count, LEAF)]
         while len(level) > 1:
             level = [self._above(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
         self.root = level[0]
@@ -367,38 +393,34 @@ class Forest:
             x = parent[x]
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: int, b: int) -> None:
         a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-        return a != b
+        self.parent[max(a, b)] = min(a, b)
 
-    def of_one(self, xs: np.ndarray) -> bool:
-        first = self.root(int(xs[0]))
-        return all(self.root(int(x)) == first for x in xs[1:])
+    def of_one(self, left: np.ndarray, right: np.ndarray) -> bool:
+        first = self.root(int(left[0]))
+        return self.root(int(right[0])) == first and all(
+            self.root(int(x)) == first for part in (left, right) for x in part
+        )
 
 
 def walk(
     left: SignatureTree, right: SignatureTree, forest: Forest, percent: int
-) -> Iterator[tuple[int, int]]:
-    """Links that join components; ``left`` may be ``right``."""
+) -> Iterator[tuple[Member, Member]]:
+    """Pairs of sets of different components that may link; ``left`` may be ``right``.
+
+    Whoever takes a pair may join its components in ``forest`` before asking for the next one.
+    """
     same = left is right
     open_ = [(left.root, right.root)]
     while open_:
         a, b = open_.pop()
         if same and a is not b and a.begin >= b.end:
             continue  # met the other way round
-        if apart(a, b, percent):
+        if apart(a, b, percent) or forest.of_one(left.marks[a.begin : a.end], right.marks[b.begin : b.end]):
             continue
         if a.children or b.children:
-            first, last = forest.root(int(left.marks[a.begin])), forest.root(int(right.marks[b.begin]))
-            if first == last and forest.of_one(left.marks[a.begin : a.end]) and forest.of_one(
-                right.marks[b.begin : b.end]
-            ):
-                continue
-            for x in a.children or [a]:
-                for y in b.children or [b]:
-                    open_.append((x, y))
+            open_ += [(x, y) for x in a.children or [a] for y in b.children or [b]]
             continue
         for i in range(a.begin, a.end):
             begin = max(b.begin, i + 1) if same else b.begin
@@ -406,26 +428,26 @@ def walk(
                 continue
             n, others = int(left.sizes[i]), right.sizes[begin : b.end]
             common = np.bitwise_count(left.bits[i] & right.bits[begin : b.end]).sum(axis=1).astype(np.int64)
-            most = np.minimum(common + np.minimum(left.hidden[i], right.hidden[begin : b.end]), np.minimum(n, others))
+            common += np.minimum(left.hidden[i], right.hidden[begin : b.end])
+            most = np.minimum(common, np.minimum(n, others))
             for j in (begin + np.flatnonzero((100 + percent) * most >= percent * (n + others))).tolist():
-                x, y = int(left.marks[i]), int(right.marks[j])
-                if forest.root(x) == forest.root(y):
-                    continue
-                overlap = len(np.intersect1d(left.sets[i], right.sets[j], assume_unique=True))
-                if links_with(overlap, n, int(right.sizes[j]), percent):
-                    forest.join(x, y)
-                    yield int(left.ids[i]), int(right.ids[j])
+                if forest.root(int(left.marks[i])) != forest.root(int(right.marks[j])):
+                    yield left.members[i], right.members[j]
+
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return links_with(common, len(x), len(y), percent)
 
-def _width(sizes: list[int]) -> int:
-    """Bits of a signature: a power of two above twice the hashes of a middling set."""
-    middle = sorted(sizes)[len(sizes) // 2]
-    return min(max(128, 1 << (2 * middle - 1).bit_length()), 1 << 14)
 
+def group_pairs(
+    groups: DataFrame, sets: DataFrame, percent: int, chunk_hashes: int, compare: bool
+) -> DataFrame:
+    """(src, dst): pairs of the sets that meet in ``groups`` (token, set, n, mark).
 
-def tree_links(groups: DataFrame, sets: DataFrame, percent: int, chunk_hashes: int) -> DataFrame:
-    """(src, dst): links of the sets that meet in ``groups`` (token, set, n, mark); sets of one
-    mark count as linked."""
+    Sets of one mark count as linked. With ``compare`` the sets themselves meet and the pairs are
+    links, no more than join components; otherwise signatures meet and pairs may not link.
+    """
     sizes = groups.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.sum("n").alias("hashes")
     )
@@ -443,37 +465,69 @@ def tree_links(groups: DataFrame, sets: DataFrame, percent: int, chunk_hashes: i
             (F.col("mine") > F.col("other")).alias("second"),
             "set",
             "mark",
+            "n",
         )
     )
-    payload = placed.join(sets.select("set", "hashes"), "set")
+    body = "hashes" if compare else "bits"
     keys = ["token", "low", "high"]
-    dealt = payload.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = (
+        placed.join(sets.select("set", body), "set")
+        .repartition(*keys)
+        .sortWithinPartitions(*keys)
+        .select(*keys, "second", "set", "mark", "n", body)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for rows in by_key(batches, 3):
-            sides: tuple[list, list] = ([], [])
-            for *_, second, name, mark, hashes in rows:
-                sides[second].append((name, mark, np.frombuffer(hashes, np.int64)))
-            width = _width([len(h) for side in sides for *_, h in side])
-            trees = [
-                SignatureTree(
-                    np.array([name for name, *_ in side]),
-                    [h for *_, h in side],
-                    width,
-                    np.array([mark for _, mark, _ in side]),
-                )
-                for side in sides
-                if side
-            ]
-            within = rows[0][1] == rows[0][2]
-            if not within and len(trees) < 2:
+            sides: tuple[list[Member], list[Member]] = ([], [])
+            for *_, second, name, mark, size, data in rows:
+                if compare:
+                    hashes = np.frombuffer(data, np.int64)
+                    member = Member(name, mark, size, signature(hashes, width_of(size)), hashes)
+                else:
+                    member = Member(name, mark, size, np.frombuffer(data, _U))
+                sides[second].append(member)
+            width = 64 * max(len(m.bits) for side in sides for m in side)
+            trees = [SignatureTree(side, width) for side in sides if side]
+            if len(trees) < 2 and rows[0][1] != rows[0][2]:
                 continue
-            found = list(walk(trees[0], trees[-1], Forest(), percent))
+            forest, found = Forest(), []
+            for x, y in walk(trees[0], trees[-1], forest, percent):
+                if not compare:
+                    found.append((min(x.name, y.name), max(x.name, y.name)))
+                elif linked(x.hashes, y.hashes, percent):
+                    forest.join(x.mark, y.mark)
+                    found.append((x.name, y.name))
             if found:
                 yield [list(c) for c in zip(*found)]
 
-    columns = [*keys, "second", "set", "mark", "hashes"]
-    return map_arrow(dealt.select(*columns), _long("src", "dst"), run)
+    return map_arrow(dealt, _long("src", "dst"), run)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link; each set's hashes go to where its pairs are, once for ``src``."""
+    once = pairs.distinct()
+    own = once.select("src").distinct().join(sets, F.col("src") == F.col("set"))
+    partners = once.join(sets, F.col("dst") == F.col("set"))
+    both = own.select("src", F.lit(None).cast("long").alias("dst"), "hashes").unionAll(
+        partners.select("src", "dst", "hashes")
+    )
+    dealt = both.repartition("src").sortWithinPartitions("src", "dst")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        of, mine = None, None
+        for batch in batches:
+            found = []
+            for src, dst, data in zip(*[c.to_pylist() for c in batch.columns]):
+                hashes = np.frombuffer(data, np.int64)
+                if dst is None:  # sorted first
+                    of, mine = src, hashes
+                elif src == of and linked(mine, hashes, percent):
+                    found.append((src, dst))
+            if found:
+                yield [list(c) for c in zip(*found)]
+
+    return map_arrow(dealt, _long("src", "dst"), run)
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -493,12 +547,13 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]
 
 
 def _full_sets(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
-    """(set, n, hashes) of the sets in ``chosen``, each from one text."""
+    """(set, n, hashes, bits) of the sets in ``chosen``, each from one text."""
     schema = StructType(
         [
             StructField("set", LongType()),
             StructField("n", LongType()),
             StructField("hashes", BinaryType()),
+            StructField("bits", BinaryType()),
         ]
     )
 
@@ -509,6 +564,7 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
                 [set_id(h) for h in found],
                 [len(h) for h in found],
                 [h.tobytes() for h in found],
+                [signature(h, width_of(len(h))).tobytes() for h in found],
             ]
 
     texts = keyed_texts(docs).join(chosen.select("k1", "k2"), ["k1", "k2"], "left_semi")
@@ -568,9 +624,8 @@ def similar_sets(
     repeated = lows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     meeting = written(lows.join(repeated, "token"), "groups")
     first = meeting.groupBy("set", "n").agg(F.min("token").alias("token"))
-    links = written(
-        tree_links(first.withColumn("mark", F.col("set")), sets, percent, chunk_hashes), "links"
-    )
+    alone = first.withColumn("mark", F.col("set"))
+    links = written(group_pairs(alone, sets, percent, chunk_hashes, compare=True), "links")
     so_far = written(components(links), "components")
     marked = meeting.join(so_far, meeting.set == so_far.node, "left").select(
         "token", "set", "n", F.coalesce("root", "set").alias("mark")
@@ -581,7 +636,10 @@ def similar_sets(
         .where("a != b")
         .select("token")
     )
-    more = tree_links(marked.join(mixed_tokens, "token"), sets, percent, chunk_hashes)
+    pairs = group_pairs(
+        marked.join(mixed_tokens, "token"), sets, percent, chunk_hashes, compare=False
+    )
+    more = compared(written(pairs, "pairs"), sets, percent)
     roots = components(links.unionAll(more))
     named = (
         distinct.join(roots, distinct.set == roots.node, "left")
