@@ -45,8 +45,10 @@ POSITIVES = 5
 NEGATIVES = 10
 #: Rows of a shard, about; codes of a half; rows that the codebooks are fitted on at most.
 SHARD = 8192
-CODES = 16
+CODES = 8
 SAMPLE = 8192
+#: Rows that are scored, cell by cell, before the windows take them.
+TOGETHER = 512
 _ROUNDS = 8
 
 _SHARDED = StructType(
@@ -144,12 +146,12 @@ class MultiIndex:
         ends = np.append(edges[1:], len(cell))
         self.cells = {int(cell[a]): (int(a), int(b)) for a, b in zip(edges, ends)}
         largest = float(np.abs(vectors).max(initial=0))
-        self.exact = points[by] if largest**2 * vectors.shape[1] < 2.0**52 else None
+        self.exact = points[by] if largest * vectors.shape[1] < 2.0**26 else None
 
     def scores(self, begin: int, end: int, query: np.ndarray) -> np.ndarray:
-        """Inner products, in floats where these are exact."""
-        if self.exact is not None and float(np.abs(query).max(initial=0)) ** 2 * len(query) < 2.0**52:
-            return (self.exact[begin:end] @ query.astype(np.float64)).astype(np.int64)
+        """Inner products, in floats if the query comes as such."""
+        if self.exact is not None and query.dtype == np.float64:
+            return (self.exact[begin:end] @ query).astype(np.int64)
         return self.vectors[begin:end] @ query
 
     def visit(self, query: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -193,12 +195,15 @@ class ScoreWindow:
         return len(self.scores) == self.keep and bound < self.scores[-1]
 
     def offer(self, scores: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
-        mine = np.ones(len(scores), bool)
-        if self.low is not None:
-            mine = (scores >= self.low) & (scores <= self.high)
-        if len(self.scores) == self.keep:
-            mine &= scores >= self.scores[-1]
-        if mine.any():
+        least = self.scores[-1] if len(self.scores) == self.keep else self.low
+        if self.low is None:
+            mine = np.arange(len(scores)) if least is None else np.flatnonzero(scores >= least)
+        else:
+            mine = np.flatnonzero((scores >= least) & (scores <= self.high))
+        if len(mine) > 4 * self.keep:  # ties with the last place stay until ids decide
+            reach = np.partition(scores[mine], -self.keep)[-self.keep]
+            mine = mine[scores[mine] >= reach]
+        if len(mine):
             scores = np.concatenate([self.scores, scores[mine]])
             rows = np.concatenate([self.rows, rows[mine]])
             by = np.lexsort((ids[rows], -scores))[: self.keep]
@@ -206,15 +211,33 @@ class ScoreWindow:
 
 
 def search(index: MultiIndex, query: np.ndarray, admits: np.ndarray, windows: list[ScoreWindow]) -> None:
-    """Fill the windows with admitted rows of the index; stops when all are certified."""
+    """Fill the windows with admitted rows of the index; stops when all are certified.
+
+    Rows are offered some ``TOGETHER`` at a time, before the next cell's bound is held against
+    the windows.
+    """
+    waiting, size = [], 0
+
+    def offer() -> None:
+        rows = np.concatenate([np.arange(a, b) for a, b, _ in waiting])
+        scores = np.concatenate([s for *_, s in waiting])
+        mine = admits[rows]
+        rows, scores = rows[mine], scores[mine]
+        for w in windows:
+            w.offer(scores, rows, index.ids)
+
+    wide = index.exact is None or float(np.abs(query).max(initial=0)) >= 2.0**26
+    exact = query if wide else query.astype(np.float64)  # products below 2**52 are whole in floats
     for bound, begin, end in index.visit(query):
-        if all(w.certified(bound) for w in windows):
-            return
-        rows = begin + np.flatnonzero(admits[begin:end])
-        if len(rows):
-            scores = index.scores(begin, end, query)[rows - begin]
-            for w in windows:
-                w.offer(scores, rows, index.ids)
+        if size >= TOGETHER:
+            offer()
+            waiting, size = [], 0
+            if all(w.certified(bound) for w in windows):
+                return
+        waiting.append((begin, end, index.scores(begin, end, exact)))
+        size += end - begin
+    if waiting:
+        offer()
 
 
 def _windows_of(positives: list[int] | None, positive_count: int, negative_count: int) -> list[ScoreWindow]:
