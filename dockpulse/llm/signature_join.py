@@ -12,7 +12,7 @@ start. Two sets link when ``100 * common >= percent * united``, so either one ha
    can only make a hash look shared and keep a set in.
 2. *Groups.* Linked sets share one of the lowest ``fifth + 1`` hashes of both. The sets left meet by
    these hashes: first only by the lowest shared one of each set, then, for hashes whose sets are
-   not yet of one component, by all of them. The first time the hashes of the sets meet, afterwards
+   not yet of one component, by all of them, once for each different group of sets. The first time the hashes of the sets meet, afterwards
    their signatures only; pairs that these leave open are compared once each.
 3. *Signature trees.* Sets of a group, sorted by size and content, are leaves of a tree whose nodes
    hold the OR of the bitmaps, the range of sizes, and the largest number of hashes that share a
@@ -320,6 +320,7 @@ class Node:
     low: int
     high: int
     hidden: int
+    words: int
     begin: int
     end: int
     children: list["Node"]
@@ -329,13 +330,15 @@ class SignatureTree:
     """Sets in the order of size and signature, and the nodes above them.
 
     A signature narrower than ``width`` is repeated: each of its bits then stands for several, so
-    that a hash common to two sets still has a common bit.
+    that a hash common to two sets still has a common bit. ``words`` are the lengths before that:
+    two signatures have their common bits as often as the longer of them was repeated.
     """
 
     def __init__(self, members: list[Member], width: int):
         self.members = sorted(members, key=lambda m: (m.size, m.bits.tobytes(), m.name))
         self.sizes = np.array([m.size for m in self.members])
         self.marks = np.array([m.mark for m in self.members])
+        self.words = np.array([len(m.bits) for m in self.members])
         self.bits = np.array([np.tile(m.bits, width // 64 // len(m.bits)) for m in self.members])
         self.hidden = np.array(
             [m.size - int(np.bitwise_count(m.bits).sum()) for m in self.members]
@@ -352,6 +355,7 @@ class SignatureTree:
             int(self.sizes[begin]),
             int(self.sizes[end - 1]),
             int(self.hidden[begin:end].max()),
+            int(self.words[begin:end].max()),
             begin,
             end,
             [],
@@ -364,6 +368,7 @@ class SignatureTree:
             nodes[0].low,
             nodes[-1].high,
             max(n.hidden for n in nodes),
+            max(n.words for n in nodes),
             nodes[0].begin,
             nodes[-1].end,
             nodes,
@@ -374,7 +379,8 @@ def apart(a: Node, b: Node, percent: int) -> bool:
     """Whether no set below one node can link with one below the other."""
     if 100 * a.high < percent * b.low or 100 * b.high < percent * a.low:
         return True
-    common = int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.hidden, b.hidden)
+    bits = int(np.bitwise_count(a.bits & b.bits).sum()) * max(a.words, b.words) // len(a.bits)
+    common = bits + min(a.hidden, b.hidden)
     most = min(a.high, b.high, common)
     # common >= percent / 100 * (|a| + |b| - common)
     return (100 + percent) * most < percent * (a.low + b.low)
@@ -428,6 +434,7 @@ def walk(
                 continue
             n, others = int(left.sizes[i]), right.sizes[begin : b.end]
             common = np.bitwise_count(left.bits[i] & right.bits[begin : b.end]).sum(axis=1).astype(np.int64)
+            common = common * np.maximum(left.words[i], right.words[begin : b.end]) // left.bits.shape[1]
             common += np.minimum(left.hidden[i], right.hidden[begin : b.end])
             most = np.minimum(common, np.minimum(n, others))
             for j in (begin + np.flatnonzero((100 + percent) * most >= percent * (n + others))).tolist():
@@ -630,10 +637,19 @@ def similar_sets(
     marked = meeting.join(so_far, meeting.set == so_far.node, "left").select(
         "token", "set", "n", F.coalesce("root", "set").alias("mark")
     )
+    # Hashes that the very same sets have, those of one passage, make one group.
+    one, two = (F.xxhash64("set", F.lit(x)).cast("decimal(38,0)") for x in (1, 2))
     mixed_tokens = (
         marked.groupBy("token")
-        .agg(F.min("mark").alias("a"), F.max("mark").alias("b"))
+        .agg(
+            F.min("mark").alias("a"),
+            F.max("mark").alias("b"),
+            F.sum(one).alias("one"),
+            F.sum(two).alias("two"),
+        )
         .where("a != b")
+        .groupBy("one", "two")
+        .agg(F.min("token").alias("token"))
         .select("token")
     )
     pairs = group_pairs(
