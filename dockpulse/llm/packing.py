@@ -19,20 +19,19 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
-import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from dockpulse.llm.common import map_arrow, utf8
+from dockpulse.llm.common import map_arrow
 
 #: Tokens of a window, of a piece at most, and windows packed together at most.
 CAPACITY = 2048
@@ -40,12 +39,15 @@ PIECE = 512
 UNIT_WINDOWS = 96
 #: Share of a unit's windows that is filled on purpose: room for differencing to end in.
 FILL = 0.99
-#: Words whose ids a worker keeps at most; beyond it the store starts anew.
-CACHED_WORDS = 600_000
-
-# ASCII without controls and the Latin letters that have one code point in every normal form.
-_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Words whose ids a task keeps at most; beyond it the store starts anew.
+CACHED_WORDS = 400_000
+#: Texts that are split and encoded at once, and words of a line handed to the tokenizer.
+_TEXTS, _LINE = 1024, 256
+#: Texts on which a tokenizer must agree with its word-wise use.
+_PROBES = (
+    "Some words, with MARKS; don't it's 12 3.5 (x)!  two\tblanks\nand \u00c9tude \u03a3\u0391\u03a3, end.",
+    "a,b c. d? e!f ... x_y -- \u65e5\u672c\u8a9e \u00bd",
+)
 
 _PIECES = StructType(
     [
@@ -60,70 +62,105 @@ _PIECES = StructType(
 )
 
 
-class WordIds(dict):
-    """Ids of white-space separated words as little-endian unsigned 32-bit bytes.
+class WordIds:
+    """Ids of texts, word by word: every different word of a batch is encoded once.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    words. Words of plain letters, digits and marks are split into the runs that the tokenizer
-    splits them into, whose ids are kept from task to task of a worker; any other word goes to
-    the tokenizer as it is.
+    A tokenizer that drops white space and never merges across it gives a text the ids of its
+    words, and those of a word less its closing marks and these marks. Whether it does, and has a
+    special token to set words apart by, is tried out on loading; texts of any other tokenizer,
+    and texts that may hold a special token, are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        vocabulary = self._tokenizer.get_vocab()
-        self._ends = frozenset(i for token, i in vocabulary.items() if token.endswith("</w>"))
-        self._runs = vars(sys).setdefault("_dockpulse_run_ids", {}).setdefault(path, {})
-
-    def learn(self, words: set[bytes]) -> None:
-        """Fill in the ids of all ``words``."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
-            new = list(words)
-        if len(self._runs) > CACHED_WORDS:
-            self._runs.clear()
-        simple, unseen = [], set()
-        for word in new:
-            text = word.decode()
-            if text.isascii() and text.isalpha():
-                runs = [text.lower()]
-            elif text.isascii() and text[:-1].isalpha() and text[-1] in ".,;:!?":
-                runs = [text[:-1].lower(), text[-1]]
-            elif _SIMPLE.fullmatch(text):
-                runs = _RUNS.findall(text.lower())
-            else:
-                runs = None
-            if runs is not None:
-                simple.append((word, runs))
-                unseen.update([run for run in runs if run not in self._runs])
-            else:
-                ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-                self[word] = np.array(ids, "<u4").tobytes()
-        unseen = list(unseen)
-        for at in range(0, len(unseen), 1 << 14):
-            self._encode_runs(unseen[at : at + (1 << 14)])
-        known = self._runs
-        for word, runs in simple:
-            self[word] = known[runs[0]] if len(runs) == 1 else b"".join([known[r] for r in runs])
-
-    def _encode_runs(self, runs: list[str]) -> None:
-        lines = [" ".join(runs[i : i + 64]) for i in range(0, len(runs), 64)]
-        ends, current, at = self._ends, [], 0
-        for encoded in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False):
-            for i in encoded.ids:
-                current.append(i)
-                if i in ends:
-                    self._runs[runs[at]] = np.array(current, "<u4").tobytes()
-                    at += 1
-                    current = []
-
-
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids as binary of unsigned 16-bit numbers, salt), with ``end_id`` at each end."""
+        special = [(t.content, i) for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special]
+        self._specials = sorted({text[:2] for text, _ in special})
+        self._mark, self._mark_id = max(special, key=lambda s: s[1]) if special else (None, -1)
+        self._clear()
+        self._by_words = self._mark is not None and self._agrees()
+
+    def _agrees(self) -> bool:
+        texts = pa.array(list(_PROBES), pa.string())
+        try:
+            ids, bounds = self._words_of(texts)
+        except ValueError:
+            return False
+        plain = [self._plain(t) for t in _PROBES]
+        self._clear()
+        return all(ids[a:b].tolist() == p for a, b, p in zip(bounds, bounds[1:], plain))
+
+    def _clear(self) -> None:
+        self._slots: dict[str, int] = {}
+        self._starts = self._counts = np.empty(0, np.int64)
+        self._ids = np.empty(0, np.uint32)
+
+    def _plain(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        lines = [self._mark.join(words[i : i + _LINE]) + self._mark for i in range(0, len(words), _LINE)]
+        encoded = self._tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in encoded])
+        ends = np.flatnonzero(ids == self._mark_id)
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not keep marked words apart")
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        known = len(self._slots)
+        self._slots.update(zip(words, range(known, known + len(words))))
+        self._starts = np.concatenate([self._starts, starts + len(self._ids)])
+        self._counts = np.concatenate([self._counts, ends - starts])
+        self._ids = np.concatenate([self._ids, ids])
+
+    def _words_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after the other, and where each begins and the end."""
+        folded = pc.ascii_lower(texts)
+        spaced = pc.replace_substring_regex(folded, r"([a-z])([.,;:!?]+)([ \n]|$)", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(spaced)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self._slots) + len(words) > CACHED_WORDS:
+            self._clear()
+        slots = self._slots
+        new = [w for w in words if w not in slots]
+        if new:
+            self._learn(new)
+        of = np.array([slots[w] for w in words], np.int64)[coded.indices.to_numpy()]
+        counts = self._counts[of]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = self._ids[np.repeat(self._starts[of] - ends[:-1], counts) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self._by_words:
+            return [np.array(self._plain(t), np.uint32) for t in texts.to_pylist()]
+        odd = np.zeros(len(texts), bool)
+        for start in self._specials:
+            odd |= pc.match_substring(texts, start).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.array(self._plain(texts[i].as_py()), np.uint32)
+        even = np.flatnonzero(~odd)
+        if len(even):
+            ids, bounds = self._words_of(texts.take(pa.array(even)))
+            for i, a, b in zip(even.tolist(), bounds.tolist(), bounds[1:].tolist()):
+                out[i] = ids[a:b]
+        return out
+
+
+def id_type(tokenizer_path: str, end_id: int) -> str:
+    """The narrowest layout that holds all ids of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    largest = max(Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values())
+    return "<u2" if max(largest, end_id) < 1 << 16 else "<u4"
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, layout: str) -> DataFrame:
+    """(doc_id, salt, ids as binary in ``layout``), with ``end_id`` at each end."""
     schema = StructType(
         [
             StructField("doc_id", LongType()),
@@ -131,23 +168,19 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             StructField("ids", BinaryType()),
         ]
     )
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], layout).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = WordIds(tokenizer_path)
+        words = WordIds(tokenizer_path)
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                texts = [text.split() for text in part.column(1).to_pylist()]
-                words = set()
-                for text in texts:
-                    words.update(text)
-                cache.learn(words)
-                ids = [b"".join([cache[w] for w in text]) + end for text in texts]
-                packed = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
-                yield [part.column(0), [zlib.crc32(i) & 0x7FFFFFFF for i in ids], packed]
+            for part in (batch.slice(i, _TEXTS) for i in range(0, batch.num_rows, _TEXTS)):
+                found = words.encode(part.column(1).cast(pa.string()))
+                packed = [ids.astype(layout).tobytes() + end for ids in found]
+                yield [part.column(0), [zlib.crc32(i) & 0x7FFFFFFF for i in packed], packed]
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), utf8("text")), schema, run)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text), schema, run)
 
 
 def difference_partition(sizes: list[int], ways: int) -> list[list[int]]:
@@ -232,7 +265,11 @@ def pack_unit(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
 
 
 def pack_share(
-    rows: Iterator[tuple[int | None, bytes]], capacity: int, piece: int, first_id: int
+    rows: Iterator[tuple[int | None, bytes]],
+    capacity: int,
+    piece: int,
+    first_id: int,
+    layout: str = "<u2",
 ) -> Iterator[list[tuple]]:
     """Rows of pieces, unit by unit, for a stream of documents."""
     next_id, docs, pieces, waiting = first_id, [], [], 0
@@ -254,7 +291,7 @@ def pack_share(
         return out
 
     for doc_id, raw in rows:
-        ids = np.frombuffer(raw, "<u2")
+        ids = np.frombuffer(raw, layout)
         docs.append((doc_id, ids))
         whole = len(ids) // capacity * capacity
         out = []
@@ -283,7 +320,8 @@ def pack(
     piece: int = PIECE,
 ) -> DataFrame:
     """One row per piece: document, place in it, window (``sequence_id``) and place there."""
-    tokens = tokenize(docs, tokenizer_path, end_id)
+    layout = id_type(tokenizer_path, end_id)
+    tokens = tokenize(docs, tokenizer_path, end_id, layout)
     dealt = tokens.repartition("doc_id", "salt").sortWithinPartitions("doc_id", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -294,7 +332,7 @@ def pack(
             for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         )
         gathered = []
-        for out in pack_share(rows, capacity, piece, first_id):
+        for out in pack_share(rows, capacity, piece, first_id, layout):
             gathered += out
             if len(gathered) > 20_000:
                 yield list(zip(*gathered))

@@ -8,6 +8,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import as_docs, edge_rows
 from pyspark.sql import functions as F
@@ -21,9 +22,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 HARD = [
@@ -31,9 +30,32 @@ HARD = [
     (71, "tabs\tand\x0bvertical\x1cseparators\x85next space 　wide x_y __ ... ?!\x00\x01"),
     (72, "日本語 テキスト 한국어 😀👍🏽 ﬁne ª º µ ×÷ «quoted» –dash—"),
     (73, "a" * 5000),
+    (74, "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b <| |> end.<|endoftext|>"),
+    (75, "\u0130X, \u03a3. \u00e9! e\u0301, x\u0301. \u03a3\u0391\u03a3; don't. 'S, a.b, c.,d e,\nf. g,\th,"),
 ]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_whole_texts(name):
+    """Word-wise where the tokenizer allows it, else text by text."""
+    path = public_tokenizers.path(name)
+    plain, words = Tokenizer.from_file(path), packing.WordIds(path)
+    assert words._by_words == (name == "word_bpe_49k.json")
+    texts = [t or "" for _, t in edge_rows() + HARD] * 2
+    for text, ids in zip(texts, words.encode(pa.array(texts, pa.string()))):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_that_need_more_than_two_bytes(spark):
+    assert packing.id_type(PATH, 1) == "<u2" and packing.id_type(PATH, 1 << 16) == "<u4"
+    pieces = packing.pack(as_docs(spark, HARD), PATH, end_id=70_000).collect()
+    plain = Tokenizer.from_file(PATH)
+    for i, text in HARD:
+        ids = np.array(plain.encode(text, add_special_tokens=False).ids + [70_000], "<u4")
+        for p in [p for p in pieces if p.doc_id == i]:
+            assert zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32
+
+
 @pytest.mark.parametrize("capacity", [64, 2048])
 def test_packing_is_a_round_trip(spark, tokenizer, capacity):
     rows = edge_rows() + HARD
