@@ -26,20 +26,23 @@ def clean_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _map_columns(df, columns, to_number)
 
 
-def clean_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _map_columns(df, columns, to_time)
+def clean_dates(df: DataFrame, columns: Sequence[str], day_first: bool = False) -> DataFrame:
+    return _map_columns(df, columns, lambda value, kind: to_time(value, kind, day_first))
 
 
 def sanitize_table(
-    df: DataFrame, numeric: Sequence[str] = (), dates: Sequence[str] = ()
+    df: DataFrame,
+    numeric: Sequence[str] = (),
+    dates: Sequence[str] = (),
+    day_first: bool = False,
 ) -> DataFrame:
-    return clean_dates(clean_numeric(standardize_columns(df), numeric), dates)
+    return clean_dates(clean_numeric(standardize_columns(df), numeric), dates, day_first)
 
 
-def sanitize_scans(df: DataFrame) -> DataFrame:
+def sanitize_scans(df: DataFrame, day_first: bool = False) -> DataFrame:
     """Preset for scan reports. It reads serial numbers as numbers, so serials with letters
     become null; use it only where serials are numeric."""
-    return sanitize_table(df, SCAN_NUMBERS, SCAN_DATES)
+    return sanitize_table(df, SCAN_NUMBERS, SCAN_DATES, day_first)
 
 
 def sanitize_deliveries(df: DataFrame) -> DataFrame:
@@ -61,7 +64,7 @@ def normalize_delivery(
     return present(keyed, "delivery") if drop_missing else keyed
 
 
-def with_scan_timestamp(df: DataFrame) -> DataFrame:
+def with_scan_timestamp(df: DataFrame, day_first: bool = False) -> DataFrame:
     """Scan time from day and time of day.
 
     With a time column, an unreadable time gives null. Without one, the day itself is the scan
@@ -72,7 +75,7 @@ def with_scan_timestamp(df: DataFrame) -> DataFrame:
         return df if "scan_timestamp" in kinds else df.withColumn(
             "scan_timestamp", F.lit(None).cast("timestamp")
         )
-    day = to_time(F.col("created_on"), kinds["created_on"])
+    day = to_time(F.col("created_on"), kinds["created_on"], day_first)
     for name in ("time_str", "time"):
         if name in kinds:
             text = time_of_day(F.col(name), kinds[name])

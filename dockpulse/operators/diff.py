@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dockpulse.functions.open_columns import entries_as_maps, map_columns, maps_as_entries
 from dockpulse.functions.records import record_json
 from dockpulse.functions.timing import at
 from dockpulse.schemas import SECTION_KEYS
@@ -32,8 +33,10 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def added_rows(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``current`` whose key ``previous`` lacks; duplicates are all kept. The keys of
     ``previous`` are collapsed before they are moved, so many copies of one key weigh nothing."""
-    here, there = _keyed(current, keys), _keyed(previous, keys).select(_KEY).distinct()
-    return here.join(there, _KEY, "left_anti").drop(_KEY)
+    maps = map_columns(current)
+    here = _keyed(maps_as_entries(current, maps), keys)
+    there = _keyed(maps_as_entries(previous, maps), keys).select(_KEY).distinct()
+    return entries_as_maps(here.join(there, _KEY, "left_anti").drop(_KEY), maps)
 
 
 def removed_rows(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,15 +86,18 @@ def changed_rows(
 
     ``unique`` promises one row per key on both sides.
     """
+    maps = map_columns(current)
+    current, previous = maps_as_entries(current, maps), maps_as_entries(previous, maps)
     matched = _packed(current, keys, _NOW, unique).join(
         _packed(previous, keys, _BEFORE, unique), _KEY, "inner"
     )
     noted = _first_difference(matched, _compared(current, previous, keys, ignore))
-    return noted.filter(F.col("changed_column").isNotNull()).select(
+    changed = noted.filter(F.col("changed_column").isNotNull()).select(
         *[F.col(f"{_KEY if c in keys else _NOW}.{c}").alias(c) for c in current.columns],
         "changed_column",
         "previous_value",
     )
+    return entries_as_maps(changed, maps)
 
 
 def _noted(df: DataFrame, op: str) -> DataFrame:
@@ -167,8 +173,11 @@ def diff_section(
 
     Without keys every column is the key, and no row can count as changed. Without a previous
     snapshot every row is added. ``unique`` promises one row per key on both sides and takes a
-    shorter plan with the same result.
+    shorter plan with the same result. Maps are compared by their sorted entries.
     """
+    maps = map_columns(current)
+    current = maps_as_entries(current, maps)
+    previous = previous if previous is None else maps_as_entries(previous, maps)
     if previous is None:
         rows = _noted(current, ADDED)
     elif not unique:
@@ -177,6 +186,7 @@ def diff_section(
         rows = _unique_keys(current, previous, keys, ignore)
     else:
         rows = _unique_rows(current, previous)
+    rows = entries_as_maps(rows, maps)
     return rows.select(
         F.lit(section).alias("section"),
         "op",

@@ -30,6 +30,8 @@ class Params:
     history_limit: int = 20
     null_key_as_zero: bool = False
     include_inactive: bool = False
+    #: Whether 1/2/2024 in a report is in February.
+    day_first: bool = False
     #: Round halves to the even neighbour instead of up.
     half_even: bool = False
     #: Columns that the change feed does not compare, such as minutes that grow with every run.

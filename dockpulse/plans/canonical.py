@@ -75,6 +75,9 @@ def raw_scan_columns(snapshot: Snapshot) -> list[Column]:
         (F.col("l_linenumber") % 2).alias("Pallet"),
         F.col("l_quantity").alias("Qty"),
         F.when(F.col("l_suppkey") % 3 != 0, name).alias("Name"),
+        # columns that no section knows of
+        F.when(F.col("l_partkey") % 5 != 0, _text("B", F.col("l_partkey") % 97)).alias("Batch"),
+        _text("N", F.col("l_linenumber")).alias("Note"),
     ]
 
 
@@ -90,6 +93,8 @@ def raw_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise((customer % 10 + 1).cast("double"))
         .alias("Number of packages"),
         _text("SP", customer % 7).alias("Shipping Point/Receiving Pt"),
+        _text("C", customer).alias("Ship-to party"),
+        F.col("o_orderpriority").alias("Note"),
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dockpulse.functions.open_columns import map_columns
 from dockpulse.operators import activity, cleaning, diff, events, freshness, headers
 from dockpulse.operators import progress as packing
 from dockpulse.operators import scan_times as scanning
@@ -227,7 +228,18 @@ def _prepare(spark, sf):
     return headers.copy_aliases(raw).select("serial_number", "created_by", "delivery", "status")
 
 
-QUERIES: dict[str, Query] = {
+def _with_text_cells(query: Query) -> Query:
+    """The map of further report columns as JSON text, so every engine can compare it."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = query(spark, sf)
+        names = map_columns(df)
+        return df.withColumns({n: F.to_json(n, {"ignoreNullFields": "false"}) for n in names}) if names else df
+
+    return run
+
+
+_QUERIES: dict[str, Query] = {
     # reading and combining
     "read_scans": lambda spark, sf: given.scans(spark, sf),
     "read_deliveries": lambda spark, sf: given.deliveries(spark, sf),
@@ -340,3 +352,5 @@ QUERIES: dict[str, Query] = {
     "stream_change_feed": _stream_change_feed,
     "stream_activity": _stream_activity,
 }
+
+QUERIES = {name: _with_text_cells(query) for name, query in _QUERIES.items()}

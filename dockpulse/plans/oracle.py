@@ -20,7 +20,9 @@ _SCAN_COLUMNS = (
     "serial_number, created_by, created_on, time, scan_timestamp, delivery, status, "
     "warehouse_number, pallet, qty, name"
 )
-_COMBINED_COLUMNS = f"{_SCAN_COLUMNS}, number_of_packages, shipping_point"
+_COMBINED_COLUMNS = f"{_SCAN_COLUMNS}, number_of_packages, shipping_point, extra"
+_BATCH = """'{"batch":' || coalesce('"' || batch || '"', 'null')"""
+_SCAN_EXTRA = f"""{_BATCH} || ',"note":"' || note || '"}}'"""
 
 
 def _tag(snapshot: Snapshot) -> str:
@@ -42,13 +44,18 @@ raw_{t} AS (
          CAST(l_linenumber % 2 AS BIGINT) AS pallet,
          l_quantity AS qty,
          CASE WHEN l_suppkey % 3 <> 0
-              THEN 'Worker ' || l_suppkey || '.' || (l_partkey % 3) END AS name
+              THEN 'Worker ' || l_suppkey || '.' || (l_partkey % 3) END AS name,
+         CASE WHEN l_partkey % 5 <> 0 THEN 'B' || (l_partkey % 97) END AS batch,
+         'N' || l_linenumber AS note
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   WHERE o_orderdate <= TIMESTAMP '{snapshot.day}'),
 scans_{t} AS (
   SELECT * FROM raw_{t} WHERE warehouse_number = '{PARAMS.warehouse}' AND pallet = {PARAMS.pallet}),
 combined_{t} AS (
-  SELECT {_COMBINED_COLUMNS} FROM scans_{t} JOIN packages USING (delivery)),
+  SELECT {_SCAN_COLUMNS}, number_of_packages, shipping_point,
+         {_BATCH} || ',"note_delivery":"' || priority || '","note_serial":"' || note
+           || '","ship-to_party":"' || party || '"}}' AS extra
+  FROM scans_{t} JOIN packages USING (delivery)),
 dedup_{t} AS (
   SELECT * FROM combined_{t}
   QUALIFY row_number() OVER (
@@ -65,7 +72,8 @@ packages AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS delivery,
          CAST(CASE WHEN o_custkey % 50 = 0 THEN 0 ELSE 1 + o_custkey % 10 END AS DOUBLE)
            AS number_of_packages,
-         'SP' || (o_custkey % 7) AS shipping_point
+         'SP' || (o_custkey % 7) AS shipping_point,
+         o_orderpriority AS priority, 'C' || o_custkey AS party
   FROM orders)"""
 
 _ACTIVITY = """
@@ -247,11 +255,15 @@ def _iso(column: str) -> str:
 
 def _json(columns: list[str] | tuple[str, ...], prefix: str = "") -> str:
     fields = ", ".join(
-        f"'{c}': {_iso(prefix + c) if c in _TIMES else prefix + c}" for c in columns
+        f"'{c}': {_iso(prefix + c) if c in _TIMES else _cell(c, prefix)}" for c in columns
     )
     return f"CAST(to_json({{{fields}}}) AS VARCHAR)"
 
 
+def _cell(column: str, prefix: str) -> str:
+    return f"CAST({prefix}{column} AS JSON)" if column == "extra" else prefix + column
+
+
 def _records(sections: dict[str, str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{name}' AS section, {_json(SECTIONS[name].fieldNames())} AS record, "
@@ -476,12 +488,16 @@ FROM lineitem WHERE l_linenumber <> 3"""
 
 
 def sql_by_query() -> dict[str, str]:
-    plain = "serial_number, created_by, created_on, time, delivery, status, warehouse_number, pallet, qty, name"
+    plain = "serial_number, created_by, created_on, time, delivery, status, warehouse_number, pallet, qty, name, batch, note"
     plain = plain.replace("delivery,", "CAST(delivery AS DOUBLE) AS delivery,")
-    serial_scans = f"SELECT {_SCAN_COLUMNS} FROM scans_cur"
+    serial_scans = f"SELECT {_SCAN_COLUMNS}, {_SCAN_EXTRA} AS extra FROM scans_cur"
     queries = {
         "read_scans": _on_current(serial_scans),
-        "read_deliveries": _with("SELECT * FROM packages", _PACKAGES),
+        "read_deliveries": _with(
+            "SELECT delivery, number_of_packages, shipping_point, "
+            """'{"note":"' || priority || '","ship-to_party":"' || party || '"}' AS extra FROM packages""",
+            _PACKAGES,
+        ),
         "combined": _on_current("SELECT * FROM combined_cur"),
         "xlsx_ingest": _on_current(serial_scans),
         "classify_files": _with("SELECT * FROM classified", _FILES),

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from dockpulse.functions.open_columns import EXTRA, OPEN
+
 _string = T.StringType()
 _long = T.LongType()
 _double = T.DoubleType()
@@ -28,6 +30,7 @@ SCANS = _struct(
     ("pallet", _long),
     ("qty", _double),
     ("name", _string),
+    (EXTRA, OPEN),
 )
 SCANS_REQUIRED = ("serial_number", "delivery", "status", "created_by")
 
@@ -35,10 +38,13 @@ DELIVERIES = _struct(
     ("delivery", _string),
     ("number_of_packages", _double),
     ("shipping_point", _string),
+    (EXTRA, OPEN),
 )
 DELIVERIES_REQUIRED = ("delivery", "number_of_packages")
 
-COMBINED = T.StructType(SCANS.fields + [f for f in DELIVERIES.fields if f.name != "delivery"])
+COMBINED = T.StructType(
+    [f for f in SCANS.fields if f.name != EXTRA] + [f for f in DELIVERIES.fields if f.name != "delivery"]
+)
 
 ACTIVITY = _struct(("user_id", _string), ("activity_type", _string), ("timestamp", _time))
 

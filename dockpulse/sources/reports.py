@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dockpulse.functions.casting import to_number, to_time
+from dockpulse.functions.open_columns import with_extra
 from dockpulse.functions.timing import time_of_day
 from dockpulse.operators.cleaning import (
     drop_blank_rows,
@@ -50,14 +51,14 @@ def unreadable_report(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return unreadable_workbooks(spark.read.format("binaryFile").load(path))
 
 
-def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+def _typed(df: DataFrame, schema: T.StructType, day_first: bool) -> DataFrame:
     """Bring text cells to the column types; cells that cannot be read become null."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
     def cell(field: T.StructField) -> Column:
         value, kind = F.col(field.name), kinds[field.name]
         if isinstance(field.dataType, T.TimestampType):
-            return to_time(value, kind)
+            return to_time(value, kind, day_first)
         if isinstance(field.dataType, T.NumericType):
             return to_number(value, kind)
         if field.name == "time":
@@ -72,22 +73,26 @@ def _finish(df: DataFrame, schema: T.StructType, params: Params) -> DataFrame:
     # counts as '0' must blank rows be looked for, which reads every column.
     if params.null_key_as_zero:
         df = drop_blank_rows(df)
-    return conform(normalize_delivery(_typed(df, schema), params.null_key_as_zero), schema)
+    # Further columns become one map that nothing has to read: whoever does not ask for it never
+    # moves it, and the files are read without the columns it is made of.
+    typed = with_extra(_typed(df, schema, params.day_first), schema.fieldNames())
+    return conform(normalize_delivery(typed, params.null_key_as_zero), schema)
 
 
 def read_scans(raw: DataFrame, params: Params = Params()) -> DataFrame:
-    """Scan report: names, warehouse and pallet filter, scan time, fixed columns.
+    """Scan report: names, warehouse and pallet filter, scan time, fixed columns and, in ``extra``,
+    all further ones.
 
     The filters come first and compare plain columns, so they reach the file scan.
     """
     df = sanitize_headers(rename_existing(raw, SCAN_HEADERS))
     require(df, SCANS_REQUIRED, "scan report")
     df = filter_pallet(filter_warehouse(df, params.warehouse), params.pallet)
-    return _finish(with_scan_timestamp(df), SCANS, params)
+    return _finish(with_scan_timestamp(df, params.day_first), SCANS, params)
 
 
 def read_deliveries(raw: DataFrame, params: Params = Params()) -> DataFrame:
-    """Delivery report: names, numbers, fixed columns."""
+    """Delivery report: names, numbers, fixed columns and, in ``extra``, all further ones."""
     df = sanitize_headers(rename_existing(raw, DELIVERY_HEADERS))
     require(df, DELIVERIES_REQUIRED, "delivery report")
     return _finish(df, DELIVERIES, params)
