@@ -12,8 +12,9 @@ start. Two sets link when ``100 * common >= percent * united``, so either one ha
    can only make a hash look shared and keep a set in.
 2. *Groups.* Linked sets share one of the lowest ``fifth + 1`` hashes of both. The sets left meet by
    these hashes: first only by the lowest shared one of each set, then, for hashes whose sets are
-   not yet of one component, by all of them, once for each different group of sets. The first time the hashes of the sets meet, afterwards
-   their signatures only; pairs that these leave open are compared once each.
+   not yet of one component, by all of them, once for each different group of sets. The first time
+   the hashes of the sets meet, afterwards their signatures only: what these leave open makes blocks
+   of sets, whose hashes meet once more.
 3. *Signature trees.* Sets of a group, sorted by size and content, are leaves of a tree whose nodes
    hold the OR of the bitmaps, the range of sizes, and the largest number of hashes that share a
    bit. Two trees are walked together: a pair of nodes is left when its sizes are too far apart, or
@@ -56,10 +57,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Hashes of a chunk of a group, about; sets of a leaf and children of a node above.
 CHUNK_HASHES = 1 << 19
-LEAF = 8
+LEAF = 64
 FANOUT = 8
 #: Hashes that a counting task holds, about.
-PART_HASHES = 1 << 20
+PART_HASHES = 1 << 22
 
 _U = np.uint64
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -453,7 +454,8 @@ def group_pairs(
     """(src, dst): pairs of the sets that meet in ``groups`` (token, set, n, mark).
 
     Sets of one mark count as linked. With ``compare`` the sets themselves meet and the pairs are
-    links, no more than join components; otherwise signatures meet and pairs may not link.
+    links of sets, otherwise only signatures meet and the pairs are marks of sets that may link.
+    Either way there are no more pairs than join what was apart.
     """
     sizes = groups.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.sum("n").alias("hashes")
@@ -500,37 +502,9 @@ def group_pairs(
                 continue
             forest, found = Forest(), []
             for x, y in walk(trees[0], trees[-1], forest, percent):
-                if not compare:
-                    found.append((min(x.name, y.name), max(x.name, y.name)))
-                elif linked(x.hashes, y.hashes, percent):
+                if not compare or linked(x.hashes, y.hashes, percent):
                     forest.join(x.mark, y.mark)
-                    found.append((x.name, y.name))
-            if found:
-                yield [list(c) for c in zip(*found)]
-
-    return map_arrow(dealt, _long("src", "dst"), run)
-
-
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link; each set's hashes go to where its pairs are, once for ``src``."""
-    once = pairs.distinct()
-    own = once.select("src").distinct().join(sets, F.col("src") == F.col("set"))
-    partners = once.join(sets, F.col("dst") == F.col("set"))
-    both = own.select("src", F.lit(None).cast("long").alias("dst"), "hashes").unionAll(
-        partners.select("src", "dst", "hashes")
-    )
-    dealt = both.repartition("src").sortWithinPartitions("src", "dst")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        of, mine = None, None
-        for batch in batches:
-            found = []
-            for src, dst, data in zip(*[c.to_pylist() for c in batch.columns]):
-                hashes = np.frombuffer(data, np.int64)
-                if dst is None:  # sorted first
-                    of, mine = src, hashes
-                elif src == of and linked(mine, hashes, percent):
-                    found.append((src, dst))
+                    found.append((x.name, y.name) if compare else (x.mark, y.mark))
             if found:
                 yield [list(c) for c in zip(*found)]
 
@@ -652,10 +626,21 @@ def similar_sets(
         .agg(F.min("token").alias("token"))
         .select("token")
     )
-    pairs = group_pairs(
-        marked.join(mixed_tokens, "token"), sets, percent, chunk_hashes, compare=False
+    maybe = written(
+        group_pairs(marked.join(mixed_tokens, "token"), sets, percent, chunk_hashes, compare=False),
+        "candidates",
+    )
+    # All sets that may link are of one block; its sets meet once, however many hashes they share.
+    blocks = written(components(maybe), "blocks")
+    members = (
+        first.select("set", "n")
+        .join(so_far, first.set == so_far.node, "left")
+        .select("set", "n", F.coalesce("root", "set").alias("mark"))
+    )
+    gathered = members.join(blocks, members.mark == blocks.node).select(
+        F.col("root").alias("token"), "set", "n", "mark"
     )
-    more = compared(written(pairs, "pairs"), sets, percent)
+    more = written(group_pairs(gathered, sets, percent, chunk_hashes, compare=True), "links")
     roots = components(links.unionAll(more))
     named = (
         distinct.join(roots, distinct.set == roots.node, "left")
