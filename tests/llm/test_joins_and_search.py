@@ -98,7 +98,7 @@ def test_set_join_of_nothing_and_of_one_text_only(spark):
 def test_nodes_are_left_only_where_no_pair_below_could_link():
     rng = np.random.default_rng(5)
     pool = rng.integers(-(1 << 62), 1 << 62, 300)
-    sizes = [rng.integers(*((5, 9) if i % 2 else (50, 60))) for i in range(130)]
+    sizes = [rng.integers(*((5, 9) if i % 2 else (50, 60))) for i in range(1300)]
     sets = [np.unique(rng.choice(pool, n)) for n in sizes]
     widths = [128, 256]
     members = [
