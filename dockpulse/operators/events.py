@@ -36,12 +36,28 @@ def status_per_serial(previous: DataFrame, unique: bool = False) -> DataFrame:
     return keyed.select(_SERIAL, F.col("status").alias("previous_status"))
 
 
+def _by_serial(current: DataFrame, previous: DataFrame, how: str) -> DataFrame:
+    """Rows of ``current`` whose serial ``previous`` has (semi) or lacks (anti), for tables with one
+    row per serial. Compared as plain columns, serials find each other within the buckets both
+    tables are saved in, and neither is moved. The one row without a serial equals the other such
+    row and is decided by whether there is one."""
+    seen = previous.select(F.col("serial_number").cast("string").alias(_SERIAL))
+    missing = F.col("serial_number").isNull()
+    other_missing = previous.filter(missing).exists()
+    matched = current.join(seen, current.serial_number.cast("string") == seen[_SERIAL], how)
+    if how == "left_anti":
+        return matched.filter(~missing | ~other_missing)
+    return matched.unionByName(current.filter(missing & other_missing))
+
+
 def newly_picked(
     current: DataFrame, previous: DataFrame | None, unique_previous: bool = False
 ) -> DataFrame:
     """Picked serials the previous snapshot did not have; on a first run every picked serial."""
     picked = current.filter(F.col("status") == PICKED)
-    if previous is not None:
+    if previous is not None and unique_previous:
+        picked = _by_serial(picked, previous, "left_anti")
+    elif previous is not None:
         seen = _seen(previous, unique_previous)
         picked = _keyed(picked).join(seen, _SERIAL, "left_anti").drop(_SERIAL)
     return picked.withColumn("event", F.lit("newly_picked"))
@@ -51,6 +67,8 @@ def common_serials(
     current: DataFrame, previous: DataFrame, unique_previous: bool = False
 ) -> DataFrame:
     """Current rows whose serial the previous snapshot had."""
+    if unique_previous:
+        return _by_serial(current, previous, "left_semi")
     seen = _seen(previous, unique_previous)
     return _keyed(current).join(seen, _SERIAL, "left_semi").drop(_SERIAL)
 
@@ -60,6 +78,10 @@ def shipped(
 ) -> DataFrame:
     """Serials that were picked in the previous snapshot and are shipped now."""
     now_shipped = current.filter(F.col("status") == SHIPPED)
+    if previous is not None and unique_previous:
+        # the status before is known: it is the one that is asked for
+        kept = _by_serial(now_shipped, previous.filter(F.col("status") == PICKED), "left_semi")
+        return kept.withColumns({"previous_status": F.lit(PICKED), "event": F.lit("shipped")})
     if previous is None:
         before = status_per_serial(now_shipped.limit(0), unique=True)
     else:

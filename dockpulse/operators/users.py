@@ -49,12 +49,12 @@ def user_activity(
 
     When nobody scanned within the window, every user is returned with zeros and nulls;
     ``include_inactive`` adds such rows for inactive users in any case. Whether anybody is recent
-    is decided first, from the newest scan alone. The counts then read the window only, a filter
-    that reaches the scan of a saved table, and names are sought for the users left.
+    is a value of the plan, the newest scan alone, so nothing runs before the result is asked for.
+    The counts read the window only, a filter that reaches the scan of a saved table, and names
+    are sought for the users left.
     """
     cutoff = window_start(as_of, window_minutes)
     known = present(df, "created_by", "scan_timestamp")
-    anybody = known.agg(F.max("scan_timestamp") >= cutoff).first()[0]
     first, last = F.col("first_scan"), F.col("last_scan")
     active = (
         # by delivery first: a heavy user shrinks, by hash, before anything is moved
@@ -88,11 +88,12 @@ def user_activity(
         active = active.join(_first_names(everything), "created_by", "left")
         columns.append(display_name(F.col("__name"), F.col("created_by")).alias("name"))
     section = active.select(*columns)
-    if anybody and not include_inactive:
-        return section
-    idle = known.select(F.col("created_by").alias("user_id")).distinct()
-    if anybody:
-        idle = idle.join(section.select("user_id"), "user_id", "left_anti")
+    users = known.select(F.col("created_by").alias("user_id"))
+    if include_inactive:
+        idle = users.distinct().join(section.select("user_id"), "user_id", "left_anti")
+    else:
+        anybody = known.agg(F.max("scan_timestamp") >= cutoff).scalar()
+        idle = users.filter(~F.coalesce(anybody, F.lit(False))).distinct()
     zeros = {"scan_count": 0, "unique_deliveries": 0, "scans_per_hour": 0.0}
     idle = idle.select(
         *[
@@ -102,7 +103,7 @@ def user_activity(
             for f in section.schema.fields
         ]
     )
-    return section.unionByName(idle) if anybody else idle
+    return section.unionByName(idle)
 
 
 def active_users(section: DataFrame, as_of: datetime | str, window_minutes: int = 60) -> DataFrame:

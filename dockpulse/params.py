@@ -36,4 +36,6 @@ class Params:
     half_even: bool = False
     #: Columns that the change feed does not compare, such as minutes that grow with every run.
     ignore_columns: tuple[str, ...] = ()
+    #: Snapshots that a refresh leaves in the store, the new one among them; 0 keeps all.
+    keep_snapshots: int = 0
     status_descriptions: Mapping[str, str] = field(default_factory=lambda: dict(STATUS_DESCRIPTIONS))

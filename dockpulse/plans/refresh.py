@@ -28,7 +28,8 @@ def refresh(
     Nothing happens when the snapshot is saved already or a report has no usable rows. The
     deduplicated table is written once and read back with the columns each section needs, which
     also ends the lineage: a lost executor never brings back the join. The previous state is the
-    newest snapshot saved before this one; without one, the feed stays empty.
+    newest snapshot saved before this one; without one, the feed stays empty. Sections are compared
+    by the digests of their slots, and only rows of slots that differ are read for the feed.
     """
     if store.is_saved(snapshot_id):
         return None
@@ -37,26 +38,34 @@ def refresh(
         return None
 
     joined = combine(scans, one_row_per_delivery(deliveries))
-    store.write("current", current_serials(joined, params), snapshot_id)
+    serials = store.write("current", current_serials(joined, params), snapshot_id)
     current = store.load("current", snapshot_id)
 
     before = store.latest_snapshot(before=snapshot_id)
     previous_serials = store.load("serials", before) if before else None
 
     def save(name: str) -> int:
+        if name == "serials":  # saved with the current table
+            return serials
         section = build_section(name, current, previous_serials, as_of, params, True)
-        rows = store.write(name, section, snapshot_id)
-        if before:
-            saved, previous = store.load(name, snapshot_id), store.load(name, before)
-            feed = change_feed(
-                {name: saved}, {name: previous}, as_of, params.ignore_columns, unique=True
-            )
-            store.write("change_feed", feed, snapshot_id, section=name)
-        return rows
+        return store.write(name, section, snapshot_id)
 
     counts = store.side_by_side(save, SECTIONS)
-    if not before:
+    store.save_digests(snapshot_id, ignore=params.ignore_columns)
+    changed = store.differing_slots(snapshot_id, before) if before else {}
+
+    def save_changes(name: str) -> int:
+        slots = changed[name]
+        now, then = store.load(name, snapshot_id, slots), store.load(name, before, slots)
+        feed = change_feed({name: now}, {name: then}, as_of, params.ignore_columns, unique=True)
+        return store.write("change_feed", feed, snapshot_id, section=name)
+
+    differing = [name for name, slots in changed.items() if slots != []]
+    store.side_by_side(save_changes, differing)
+    if not differing:
         nothing = store.spark.createDataFrame([], CHANGE_FEED)
         store.write("change_feed", nothing, snapshot_id, section="serials")
     store.commit(snapshot_id, counts, as_of)
+    if params.keep_snapshots:
+        store.expire(params.keep_snapshots)
     return counts

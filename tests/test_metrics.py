@@ -71,7 +71,7 @@ def test_serials_of_a_delivery_agree_on_its_packages(spark):
 def test_one_row_per_delivery_gives_the_same_serials(spark, seed):
     df = combined(spark, *random_scans(seed, 60))
     packages = [
-        (f"D{i % 3 + 1}", p, s)
+        (f"D{i % 3 + 1}", p, s, {"note": s})
         for i, (p, s) in enumerate([(4.0, "b"), (None, "a"), (5.0, None), (4.0, "a"), (5.0, "x"), (0.0, None)])
     ]
     deliveries = spark.createDataFrame(packages, DELIVERIES)

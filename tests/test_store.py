@@ -121,7 +121,7 @@ def test_unknown_section(spark):
 def test_a_lost_table_of_a_committed_snapshot_is_an_error(spark, store):
     refresh(store, *reports(spark, *FIRST), "1", at("11:00"))
     lost = SnapshotStore(spark, store.base)
-    lost._folder = lambda table: f"{store.base}/{'elsewhere' if table == 'serials' else table}"
+    lost._folder = lambda table: f"{store.base}/{'elsewhere' if table == 'current' else table}"
     assert lost.load("serials", "2").count() == 0
     with pytest.raises(FileNotFoundError, match="snapshot 1"):
         lost.load("serials", "1")
