@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import heapq
 import os
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,10 @@ PIECE = 512
 UNIT_WINDOWS = 96
 #: Share of a unit's windows that is filled on purpose: room for differencing to end in.
 FILL = 0.99
-#: Words whose ids a task keeps at most; beyond it the store starts anew.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps, from task to task, at most; beyond it the store starts anew.
+CACHED_WORDS = 800_000
 #: Texts that are split and encoded at once, and words of a line handed to the tokenizer.
-_TEXTS, _LINE = 1024, 256
+_TEXTS, _LINE = 2048, 256
 #: Texts on which a tokenizer must agree with its word-wise use.
 _PROBES = (
     "Some words, with MARKS; don't it's 12 3.5 (x)!  two\tblanks\nand \u00c9tude \u03a3\u0391\u03a3, end.",
@@ -122,11 +124,12 @@ class WordIds:
         words = coded.dictionary.to_pylist()
         if len(self._slots) + len(words) > CACHED_WORDS:
             self._clear()
-        slots = self._slots
-        new = [w for w in words if w not in slots]
-        if new:
-            self._learn(new)
-        of = np.array([slots[w] for w in words], np.int64)[coded.indices.to_numpy()]
+        slots = np.fromiter(map(self._slots.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = np.arange(len(self._slots), len(self._slots) + len(new))
+            self._learn([words[i] for i in new.tolist()])
+        of = slots[coded.indices.to_numpy()]
         counts = self._counts[of]
         ends = np.concatenate([[0], np.cumsum(counts)])
         ids = self._ids[np.repeat(self._starts[of] - ends[:-1], counts) + np.arange(ends[-1])]
@@ -172,7 +175,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, layout: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(tokenizer_path)
+        kept = vars(sys).setdefault("_dockpulse_words", {})
+        if tokenizer_path not in kept:
+            kept[tokenizer_path] = WordIds(tokenizer_path)
+        words = kept[tokenizer_path]
         for batch in batches:
             for part in (batch.slice(i, _TEXTS) for i in range(0, batch.num_rows, _TEXTS)):
                 found = words.encode(part.column(1).cast(pa.string()))
