@@ -60,7 +60,7 @@ CHUNK_HASHES = 1 << 19
 LEAF = 64
 FANOUT = 8
 #: Hashes that a counting task holds, about.
-PART_HASHES = 1 << 22
+PART_HASHES = 1 << 21
 
 _U = np.uint64
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -244,20 +244,19 @@ def shared_counts(read: DataFrame, parts: int) -> DataFrame:
 
         def close() -> list[np.ndarray]:
             h, o = np.concatenate(hashes), np.concatenate(owners)
-            by = np.argsort(h, kind="stable")
+            hashes.clear()
+            owners.clear()
+            by = np.lexsort((o, h))
             h, o = h[by], o[by]
-            opens = np.ones(len(h), bool)
-            opens[1:] = h[1:] != h[:-1]
-            starts = np.flatnonzero(opens)
-            group = np.cumsum(opens) - 1
-            first = o[starts]
-            # entries of one and the same set, from copies in several batches, share nothing
-            different = np.zeros(len(starts), bool)
-            np.logical_or.at(different, group, (o != first[group]) | (o == many))
-            mine = different[group] & (o != many)
-            # copies in several batches each bring the entry; it counts once
-            pairs = np.unique(np.stack([o[mine], h[mine]]), axis=1) if mine.any() else np.empty((2, 0), np.int64)
-            names, times = np.unique(pairs[0], return_counts=True)
+            # copies of a set in several batches bring an entry each; it counts once, and sets of
+            # several batches share it even if this one is alone in its own
+            other = np.ones(len(h), bool)
+            other[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+            h, o = h[other], o[other]
+            alone = np.ones(len(h), bool)
+            alone[1:] &= h[1:] != h[:-1]
+            alone[:-1] &= h[1:] != h[:-1]
+            names, times = np.unique(o[~alone & (o != many)], return_counts=True)
             return [names, times]
 
         for batch in batches:
@@ -267,7 +266,6 @@ def shared_counts(read: DataFrame, parts: int) -> DataFrame:
                     continue
                 if part != of and hashes:
                     yield close()
-                    hashes, owners = [], []
                 of = part
                 hashes.append(_six_bytes(np.frombuffer(h, np.uint8)))
                 owners.append(_six_bytes(np.frombuffer(o, np.uint8)))
