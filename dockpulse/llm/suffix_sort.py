@@ -47,11 +47,12 @@ _CONTEXTS = StructType(
     [
         StructField("key", LongType()),
         StructField("id", LongType()),
+        StructField("wide", LongType()),
         StructField("place", LongType()),
         StructField("symbols", BinaryType()),
     ]
 )
-_SPANS = StructType([StructField("id", LongType()), StructField("place", LongType())])
+_SPANS = StructType([StructField(n, LongType()) for n in ("id", "wide", "place")])
 
 
 class Suffix:
@@ -189,7 +190,7 @@ def _runs(spec: W.Windows):
         values = W.symbol_values(256, 1)
         powers = W.Powers(2 * W.SEGMENT + 2 * spec.length + 2)
         for batch in batches:
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, tags, wide = (batch.column(i).to_numpy() for i in (0, 1, 3))
             octets, offsets = octets_of(batch.column(2))
             rows: list[list[np.ndarray]] = []
             for group in _segments(np.diff(offsets), spec.length):
@@ -203,7 +204,7 @@ def _runs(spec: W.Windows):
                 )
                 owner = owners[of]
                 place = W.pack_place(start + froms[of], tags[owner], count, offset, 0)
-                rows.append([ids[owner], place, key, context])
+                rows.append([ids[owner], wide[owner], place, key, context])
             if rows:
                 yield W.local_rows(*[np.concatenate(c) for c in zip(*rows)], spec.earlier)
 
@@ -215,21 +216,21 @@ def _contexts(spec: W.Windows):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
             for batch in batches:
                 made = []
-                bodies = batch.column(1).to_pylist()
-                asked = batch.column(2)
-                for i, (doc, body) in enumerate(zip(batch.column(0).to_pylist(), bodies)):
+                ids, wides, bodies = (batch.column(i).to_pylist() for i in range(3))
+                asked = batch.column(3)
+                for i, (doc, wide, body) in enumerate(zip(ids, wides, bodies)):
                     for request in asked[i].as_py():
                         place = request["place"]
                         start = W.place_start(place)
                         end = start + W.place_count(place) - 1 + spec.length
-                        made.append((request["key"], doc, place, body[start:end]))
+                        made.append((request["key"], doc, wide, place, body[start:end]))
                     if len(made) > 10_000:
                         yield [list(c) for c in zip(*made)]
                         made = []
                 if made:
                     yield [list(c) for c in zip(*made)]
 
-        return map_arrow(texts.select("id", "body", "requests"), _CONTEXTS, run)
+        return map_arrow(texts.select("id", "wide", "body", "requests"), _CONTEXTS, run)
 
     return fetch
 
@@ -253,24 +254,24 @@ def _resolve(spec: W.Windows):
             values, powers = W.symbol_values(256, 1), W.Powers(4 * spec.length)
             out = []
             for group in groups_by_key(batches):
-                places = [place for _, _, place, _ in group]
+                places = [place for _, _, _, place, _ in group]
                 marks = repeated_windows(
                     [(data, W.place_offset(p), W.place_count(p)) for p, (*_, data) in zip(places, group)],
                     spec.length,
                     values,
                     powers,
                 )
-                for (_, doc, place, _), mask in zip(group, marks):
+                for (_, doc, wide, place, _), mask in zip(group, marks):
                     for a, b in runs_of(mask):
                         start = W.place_start(place) + a
-                        out.append((doc, int(W.pack_place(start, W.place_tag(place), b - a, 0, 0))))
+                        out.append((doc, wide, int(W.pack_place(start, W.place_tag(place), b - a, 0, 0))))
                 if len(out) > 10_000:
                     yield [list(c) for c in zip(*out)]
                     out = []
             if out:
                 yield [list(c) for c in zip(*out)]
 
-        return map_arrow(contexts.select("key", "id", "place", "symbols"), _SPANS, run)
+        return map_arrow(contexts.select("key", "id", "wide", "place", "symbols"), _SPANS, run)
 
     return resolve
 
@@ -281,9 +282,9 @@ def _single(spec: W.Windows):
             values, powers = W.symbol_values(256, 1), W.Powers(4 * spec.length)
             second = W.mixed(values)
             for batch in batches:
-                ids, places = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                ids, wides, places = (batch.column(i).to_numpy() for i in range(3))
                 rows: list[list[np.ndarray]] = []
-                for doc, place, data in zip(ids, places, batch.column(2).to_pylist()):
+                for doc, wide, place, data in zip(ids, wides, places, batch.column(3).to_pylist()):
                     octets = np.frombuffer(data, np.uint8)
                     at = np.arange(W.place_count(int(place)))
                     hashes = [
@@ -292,11 +293,11 @@ def _single(spec: W.Windows):
                     ]
                     start = W.place_start(int(place)) + at
                     packed = W.pack_place(start, W.place_tag(int(place)), 1, 0, 0)
-                    rows.append([np.full(len(at), doc), packed, *hashes])
+                    rows.append([np.full(len(at), doc), np.full(len(at), wide), packed, *hashes])
                 if rows:
                     yield W.local_rows(*[np.concatenate(c) for c in zip(*rows)], spec.earlier)
 
-        return map_arrow(contexts.select("id", "place", "symbols"), W.ROWS, run)
+        return map_arrow(contexts.select("id", "wide", "place", "symbols"), W.ROWS, run)
 
     return single
 
@@ -304,7 +305,7 @@ def _single(spec: W.Windows):
 def repeated_bytes(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP
 ) -> DataFrame:
-    """(id, tag, body, places) of every document, places of windows that start elsewhere too."""
+    """(id, tag, wide, body, places) of every document, places of windows that start elsewhere too."""
     spec = _spec(length, gram, group)
     return W.window_spans(
         docs, spec, _runs(spec), _contexts(spec), _resolve(spec), _single(spec)

@@ -43,11 +43,12 @@ _CONTEXTS = StructType(
     [
         StructField("key", LongType()),
         StructField("id", LongType()),
+        StructField("wide", LongType()),
         StructField("place", LongType()),
         StructField("symbols", BinaryType()),
     ]
 )
-_SPANS = StructType([StructField("id", LongType()), StructField("place", LongType())])
+_SPANS = StructType([StructField(n, LongType()) for n in ("id", "wide", "place")])
 
 
 class Node:
@@ -147,7 +148,7 @@ def _runs(spec: W.Windows):
         values = W.symbol_values(256, 2)
         powers = W.Powers(3 * W.SEGMENT)
         for batch in batches:
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, tags, wide = (batch.column(i).to_numpy() for i in (0, 1, 3))
             rows: list[list[np.ndarray]] = []
             owners, shifts, bodies, size = [], [], [], 0
 
@@ -167,7 +168,7 @@ def _runs(spec: W.Windows):
                 )
                 owner, shift = np.array(owners)[of], np.array(shifts, np.int64)[of]
                 place = W.pack_place(start + shift, tags[owner], count, offset, 0)
-                rows.append([ids[owner], place, key, context])
+                rows.append([ids[owner], wide[owner], place, key, context])
                 owners, shifts, bodies, size = [], [], [], 0
 
             for row, body in enumerate(batch.column(2).to_pylist()):
@@ -192,23 +193,23 @@ def _contexts(spec: W.Windows):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
             for batch in batches:
                 made = []
-                bodies = batch.column(1).to_pylist()
-                asked = batch.column(2)
-                for i, (doc, body) in enumerate(zip(batch.column(0).to_pylist(), bodies)):
+                ids, wides, bodies = (batch.column(i).to_pylist() for i in range(3))
+                asked = batch.column(3)
+                for i, (doc, wide, body) in enumerate(zip(ids, wides, bodies)):
                     words = body.split()
                     for request in asked[i].as_py():
                         place = request["place"]
                         start = W.place_start(place)
                         end = start + W.place_count(place) - 1 + spec.length
                         text = b" ".join(words[start:end])
-                        made.append((request["key"], doc, place, text))
+                        made.append((request["key"], doc, wide, place, text))
                     if len(made) > 20_000:
                         yield [list(c) for c in zip(*made)]
                         made = []
                 if made:
                     yield [list(c) for c in zip(*made)]
 
-        return map_arrow(texts.select("id", "body", "requests"), _CONTEXTS, run)
+        return map_arrow(texts.select("id", "wide", "body", "requests"), _CONTEXTS, run)
 
     return fetch
 
@@ -219,20 +220,20 @@ def _resolve(spec: W.Windows):
             out = []
             for group in groups_by_key(batches):
                 marks = repeated_windows(
-                    [(doc, text.split(), W.place_count(place)) for _, doc, place, text in group],
+                    [(doc, text.split(), W.place_count(place)) for _, doc, _, place, text in group],
                     spec.length,
                 )
-                for (_, doc, place, _), mask in zip(group, marks):
+                for (_, doc, wide, place, _), mask in zip(group, marks):
                     for a, b in runs_of(mask):
                         start = W.place_start(place) + a
-                        out.append((doc, int(W.pack_place(start, W.place_tag(place), b - a, 0, 0))))
+                        out.append((doc, wide, int(W.pack_place(start, W.place_tag(place), b - a, 0, 0))))
                 if len(out) > 10_000:
                     yield [list(c) for c in zip(*out)]
                     out = []
             if out:
                 yield [list(c) for c in zip(*out)]
 
-        return map_arrow(contexts.select("key", "id", "place", "symbols"), _SPANS, run)
+        return map_arrow(contexts.select("key", "id", "wide", "place", "symbols"), _SPANS, run)
 
     return resolve
 
@@ -241,22 +242,28 @@ def _single(spec: W.Windows):
     def single(contexts: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
             for batch in batches:
-                ids, places, hashes = [], [], []
-                for doc, place, text in zip(*[c.to_pylist() for c in batch.columns]):
+                ids, wides, places, hashes = [], [], [], []
+                for doc, wide, place, text in zip(*[c.to_pylist() for c in batch.columns]):
                     words = text.split()
                     start, tag = W.place_start(place), W.place_tag(place)
                     for at in range(W.place_count(place)):
                         window = b" ".join(words[at : at + spec.length])
                         hashes.append(hashlib.blake2b(window, digest_size=16).digest())
                         ids.append(doc)
+                        wides.append(wide)
                         places.append(int(W.pack_place(start + at, tag, 1, 0, 0)))
                 if ids:
                     pairs = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
                     yield W.local_rows(
-                        np.array(ids), np.array(places), pairs[:, 0], pairs[:, 1], spec.earlier
+                        np.array(ids),
+                        np.array(wides),
+                        np.array(places),
+                        pairs[:, 0],
+                        pairs[:, 1],
+                        spec.earlier,
                     )
 
-        return map_arrow(contexts.select("id", "place", "symbols"), W.ROWS, run)
+        return map_arrow(contexts.select("id", "wide", "place", "symbols"), W.ROWS, run)
 
     return single
 
@@ -264,7 +271,7 @@ def _single(spec: W.Windows):
 def earlier_passages(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP
 ) -> DataFrame:
-    """(id, tag, body, places): windows of words that a document with a smaller id has too."""
+    """(id, tag, wide, body, places): windows of words that a document with a smaller id has too."""
     spec = W.Windows(length=length, gram=gram, earlier=True, limit=group)
     return W.window_spans(
         docs, spec, _runs(spec), _contexts(spec), _resolve(spec), _single(spec)

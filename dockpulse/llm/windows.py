@@ -21,8 +21,11 @@ symbols that its windows cover. One row per run stands for all its windows:
 Decisions are spans of window starts, which the caller joins to the documents.
 
 Key and context are 64-bit polynomial hashes of different bases and symbol values: two contexts
-are taken as equal if both agree. Documents are told apart by id and 13 bits of a text hash, so
-rows that share an id keep apart; a null id counts as below all others.
+are taken as equal if both agree. Documents are told apart by their ids where no two rows share one,
+which is looked up first. Otherwise every row of 1 to 3 also carries ``wide``, a 64-bit hash of the
+whole text, beside 13 bits of another one in its place, so any number of rows may share an id or
+have none; rows alike in all of these are copies of one document and share their spans. A null id
+counts as below all others.
 """
 
 from __future__ import annotations
@@ -47,9 +50,12 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 SPAN, SMALL, LARGE = 0, 1, 2
 
-ROWS = StructType([StructField(n, LongType()) for n in ("id", "place", "key", "context")])
+ROWS = StructType([StructField(n, LongType()) for n in ("id", "wide", "place", "key", "context")])
 DECIDED = StructType(
-    [StructField("kind", ByteType()), *[StructField(n, LongType()) for n in ("id", "place", "key")]]
+    [
+        StructField("kind", ByteType()),
+        *[StructField(n, LongType()) for n in ("id", "wide", "place", "key")],
+    ]
 )
 
 
@@ -199,11 +205,16 @@ def decide(
 
 
 def local_rows(
-    ids: np.ndarray, place: np.ndarray, key: np.ndarray, context: np.ndarray, earlier: bool
+    ids: np.ndarray,
+    wide: np.ndarray,
+    place: np.ndarray,
+    key: np.ndarray,
+    context: np.ndarray,
+    earlier: bool,
 ) -> list[np.ndarray]:
     """Rows of a batch, sorted; those decided here are marked and dealt out by themselves."""
     by = row_order(key, context, ids)
-    ids, place, key, context = ids[by], place[by], key[by], context[by]
+    ids, wide, place, key, context = (c[by] for c in (ids, wide, place, key, context))
     repeats, opens = decide(key, context, ids, earlier)
     # Without an order of ids the first of equals goes on, to decide the others' partners.
     done = repeats if earlier else repeats & ~opens
@@ -214,17 +225,22 @@ def local_rows(
     if twice.any():  # it is itself decided: one more row says so
         own = mixed(place[twice].view(_U) ^ mixed(ids[twice].view(_U)))
         ids = np.concatenate([ids, ids[twice]])
+        wide = np.concatenate([wide, wide[twice]])
         key = np.concatenate([key, own])
         context = np.concatenate([context, context[twice]])
         place = np.concatenate([place, place[twice] | (1 << 31)])
-    return [ids, place, key.view(np.int64), context.view(np.int64)]
+    return [ids, wide, place, key.view(np.int64), context.view(np.int64)]
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """(id, tag, body): what all later steps need of a document."""
+    """(id, tag, wide, body): what all later steps need of a document."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    shared = docs.groupBy(doc_id.alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    wide = F.lit(0).cast("long") if shared.isEmpty() else F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
+        doc_id.alias("id"),
         text_key("text").bitwiseAND(F.lit(0x1FFF)).alias("tag"),
+        wide.alias("wide"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"),
     )
 
@@ -238,7 +254,7 @@ def decided(rows: DataFrame, spec: Windows, partial: bool) -> DataFrame:
     )
     hold = 1 << 18
 
-    def judge(ids, place, key, context, edge) -> list:
+    def judge(ids, wide, place, key, context, edge) -> list:
         """Rows of whole contexts; ``edge`` marks the keys whose other contexts may be elsewhere."""
         repeats, opens = decide(key, context, ids, spec.earlier)
         out = [(SPAN, repeats)]
@@ -255,25 +271,25 @@ def decided(rows: DataFrame, spec: Windows, partial: bool) -> DataFrame:
         chosen = [np.flatnonzero(m) for _, m in out]
         kinds = np.concatenate([np.full(len(c), k, np.int8) for (k, _), c in zip(out, chosen)])
         at = np.concatenate(chosen)
-        return [kinds, ids[at], place[at], key[at]]
+        return [kinds, ids[at], wide[at], place[at], key[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         waiting, edge_keys = None, set()
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
-            done = (columns[1] >> 31) & 1 == 1
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            done = (columns[2] >> 31) & 1 == 1
             if done.any():
-                ids, place, key, _ = (c[done] for c in columns)
-                yield [np.zeros(len(ids), np.int8), ids, place, key]
+                ids, wide, place, key, _ = (c[done] for c in columns)
+                yield [np.zeros(len(ids), np.int8), ids, wide, place, key]
                 columns = [c[~done] for c in columns]
             if not len(columns[0]):
                 continue
             if waiting is None:
-                edge_keys.add(int(columns[2][0]))
+                edge_keys.add(int(columns[3][0]))
                 waiting = columns
             else:
                 waiting = [np.concatenate(pair) for pair in zip(waiting, columns)]
-            ids, place, key, context = waiting
+            *_, key, context = waiting
             last = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
             if len(key) - last > hold:  # a key too frequent to hold: its contexts one by one
                 edge_keys.add(int(key[-1]))
@@ -282,11 +298,11 @@ def decided(rows: DataFrame, spec: Windows, partial: bool) -> DataFrame:
                 last += len(tail) - int(np.argmax(same[::-1])) if same.any() else 0
             if last:
                 head = [c[:last] for c in waiting]
-                yield judge(*head, np.isin(head[2], list(edge_keys)))
+                yield judge(*head, np.isin(head[3], list(edge_keys)))
                 waiting = [c[last:] for c in waiting]
         if waiting is not None and len(waiting[0]):
-            edge_keys.add(int(waiting[2][-1]))
-            yield judge(*waiting, np.isin(waiting[2], list(edge_keys)))
+            edge_keys.add(int(waiting[3][-1]))
+            yield judge(*waiting, np.isin(waiting[3], list(edge_keys)))
 
     return map_arrow(dealt, DECIDED, run)
 
@@ -300,19 +316,24 @@ def requested(out: DataFrame, limit: int) -> DataFrame:
         out.where(F.col("kind") > SPAN)
         .join(sizes, "key", "left")
         .where("n is null or n > 1")
-        .select("id", tag.alias("tag"), F.struct(kind.alias("kind"), "place", "key").alias("request"))
-        .groupBy("id", "tag")
+        .select(
+            "id",
+            tag.alias("tag"),
+            "wide",
+            F.struct(kind.alias("kind"), "place", "key").alias("request"),
+        )
+        .groupBy("id", "tag", "wide")
         .agg(F.collect_list("request").alias("requests"))
     )
 
 
 def spans_of(decisions: DataFrame) -> DataFrame:
-    """(id, tag, places) for the documents that any span was found in."""
+    """(id, tag, wide, places) for the documents that any span was found in."""
     tag = F.shiftright("place", 18).bitwiseAND(F.lit(0x1FFF))
     plain = F.col("place").bitwiseAND(F.lit(~(1 << 31)))
     return (
-        decisions.select("id", tag.alias("tag"), plain.alias("place"))
-        .groupBy("id", "tag")
+        decisions.select("id", tag.alias("tag"), "wide", plain.alias("place"))
+        .groupBy("id", "tag", "wide")
         .agg(F.collect_list("place").alias("places"))
     )
 
@@ -325,17 +346,17 @@ def window_spans(
     resolve: Callable[[DataFrame], DataFrame],
     single: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """``docs`` as (id, tag, body) joined with the places of their repeated windows.
+    """``docs`` as (id, tag, wide, body) joined with the places of their repeated windows.
 
-    ``runs`` turns batches of (id, tag, body) into columns of ROWS; ``contexts`` turns documents
-    with requests into (key, id, place, symbols); ``resolve`` decides groups by key into
-    (id, place); ``single`` makes rows of single windows of contexts.
+    ``runs`` turns batches of (id, tag, body, wide) into columns of ROWS; ``contexts`` turns
+    documents with requests into (key, id, wide, place, symbols); ``resolve`` decides groups by key
+    into (id, wide, place); ``single`` makes rows of single windows of contexts.
     """
     texts = documents(docs)
-    rows = map_arrow(texts, ROWS, runs)
+    rows = map_arrow(texts.select("id", "tag", "body", "wide"), ROWS, runs)
     out = written(decided(rows, spec, partial=True), "windows")
     asked = requested(out, spec.limit)
-    together = texts.join(asked, ["id", "tag"])
+    together = texts.join(asked, ["id", "tag", "wide"])
 
     def fetched(kind: int) -> DataFrame:
         wanted = F.filter("requests", lambda request: request["kind"] == kind)
@@ -344,11 +365,11 @@ def window_spans(
     small, large = fetched(SMALL), fetched(LARGE)
     decisions = (
         out.where(F.col("kind") == SPAN)
-        .select("id", "place")
+        .select("id", "wide", "place")
         .unionAll(resolve(small.repartition("key").sortWithinPartitions("key", "id", "place")))
-        .unionAll(decided(single(large), spec, partial=False).select("id", "place"))
+        .unionAll(decided(single(large), spec, partial=False).select("id", "wide", "place"))
     )
-    return texts.join(spans_of(decisions), ["id", "tag"], "left")
+    return texts.join(spans_of(decisions), ["id", "tag", "wide"], "left")
 
 
 def covered_mask(places: list[int], size: int, length: int) -> np.ndarray:

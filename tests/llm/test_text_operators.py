@@ -1,5 +1,7 @@
 """Operators on documents against brute force, on edge cases and on the smallest tables."""
 
+import random
+
 import brute
 import pytest
 from brute import as_docs, edge_rows
@@ -230,3 +232,21 @@ def test_decontaminated_documents(spark):
     assert kept[1] == ("x  nine ten eleven", 18)
     assert kept[4] == (None, 0) and kept[8][0] == "clean text of no concern"
     assert found.where("doc_id is null").count() == 0, "covered as a whole"
+
+
+@pytest.mark.parametrize("shared", [None, 7])
+def test_repeats_among_a_thousand_rows_of_one_id(spark, shared):
+    """Rows that share an id, or have none, are told apart by their whole texts."""
+    rng = random.Random(11)
+    passage = " ".join("p%d" % rng.randrange(500) for _ in range(110))
+    rows = []
+    for i in range(1000):
+        own = " ".join("w%d" % rng.randrange(10_000) for _ in range(rng.randrange(5, 40)))
+        text = f"{own} {passage} end{i}" if i % 9 == 0 else own
+        rows.append((shared if i % 10 else i, text))
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = suffix_sort.without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    same([tuple(r) for r in found.collect()], brute.repeated_bytes(rows))
+    found = suffix_tree.without_repeats(docs)
+    same([tuple(r) for r in found.collect()], brute.earlier_passages(rows))
