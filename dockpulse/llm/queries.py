@@ -20,7 +20,7 @@ from dockpulse.llm import (
     toxicity,
     warc,
 )
-from dockpulse.llm.common import table
+from dockpulse.llm.common import table, written
 
 
 def word_tokenizer() -> str:
@@ -75,30 +75,39 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     second half is lost.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    original = warc.archive(pages)
     html = F.coalesce("html", F.lit(""))
-    damaged = pages.withColumn(
-        "html",
+    damaged = (
         F.when(F.col("page_id") % 97 == 3, F.concat(F.lit("#"), F.substring(html, 2, 1 << 30)))
         .when(
             F.col("page_id") % 103 == 2,
             F.substring(html, F.lit(1), F.floor(F.char_length(html) / 2).cast("int")),
         )
-        .otherwise(html),
+        .otherwise(html)
     )
-    places = original.select("page_id", "file", "offset")
-    record = warc.record_bytes(F.col("url"), F.col("html"))
-    replica = (
-        damaged.where("page_id % 101 <> 1")
-        .select(
+    # A record of the replica lies where that of the original does, whatever ids pages have.
+    record = warc.record_bytes(F.col("url"), damaged)
+    both = warc.archive(
+        pages.select(
             "page_id",
-            F.octet_length(record).cast("long").alias("length"),
-            F.sha2(record, 256).alias("digest"),
-        )
-        .join(places, "page_id")
-        .select("file", "offset", "length", "page_id", "digest")
+            "url",
+            "html",
+            F.octet_length(record).cast("long").alias("replica_length"),
+            F.sha2(record, 256).alias("replica_digest"),
+        ),
+        carried=("replica_length", "replica_digest"),
+    )
+    both = written(both, "archives")
+    replica = both.where(F.coalesce(F.col("page_id") % 101 != 1, F.lit(True)))
+    return warc.audit(
+        both.select("file", "offset", "length", "page_id", "digest"),
+        replica.select(
+            "file",
+            "offset",
+            F.col("replica_length").alias("length"),
+            "page_id",
+            F.col("replica_digest").alias("digest"),
+        ),
     )
-    return warc.audit(original, replica)
 
 
 def op6_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,14 +230,18 @@ WHERE kind = 'd'
 """,
     "op5_warc_fixity": r"""
 WITH records AS (
-    SELECT page_id, page_id // 1024 AS file, coalesce(html, '') AS html, coalesce(url, '') AS url,
+    SELECT page_id, page_id // 1024 AS file, chr(13) || chr(10) AS crlf, coalesce(html, '') AS html, coalesce(url, '') AS url,
            strlen(coalesce(url, '')) + strlen(coalesce(html, ''))
            + strlen(strlen(coalesce(html, ''))::VARCHAR) + 99 AS length
     FROM pages
 ),
 placed AS (
     SELECT *, coalesce(sum(length) OVER (
-        PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+        PARTITION BY file
+        ORDER BY page_id, url, sha256('WARC/1.1' || crlf || 'WARC-Type: resource' || crlf
+            || 'WARC-Target-URI: ' || url || crlf || 'Content-Type: text/html' || crlf
+            || 'Content-Length: ' || strlen(html) || crlf || crlf || html || crlf || crlf)
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
     ), 0)::BIGINT AS "offset",
     CASE WHEN page_id % 97 = 3 THEN '#' || substr(html, 2)
          WHEN page_id % 103 = 2 THEN left(html, length(html) // 2) ELSE html END AS damaged

@@ -10,13 +10,19 @@ leaves the rest of both trees aligned.
 joins the children of the mismatching nodes, so its work follows the damage and not the archive.
 No group holds more than the records of one range or the children of one node.
 
-Defined results: null urls and pages are empty; a null page_id is taken as 0 for its place; equal
-ids follow one another by url and page; an empty replica lacks every record of the other one;
-two empty replicas give no rows. Other columns of the pages are not read.
+Each level is written before the next one is made of it, on the way up and on the way down, so none
+is computed twice.
+
+Defined results: null urls and pages are empty; pages without an id go to ``LOOSE_FILES`` files with
+numbers below zero, by a hash of their content; equal ids follow one another by url and page; an empty
+replica lacks every record of the other one; two empty replicas give no rows. Other columns of the
+pages are read only if they are to be carried.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +30,7 @@ from dockpulse.llm.common import written
 
 #: Pages of an archive file, bytes of the ranges above the records, children of a node above.
 FILE_PAGES = 1024
+LOOSE_FILES = 4096
 RANGE = 1 << 16
 FANOUT = 16
 
@@ -42,17 +49,22 @@ def record_bytes(url: Column, html: Column) -> Column:
     )
 
 
-def archive(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """(file, offset, length, page_id, digest): the records of pages written to files by id."""
-    place = F.coalesce(F.col("page_id").cast("long"), F.lit(0).cast("long"))
+def archive(
+    pages: DataFrame, file_pages: int = FILE_PAGES, carried: Sequence[str] = ()
+) -> DataFrame:
+    """(file, offset, length, page_id, digest, *carried): the records of pages written to files by
+    id; ``carried`` columns of the pages stay with their records."""
+    place = F.col("page_id").cast("long")
     record = record_bytes(F.col("url"), F.col("html"))
+    loose = F.lit(-1) - F.pmod(F.xxhash64("url", "html"), F.lit(LOOSE_FILES))
     rows = pages.select(
-        F.floor(place / file_pages).cast("long").alias("file"),
+        F.coalesce(F.floor(place / file_pages), loose).cast("long").alias("file"),
         place.alias("place"),
-        F.col("page_id").cast("long").alias("page_id"),
-        "url",
+        place.alias("page_id"),
+        F.coalesce("url", F.lit("")).alias("url"),
         F.octet_length(record).cast("long").alias("length"),
         F.sha2(record, 256).alias("digest"),
+        *carried,
     )
     before = (
         Window.partitionBy("file")
@@ -60,26 +72,27 @@ def archive(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offset = F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))
-    return rows.select("file", offset.alias("offset"), "length", "page_id", "digest")
+    return rows.select("file", offset.alias("offset"), "length", "page_id", "digest", *carried)
 
 
-def tree(records: DataFrame, top: int, range_bytes: int = RANGE, fanout: int = FANOUT) -> DataFrame:
-    """(level, file, node, length, page_id, digest) of all levels from the records, 0, to ``top``.
+def tree(
+    records: DataFrame, top: int, range_bytes: int = RANGE, fanout: int = FANOUT
+) -> list[DataFrame]:
+    """(file, node, length, page_id, digest) of each level from the records, 0, to ``top``.
 
     A record's node is its offset; ``length`` and ``page_id`` are null above the records.
     """
     leaves = records.select(
-        F.lit(0).alias("level"), "file", F.col("offset").alias("node"), "length", "page_id", "digest"
+        "file", F.col("offset").alias("node"), "length", "page_id", "digest"
     )
     nodes, below, width = [leaves], leaves, range_bytes
-    for level in range(1, top + 1):
+    for _ in range(top):
         parts = F.sort_array(F.collect_list(F.struct("node", "digest")))
         lines = F.transform(parts, lambda x: F.concat_ws(" ", x.node.cast("string"), x.digest))
         below = (
             below.groupBy("file", F.floor(F.col("node") / width).cast("long").alias("up"))
             .agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
             .select(
-                F.lit(level).alias("level"),
                 "file",
                 F.col("up").alias("node"),
                 F.lit(None).cast("long").alias("length"),
@@ -87,12 +100,10 @@ def tree(records: DataFrame, top: int, range_bytes: int = RANGE, fanout: int = F
                 "digest",
             )
         )
+        below = written(below, "merkle-level")
         nodes.append(below)
         width = fanout
-    out = nodes[0]
-    for more in nodes[1:]:
-        out = out.unionAll(more)
-    return out
+    return nodes
 
 
 def levels_for(last: int, range_bytes: int = RANGE, fanout: int = FANOUT) -> int:
@@ -114,13 +125,13 @@ def audit(
     sides = [written(side, "archive") for side in (original, replica)]
     last = max((s.agg(F.max("offset")).first()[0] or 0) for s in sides)
     top = levels_for(last, range_bytes, fanout)
-    trees = [written(tree(s, top, range_bytes, fanout), "merkle") for s in sides]
+    trees = [tree(s, top, range_bytes, fanout) for s in sides]
 
     def differing(level: int, parents: DataFrame | None) -> DataFrame:
         width = range_bytes if level == 0 else fanout
         found = []
         for side in trees:
-            rows = side.where(F.col("level") == level).drop("level")
+            rows = side[level]
             if parents is not None:
                 up = F.floor(F.col("node") / width).cast("long")
                 rows = rows.withColumn("up", up).join(parents, ["file", "up"], "left_semi").drop("up")
@@ -130,7 +141,8 @@ def audit(
 
     mismatches = None
     for level in range(top, 0, -1):
-        mismatches = differing(level, mismatches).select("file", F.col("node").alias("up"))
+        wrong = differing(level, mismatches).select("file", F.col("node").alias("up"))
+        mismatches = written(wrong, "mismatches")
     records = differing(0, mismatches)
     fault = (
         F.when(F.col("b.digest").isNull(), "missing")

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from dockpulse.llm import digests, html_text, packing, toxicity, warc
+from dockpulse.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -233,6 +234,20 @@ def test_archive_audit_finds_each_fault(spark):
     assert warc.audit(original.limit(0), original.limit(0)).count() == 0
 
 
+def test_the_registered_audit_with_repeated_and_missing_ids(spark, tmp_path):
+    """Damage is done to ids that leave 1 by 101, 3 by 97 and 2 by 103, to nothing else."""
+    ids = [*range(20), 15, 15, None, None, None, 102, 102, 100, 105]
+    rows = [(i, f"u{n % 7}", f"<p>page {n}</p>") for n, i in enumerate(ids)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    found = [(r.page_id, r.fault) for r in QUERIES["op5_warc_fixity"](spark, str(tmp_path)).collect()]
+    expected = [(1, "missing"), (102, "missing"), (102, "missing"), (3, "changed"), (100, "changed")]
+    expected += [(2, "changed"), (105, "changed")]
+    assert sorted(found) == sorted(expected)
+    pages.where("page_id = 15 OR page_id IS NULL").write.parquet(f"{tmp_path}/sound/pages.parquet")
+    assert QUERIES["op5_warc_fixity"](spark, f"{tmp_path}/sound").count() == 0
+
+
 def test_archive_offsets_are_those_of_the_bytes(spark):
     rows = [(1, "u", "é" * 3), (2, None, None), (3, "v", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
