@@ -4,9 +4,9 @@ A document's set holds the 64-bit hashes of its distinct shingles; equal sets ar
 start. Two sets link when ``100 * common >= percent * united``, so either one has at most a fifth
 (at 80 percent) of its hashes outside the other. From there:
 
-1. *Lonely sets go.* The lowest third of each set's hashes is counted over all sets. Of two linked
-   sets the one whose third ends lower has all common hashes of its third in the other's; as their
-   sizes are alike, neither can have more than a fifth of its hashes, and one, unshared in its third.
+1. *Lonely sets go.* The lower half of each set's hashes is counted over all sets. Of two linked
+   sets the one whose half ends lower has all common hashes of its half in the other's; as their
+   sizes are alike, neither can have more than a fifth of its hashes, and one, unshared in its half.
    Sets that have more go. Counting travels in packed columns, a hash repeated within a batch as one
    entry, so a passage in a third of all documents adds a few entries per batch. Truncated hashes
    can only make a hash look shared and keep a set in.
@@ -137,8 +137,8 @@ def links_with(common: int, a: int, b: int, percent: int) -> bool:
 
 
 def counted(n: int, percent: int) -> int:
-    """Hashes of the lowest third, never fewer than those that groups go by."""
-    return max(-(-n // 3), outside(n, percent) + 1)
+    """Hashes of the lower half, never fewer than those that groups go by."""
+    return max(-(-n // 2), outside(n, percent) + 1)
 
 
 # -- reading ---------------------------------------------------------------------------------
@@ -191,7 +191,7 @@ def _six_bytes(data: np.ndarray) -> np.ndarray:
 
 
 def shared_counts(read: DataFrame, parts: int) -> DataFrame:
-    """(set48, shared): hashes of each set's lowest third that another set has there too.
+    """(set48, shared): hashes of each set's lower half that another set has there too.
 
     Sets go by the lower six bytes of their ids: sets that these do not tell apart add up, which
     can only keep them in.
@@ -449,11 +449,11 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def group_pairs(
     groups: DataFrame, sets: DataFrame, percent: int, chunk_hashes: int, compare: bool
 ) -> DataFrame:
-    """(src, dst): pairs of the sets that meet in ``groups`` (token, set, n, mark).
+    """(src, dst): marks of the sets that meet in ``groups`` (token, set, n, mark), each with the
+    least mark that it is linked with there.
 
-    Sets of one mark count as linked. With ``compare`` the sets themselves meet and the pairs are
-    links of sets, otherwise only signatures meet and the pairs are marks of sets that may link.
-    Either way there are no more pairs than join what was apart.
+    Sets of one mark count as linked. With ``compare`` the sets themselves meet, otherwise only
+    signatures do and the marks are those of sets that may link.
     """
     sizes = groups.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.sum("n").alias("hashes")
@@ -498,11 +498,11 @@ def group_pairs(
             trees = [SignatureTree(side, width) for side in sides if side]
             if len(trees) < 2 and rows[0][1] != rows[0][2]:
                 continue
-            forest, found = Forest(), []
+            forest = Forest()
             for x, y in walk(trees[0], trees[-1], forest, percent):
                 if not compare or linked(x.hashes, y.hashes, percent):
                     forest.join(x.mark, y.mark)
-                    found.append((x.name, y.name) if compare else (x.mark, y.mark))
+            found = [(x, root) for x in list(forest.parent) if (root := forest.root(x)) != x]
             if found:
                 yield [list(c) for c in zip(*found)]
 
@@ -572,6 +572,19 @@ def _group_hashes(sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(sets.select("set", "n", "hashes"), _long("token", "set", "n"), run)
 
 
+def roots_of(groups: DataFrame, sets: DataFrame, percent: int, chunk_hashes: int) -> DataFrame:
+    """(node, root) of the marks linked in ``groups``, no two of which have a mark in common.
+
+    A group that is one chunk is settled where it meets; only marks of larger ones are linked in
+    several places, which takes a search for components.
+    """
+    edges = written(group_pairs(groups, sets, percent, chunk_hashes, compare=True), "links")
+    largest = groups.groupBy("token").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > chunk_hashes:
+        return written(components(edges), "components")
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+
+
 def similar_sets(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -591,7 +604,7 @@ def similar_sets(
     )
     low_six = F.col("set").bitwiseAND(F.lit((1 << 48) - 1))
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    unshared = F.greatest(F.ceil(F.col("n") / 3), allowed) - F.coalesce("shared", F.lit(0))
+    unshared = F.greatest(F.ceil(F.col("n") / 2), allowed) - F.coalesce("shared", F.lit(0))
     left = (
         distinct.withColumn("set48", low_six)
         .join(shared, "set48", "left")
@@ -600,12 +613,12 @@ def similar_sets(
     )
     sets = written(_full_sets(docs, written(left, "chosen"), shingle), "sets")
     lows = _group_hashes(sets, percent)
+    lows = lows.repartition("token")  # moved once, for the count and for the join
     repeated = lows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     meeting = written(lows.join(repeated, "token"), "groups")
     first = meeting.groupBy("set", "n").agg(F.min("token").alias("token"))
     alone = first.withColumn("mark", F.col("set"))
-    links = written(group_pairs(alone, sets, percent, chunk_hashes, compare=True), "links")
-    so_far = written(components(links), "components")
+    so_far = roots_of(alone, sets, percent, chunk_hashes)
     marked = meeting.join(so_far, meeting.set == so_far.node, "left").select(
         "token", "set", "n", F.coalesce("root", "set").alias("mark")
     )
@@ -638,12 +651,13 @@ def similar_sets(
     gathered = members.join(blocks, members.mark == blocks.node).select(
         F.col("root").alias("token"), "set", "n", "mark"
     )
-    more = written(group_pairs(gathered, sets, percent, chunk_hashes, compare=True), "links")
-    roots = components(links.unionAll(more))
+    roots = roots_of(gathered, sets, percent, chunk_hashes)
+    first_roots = so_far.select(F.col("node").alias("set"), F.col("root").alias("mark"))
     named = (
-        distinct.join(roots, distinct.set == roots.node, "left")
-        .withColumn("root", F.coalesce("root", "set"))
-        .select("set", "least", "root")
+        distinct.join(first_roots, "set", "left")
+        .withColumn("mark", F.coalesce("mark", "set"))
+        .join(roots, F.col("mark") == roots.node, "left")
+        .select("set", "least", F.coalesce("root", "mark").alias("root"))
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").select("set", "component_id")
