@@ -18,13 +18,13 @@ from dockpulse.plans.refresh import refresh
 from dockpulse.plans.workbooks import scan_workbooks
 from dockpulse.schemas import SECTION_KEYS, SECTIONS
 from dockpulse.session import scratch_dir
-from dockpulse.sources.export import sections_to_json
+from dockpulse.sources.export import load_records, section_from_json, sections_to_json
 from dockpulse.sources.files import classify_files, latest_file
 from dockpulse.sources.reports import read_scans
 from dockpulse.sources.store import SnapshotStore
 from dockpulse.sources.workbook import workbook_table
-from dockpulse.streaming.activity import append_activity, read_activity
-from dockpulse.streaming.feed import follow_changes
+from dockpulse.streaming.activity import ActivityLog, append_activity
+from dockpulse.streaming.feed import CommittedFeed, follow_changes
 from dockpulse.streaming.refresh import announced_arrivals, start_refresh
 from dockpulse.streaming.scans import write_clean_scans
 
@@ -126,6 +126,13 @@ def _sections_to_json(spark, sf):
     )
 
 
+def _section_from_json(spark, sf):
+    """Sections written as JSON lines, one of them read back with its types."""
+    path = scratch_dir(spark, "sections-json")
+    _sections_to_json(spark, sf).write.json(path)
+    return section_from_json(load_records(spark, path), "serials")
+
+
 def _section_counts(spark, sf):
     current = given.current(spark, sf)
     return freshness.section_counts(
@@ -193,13 +200,9 @@ def _stream_refresh(spark, sf):
 def _stream_change_feed(spark, sf):
     """Changes delivered to a follower of the streamed store."""
     store = _streamed_store(spark, sf)
-    out = f"{store.base}/followed"
-
-    def deliver(changes: DataFrame, snapshot_id: str) -> None:
-        changes.drop("snapshot_id").write.mode("overwrite").parquet(f"{out}/snapshot={snapshot_id}")
-
-    _finish(follow_changes(store, deliver, f"{store.base}/follow", PARAMS, availableNow=True))
-    return spark.read.parquet(out).drop("snapshot")
+    delivered = CommittedFeed(spark, f"{store.base}/followed")
+    _finish(follow_changes(store, delivered, f"{store.base}/follow", PARAMS, availableNow=True))
+    return delivered.read().drop("snapshot_id")
 
 
 def _stream_activity(spark, sf):
@@ -209,9 +212,10 @@ def _stream_activity(spark, sf):
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf)
     )
-    log = given.activity_columns(arriving)
-    _finish(append_activity(log, f"{home}/log", f"{home}/checkpoint", availableNow=True))
-    return activity.last_activities(read_activity(spark, f"{home}/log"), ACTIVITY_KEEP)
+    log = ActivityLog(spark, f"{home}/log", ACTIVITY_KEEP)
+    events = given.activity_columns(arriving)
+    _finish(append_activity(events, log, f"{home}/checkpoint", availableNow=True))
+    return log.read()
 
 
 def _activity_metrics(spark, sf):
@@ -342,6 +346,7 @@ _QUERIES: dict[str, Query] = {
     "change_feed": _change_feed,
     "dashboard": _dashboard,
     "sections_to_json": _sections_to_json,
+    "section_from_json": _section_from_json,
     "section_counts": _section_counts,
     "snapshot_freshness": lambda spark, sf: freshness.snapshot_freshness(
         given.refresh_history(spark, sf), FRESHNESS_AS_OF, FRESHNESS_MAX_AGE

@@ -604,6 +604,9 @@ FROM orders""",
         "sections_to_json": _on_current(
             _records({n: _NOW[n] for n in ("progress", "deliveries", "serials")})
         ),
+        "section_from_json": _on_current(
+            f"SELECT *, CAST(NULL AS VARCHAR) AS rescued FROM ({_NOW['serials']})"
+        ),
         "section_counts": _on_current(_as_of_counts()),
         "snapshot_freshness": _freshness(),
         "stream_scans": _on_current(serial_scans),

@@ -11,8 +11,10 @@ import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from datetime import datetime, timedelta
 from io import BytesIO
+from math import isfinite
 from xml.etree import ElementTree
 from zipfile import BadZipFile, ZipFile
+from zlib import error as ZlibError
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +29,17 @@ _ROW_SCHEMA = pa.schema(
     ]
 )
 _ROWS_PER_BATCH = 5000
+#: What damaged, encrypted or unfinished archives and parts raise.
+_DAMAGE = (
+    BadZipFile,
+    ElementTree.ParseError,
+    EOFError,
+    KeyError,
+    NotImplementedError,
+    RuntimeError,
+    ValueError,
+    ZlibError,
+)
 #: Fixed value: columns of a sheet at most.
 MAX_COLUMNS = 16384
 
@@ -94,13 +107,22 @@ def _first_sheet(archive: ZipFile) -> tuple[str, bool]:
 def _date_text(number: float, from_1904: bool) -> str | None:
     """Day count with fraction as text; a count below one is a time of day, which never rounds up
     to the next day. Counts outside the calendar give nothing."""
+    if not isfinite(number):
+        return None
     seconds = round(number * 86400)
     if 0 <= number < 1 and not from_1904:
         return str(timedelta(seconds=min(seconds, 86399))).rjust(8, "0")
     origin = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
     try:
         return str(origin + timedelta(seconds=seconds))
-    except OverflowError:
+    except (OverflowError, ValueError):
+        return None
+
+
+def _number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
         return None
 
 
@@ -120,8 +142,9 @@ def _shared_strings(archive: ZipFile) -> list[str]:
 
 
 def _sheet_rows(content: bytes) -> Iterator[dict[int, str]]:
-    """Rows of the first sheet as column number to text; empty cells are left out. The table of
-    shared strings is read when a cell first refers to it."""
+    """Rows of the first sheet as column number to text; empty cells, and those that refer to
+    nothing or hold no number where one is due, are left out. The table of shared strings is read
+    when a cell first refers to it."""
     with ZipFile(BytesIO(content)) as archive:
         shared: list[str] | None = None
         dates = _date_styles(archive)
@@ -140,9 +163,12 @@ def _sheet_rows(content: bytes) -> Iterator[dict[int, str]]:
                     continue
                 if kind == "s":
                     shared = _shared_strings(archive) if shared is None else shared
-                    text = shared[int(text)]
-                elif kind == "n" and int(cell.get("s", 0)) in dates:
-                    text = _date_text(float(text), from_1904)
+                    number = _number(text)
+                    known = number is not None and 0 <= number < len(shared)
+                    text = shared[int(number)] if known else None
+                elif kind == "n" and _number(cell.get("s", "0")) in dates:
+                    number = _number(text)
+                    text = None if number is None else _date_text(number, from_1904)
                 if text:
                     cells[column] = text
             yield cells
@@ -213,15 +239,21 @@ def workbook_columns(files: DataFrame) -> list[str]:
 
 
 def unreadable_workbooks(files: DataFrame) -> list[tuple[str, str]]:
-    """(path, error) of the workbooks that are no complete archive or have no first sheet."""
+    """(path, error) of the workbooks that are no complete archive or have no readable first sheet.
+    Every part is held against its checksum and the sheet parsed to its end, in the tasks, so that
+    damage anywhere is found before a refresh relies on the file."""
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bad = []
             for path, content in zip(batch.column("path"), batch.column("content")):
                 try:
-                    next(_sheet_rows(content.as_py()), None)
-                except (BadZipFile, ElementTree.ParseError, KeyError, ValueError, EOFError) as error:
+                    with ZipFile(BytesIO(content.as_py())) as archive:
+                        if (part := archive.testzip()) is not None:
+                            raise BadZipFile(f"{part} is damaged")
+                    for _ in _sheet_rows(content.as_py()):
+                        pass
+                except _DAMAGE as error:
                     bad.append((path.as_py(), f"{type(error).__name__}: {error}"))
             columns = [pa.array(c, pa.string()) for c in zip(*bad)] if bad else [pa.array([], pa.string())] * 2
             yield pa.RecordBatch.from_arrays(columns, ["path", "error"])

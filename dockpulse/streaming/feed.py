@@ -1,15 +1,49 @@
-"""Follow the change feed of a store."""
+"""Follow the change feed of a store, and a table that takes every change exactly once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from dockpulse.params import Params
 from dockpulse.schemas import REFRESH_LOG
-from dockpulse.sources.store import SnapshotStore
+from dockpulse.sources.manifest import Manifest
+from dockpulse.sources.paths import Paths
+from dockpulse.sources.store import CHANGE_FEED, SnapshotStore
+
+
+class CommittedFeed:
+    """A table of delivered changes, written in two steps: the rows of a snapshot, then its commit.
+
+    Rows without a commit are never read and are replaced when the delivery is repeated; a snapshot
+    that has its commit is not taken again. Whatever fails between two steps, and however often a
+    snapshot is delivered, its changes are in the table once.
+    """
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark = spark
+        self._rows = f"{base.rstrip('/')}/rows"
+        self._paths = Paths(spark)
+        self._commits = Manifest(self._paths, f"{base.rstrip('/')}/commits")
+
+    def __call__(self, changes: DataFrame, snapshot_id: str) -> None:
+        newest = self._commits.latest()
+        if newest is not None and snapshot_id <= newest:  # snapshots come oldest first
+            return
+        rows = changes.select(*CHANGE_FEED.fieldNames())
+        rows.write.mode("overwrite").parquet(f"{self._rows}/snapshot_id={snapshot_id}")
+        self._commits.add(snapshot_id)
+
+    def read(self) -> DataFrame:
+        """The changes of all committed snapshots with their ``snapshot_id``."""
+        schema = T.StructType([*CHANGE_FEED.fields, T.StructField("snapshot_id", T.StringType())])
+        newest = self._commits.latest()
+        if newest is None:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(self._rows)
+        return rows.filter(F.col("snapshot_id") <= newest)
 
 
 def follow_changes(
@@ -23,7 +57,8 @@ def follow_changes(
 
     The stream runs on the refresh log, which is written last: changes of an unfinished refresh
     are never delivered, and those of a finished one are delivered once unless the sink itself
-    fails, in which case it sees the same snapshot id again.
+    fails, in which case it sees the same snapshot id again. A ``CommittedFeed`` as the sink takes
+    each of them exactly once.
     """
 
     def on_batch(batch: DataFrame, _: int) -> None:

@@ -23,6 +23,7 @@ EAGER = {
     "latest_section",
     "change_feed",
     "dashboard",
+    "section_from_json",
     "stream_scans",
     "stream_refresh",
     "stream_change_feed",

@@ -9,7 +9,7 @@ from dockpulse.plans.dashboard import build_section, build_sections, current_ser
 from dockpulse.plans.refresh import refresh
 from dockpulse.schemas import SECTIONS, conform
 from dockpulse.session import scratch_dir
-from dockpulse.sources.export import sections_to_json
+from dockpulse.sources.export import broken_records, load_records, section_from_json, sections_to_json
 from dockpulse.sources.store import SnapshotStore
 
 HEADERS = ["Serial #", "Created by", "Created on", "Time", "Delivery", "Status", "Warehouse Number", "Pallet"]
@@ -154,3 +154,30 @@ def test_scratch_dirs_differ_and_follow_the_setting(spark):
     one, two = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert one != two
     assert one.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_records_are_read_back_with_their_types(spark, tmp_path):
+    current = current_serials(combined(spark, {"extra": {"batch": "B1", "note": None}}, {"status": "SHP", "scan_timestamp": None}))
+    sections = build_sections(current, current.filter("status = 'ASH'"), at("12:00"))
+    sections_to_json(sections, at("12:00")).write.json(f"{tmp_path}/json")
+    records = load_records(spark, f"{tmp_path}/json")
+    for name, df in sections.items():
+        back = section_from_json(records, name)
+        assert back.drop("rescued").schema.simpleString() == conform(df, SECTIONS[name]).schema.simpleString()
+        assert rows(back.drop("rescued")) == rows(conform(df, SECTIONS[name]))
+        assert back.filter("rescued is not null").count() == 0
+    assert broken_records(records).count() == 0
+
+
+def test_records_that_do_not_fit_are_kept_apart(spark):
+    good = '{"delivery":"7","created_by":"U1","scanned_count":2,"number_of_packages":4.0,"progress_percentage":50.0}'
+    further = good[:-1] + ',"lane":"L3","stops":[1,2]}'
+    texts = [good, further, good.replace("2,", '"two",'), good[:-9], "[1, 2]", "7", "", None]
+    data = [("progress", t, at("12:00")) for t in texts] + [("elsewhere", good, None), (None, good, None)]
+    records = spark.createDataFrame(data, "section string, record string, generated_at timestamp")
+    found = section_from_json(records, "progress")
+    assert rows(found, "delivery", "scanned_count", "rescued") == [
+        ("7", 2, '{"lane":"L3","stops":"[1,2]"}'),
+        ("7", 2, None),
+    ]
+    assert broken_records(records).count() == 8

@@ -5,11 +5,12 @@ import pytest
 from helpers import at, rows
 from test_store import FIRST, HEADERS, SECOND, reports
 
+from dockpulse.plans.refresh import refresh
 from dockpulse.plans.workbooks import workbook_bytes
 from dockpulse.schemas import ACTIVITY
 from dockpulse.sources.store import SnapshotStore
-from dockpulse.streaming.activity import append_activity, read_activity
-from dockpulse.streaming.feed import follow_changes
+from dockpulse.streaming.activity import ActivityLog, append_activity
+from dockpulse.streaming.feed import CommittedFeed, follow_changes
 from dockpulse.streaming.refresh import announced_arrivals, start_refresh, workbook_arrivals
 from dockpulse.streaming.scans import write_clean_scans
 
@@ -121,6 +122,32 @@ def test_announced_reports_and_their_change_feed(spark, tmp_path):
     assert seen[1][1] == store.latest("change_feed").count() > 0
 
 
+def test_changes_are_delivered_once_whatever_fails(spark, tmp_path):
+    store = SnapshotStore(spark, f"{tmp_path}/store")
+    for name, scans in (("1", FIRST), ("2", SECOND), ("3", FIRST)):
+        refresh(store, *reports(spark, *scans), name, at("11:00"))
+    feed = CommittedFeed(spark, f"{tmp_path}/feed")
+    assert feed.read().count() == 0
+    broken = CommittedFeed(spark, f"{tmp_path}/feed")
+    add, calls = broken._commits.add, []
+
+    def fails_once(snapshot_id):
+        calls.append(snapshot_id)
+        if calls.count("2") == 1 and snapshot_id == "2":
+            raise OSError("lost before its commit")
+        add(snapshot_id)
+
+    broken._commits.add = fails_once
+    with pytest.raises(Exception, match="lost before its commit"):
+        finish(follow_changes(store, broken, f"{tmp_path}/check", availableNow=True))
+    assert feed.read().filter("snapshot_id = '2'").count() == 0, "rows without a commit are not seen"
+    for checkpoint in ("check", "check", "another"):
+        finish(follow_changes(store, broken, f"{tmp_path}/{checkpoint}", availableNow=True))
+    expected = [(n, *r) for n in "123" for r in rows(store.load("change_feed", n), "section", "op", "record")]
+    assert rows(feed.read(), "snapshot_id", "section", "op", "record") == sorted(expected, key=repr)
+    assert calls.count("2") == 2 and calls.count("3") == 1
+
+
 def test_restart_repeats_no_refresh(spark, tmp_path):
     """A new checkpoint replays all arrivals; the batch finds its snapshot saved."""
     base = str(tmp_path)
@@ -158,8 +185,52 @@ def test_activity_is_appended_once(spark, tmp_path):
     events.write.parquet(f"{base}/in")
     for _ in range(2):
         stream = spark.readStream.schema(ACTIVITY).parquet(f"{base}/in")
-        finish(append_activity(stream, f"{base}/log", f"{base}/check", availableNow=True))
-        assert read_activity(spark, f"{base}/log").count() == 2
+        log = ActivityLog(spark, f"{base}/log")
+        finish(append_activity(stream, log, f"{base}/check", availableNow=True))
+        assert log.read().count() == 2
+
+
+def test_the_stored_activity_stays_bounded(spark, tmp_path):
+    """Many batches, a restart amid them, repeated batches: never more than some per user."""
+    base = str(tmp_path / "log")
+    expected: dict[str, list] = {}
+    log = ActivityLog(spark, base, keep=3, every=4)
+    for batch in range(11):
+        events = [(f"U{n % 2}", f"a{batch}", at(f"{batch + 8}:{n:02d}")) for n in range(10)]
+        for user, kind, stamp in events:
+            expected[user] = sorted([*expected.get(user, []), (stamp, kind)])[-3:]
+        df = spark.createDataFrame(events, ACTIVITY)
+        if batch == 6:  # a new session goes on where the old one was
+            log = ActivityLog(spark, base, keep=3, every=4)
+            log.append(spark.createDataFrame([("U9", "late", at("08:00"))], ACTIVITY), 2)
+        for _ in range(2):
+            log.append(df, batch)
+        assert log._stored().count() <= 2 * 3 * 5
+    assert rows(log.read(), "user_id", "timestamp", "activity_type") == sorted(
+        [(user, *kept) for user, all_kept in expected.items() for kept in all_kept], key=repr
+    )
+    tails = [p.name for p in (tmp_path / "log" / "tail").glob("batch_id=*")]
+    assert sorted(tails) == ["batch_id=10", "batch_id=8", "batch_id=9"]
+    assert len(list((tmp_path / "log" / "kept").glob("upto=*"))) == 1
+
+
+def test_a_fold_that_fails_loses_nothing(spark, tmp_path):
+    log = ActivityLog(spark, str(tmp_path), keep=2, every=100)
+    for batch in range(3):
+        log.append(spark.createDataFrame([("U1", f"a{batch}", at(f"{batch + 8}:00"))], ACTIVITY), batch)
+    before = rows(log.read())
+
+    def lost(*_):
+        raise OSError("lost")
+
+    write, log._paths.write = log._paths.write, lost
+    with pytest.raises(OSError):
+        log.fold(2)
+    assert rows(log.read()) == before
+    log._paths.write, log._paths.delete = write, lost
+    with pytest.raises(OSError):
+        log.fold(2)
+    assert rows(log.read()) == before and len(before) == 2
 
 
 def test_default_trigger_is_the_refresh_interval(spark, tmp_path):

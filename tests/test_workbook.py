@@ -173,6 +173,30 @@ def test_times_at_the_end_of_the_day_and_counts_beyond_the_calendar():
     assert _date_text(-1e9, True) is None
 
 
+def test_damage_behind_the_first_row_is_found(spark):
+    good = workbook_bytes(["a", "b"], [(i, f"text {i * 7919}") for i in range(20_000)])
+    sheet = good.index(b"xl/worksheets")
+    middle = (sheet + len(good)) // 2
+    damaged = good[:middle] + bytes(200) + good[middle + 200 :]
+    encrypted = bytearray(good)
+    for at in (encrypted.index(b"PK\x03\x04") + 6, encrypted.index(b"PK\x01\x02") + 8):
+        encrypted[at] |= 1
+    unfinished = office_workbook(SHEET + "<row>")
+    files = spark.createDataFrame(
+        [("good", good), ("damaged", damaged), ("encrypted", bytes(encrypted)), ("unfinished", unfinished)],
+        "path string, content binary",
+    )
+    assert sorted(path for path, _ in unreadable_workbooks(files)) == ["damaged", "encrypted", "unfinished"]
+
+
+def test_cells_that_cannot_be_decoded_are_missing(spark):
+    sheet = (
+        '<row><c t="s"><v>0</v></c><c t="s"><v>99</v></c><c t="s"><v>x</v></c><c s="1"><v>soon</v></c>'
+        '<c s="1"><v>inf</v></c><c s="odd"><v>7</v></c></row>'
+    )
+    assert list(_sheet_rows(office_workbook(sheet))) == [{0: "Serial #", 5: "7"}]
+
+
 def test_unreadable_workbooks(spark):
     good = workbook_bytes(["a"], [(1,)])
     files = spark.createDataFrame(
