@@ -4,9 +4,9 @@ A document's set holds the 64-bit hashes of its distinct shingles; equal sets ar
 start. Two sets link when ``100 * common >= percent * united``, so either one has at most a fifth
 (at 80 percent) of its hashes outside the other. From there:
 
-1. *Lonely sets go.* The lower half of each set's hashes is counted over all sets. Of two linked
-   sets the one whose half ends lower has all common hashes of its half in the other's; as their
-   sizes are alike, neither can have more than a fifth of its hashes, and one, unshared in its half.
+1. *Lonely sets go.* The lower three quarters of each set's hashes is counted over all sets. Of two linked
+   sets the one whose part ends lower has all common hashes of its part in the other's; as their
+   sizes are alike, neither can have more than a fifth of its hashes, and one, unshared in its part.
    Sets that have more go. Counting travels in packed columns, a hash repeated within a batch as one
    entry, so a passage in a third of all documents adds a few entries per batch. Truncated hashes
    can only make a hash look shared and keep a set in.
@@ -61,6 +61,7 @@ LEAF = 64
 FANOUT = 8
 #: Hashes that a counting task holds, about.
 PART_HASHES = 1 << 21
+MIN_PARTS = 64
 
 _U = np.uint64
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -137,37 +138,23 @@ def links_with(common: int, a: int, b: int, percent: int) -> bool:
 
 
 def counted(n: int, percent: int) -> int:
-    """Hashes of the lower half, never fewer than those that groups go by."""
-    return max(-(-n // 2), outside(n, percent) + 1)
+    """Hashes of the lower three quarters, never fewer than those that groups go by."""
+    return max(-(-3 * n // 4), outside(n, percent) + 1)
 
 
 # -- reading ---------------------------------------------------------------------------------
 
 
-def read_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, k1, k2, n, set, low): size and id of each document's set and its lowest hashes,
-    six bytes each; k1 and k2 are the key of its text."""
-    schema = StructType(
-        [
-            StructField("doc_id", LongType()),
-            StructField("k1", LongType()),
-            StructField("k2", LongType()),
-            StructField("n", LongType()),
-            StructField("set", LongType()),
-            StructField("low", BinaryType()),
-        ]
-    )
+def read_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, k1, k2, n, set): size and id of each document's set; k1 and k2 are the key of its
+    text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            sizes, names, lows = [], [], []
-            for hashes in sets_of(batch.column(3).to_pylist(), shingle):
-                sizes.append(len(hashes))
-                names.append(set_id(hashes))
-                low = hashes[: counted(len(hashes), percent)].view(np.uint16).reshape(-1, 4)[:, :3]
-                lows.append(low.tobytes())
-            yield [*batch.columns[:3], sizes, names, lows]
+            found = list(sets_of(batch.column(3).to_pylist(), shingle))
+            yield [*batch.columns[:3], [len(h) for h in found], [set_id(h) for h in found]]
 
+    schema = _long("doc_id", "k1", "k2", "n", "set")
     return map_arrow(keyed_texts(docs).select("doc_id", "k1", "k2", "body"), schema, run)
 
 
@@ -190,8 +177,8 @@ def _six_bytes(data: np.ndarray) -> np.ndarray:
     return wide.view(np.int64).ravel()
 
 
-def shared_counts(read: DataFrame, parts: int) -> DataFrame:
-    """(set48, shared): hashes of each set's lower half that another set has there too.
+def shared_counts(docs: DataFrame, shingle: int, percent: int, parts: int) -> DataFrame:
+    """(set48, shared): hashes of each set's lower part that another set has there too.
 
     Sets go by the lower six bytes of their ids: sets that these do not tell apart add up, which
     can only keep them in.
@@ -207,14 +194,14 @@ def shared_counts(read: DataFrame, parts: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            names = batch.column(0).to_numpy() & many
-            octets, offsets = octets_of(batch.column(1))
-            _, first = np.unique(names, return_index=True)
-            if not len(first):
+            lows: dict[int, np.ndarray] = {}
+            for found in sets_of(batch.column(0).to_pylist(), shingle):
+                if len(found):
+                    lows[set_id(found) & many] = found[: counted(len(found), percent)] & many
+            if not lows:
                 continue
-            lows = [_six_bytes(octets[offsets[i] : offsets[i + 1]]) for i in first.tolist()]
-            hashes = np.concatenate(lows)
-            owners = np.repeat(names[first], [len(x) for x in lows])
+            hashes = np.concatenate(list(lows.values()))
+            owners = np.repeat(np.array(list(lows)), [len(x) for x in lows.values()])
             by = np.argsort(hashes, kind="stable")
             hashes, owners = hashes[by], owners[by]
             opens = np.ones(len(hashes), bool)
@@ -272,7 +259,7 @@ def shared_counts(read: DataFrame, parts: int) -> DataFrame:
         if hashes:
             yield close()
 
-    rows = map_arrow(read.where("n > 0").select("set", "low"), packed, deal)
+    rows = map_arrow(docs.select(utf8("text")), packed, deal)
     # what is known within a batch belongs to no part and need not gather anywhere
     key = F.when(F.col("part") >= 0, F.col("part")).otherwise(
         F.pmod(F.xxhash64("hashes"), F.lit(parts)).cast("int")
@@ -593,10 +580,10 @@ def similar_sets(
     part_hashes: int = PART_HASHES,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    read = written(read_sets(docs, shingle, percent), "shingles")
-    total = read.agg(F.sum(F.octet_length("low") / 6)).first()[0] or 0
-    parts = max(1, int(total // part_hashes) + 1)
-    shared = shared_counts(read, parts)
+    read = written(read_sets(docs, shingle), "shingles")
+    total = read.agg(F.sum("n")).first()[0] or 0
+    parts = max(MIN_PARTS, total // (2 * part_hashes) + 1)
+    shared = shared_counts(docs, shingle, percent, parts)
     distinct = (
         read.where("n > 0")
         .groupBy("set", "n")
@@ -604,7 +591,7 @@ def similar_sets(
     )
     low_six = F.col("set").bitwiseAND(F.lit((1 << 48) - 1))
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    unshared = F.greatest(F.ceil(F.col("n") / 2), allowed) - F.coalesce("shared", F.lit(0))
+    unshared = F.greatest(F.ceil(F.col("n") * 3 / 4), allowed) - F.coalesce("shared", F.lit(0))
     left = (
         distinct.withColumn("set48", low_six)
         .join(shared, "set48", "left")
