@@ -3,15 +3,17 @@
 The standard library's parser streams through the page. Block elements end lines; each line has
 its characters of text and the number of tags seen since the line before. The ratios of the two
 are smoothed by a Gaussian, so that a short paragraph between long ones counts with them, and
-lines from a threshold of the page's own spread upwards form the content cluster. The cluster
-selects a region: the articles of the page if it has any, else the least element around all lines of
-the cluster. It gives all its lines, with lists, quotes, tables and nested blocks.
+lines from a threshold of the page's own spread upwards form the content cluster. Two candidates are
+weighed by their smoothed ratios: the articles of the page, which count ``LANDMARK`` times, and the
+cluster outside of them. The heavier one selects the region: the articles, or the least element
+around all lines of the cluster. It gives all its lines, with lists, quotes, tables and nested blocks.
 
 Elements that cannot hold an article (navigation, headers, footers, asides, forms, scripts, styles
 and those whose class, id or role names an advert, notice, menu, sidebar or comments) have ratio
-zero and are never selected. A name counts only as a whole class or id, which may be made of several
-such names (``cookie-notice``). An article in an element excluded by name alone is judged anew, and an
-element that holds more than half of the page's text is not excluded by name.
+zero and are never selected. A name counts as a whole class or id, or as its first or last part
+(``ad-slot``, ``site-footer``); a heading within an article may be called a header. An article in an
+element excluded by name alone is judged anew, and an element that holds more than half of the page's
+text is not excluded by name, unless the name is one of comments.
 
 Defined results: null or empty pages, and pages without text, give the empty string; unclosed
 elements end with the one around them; repeated rows are extracted row by row; an empty table
@@ -35,6 +37,10 @@ from dockpulse.llm.common import map_arrow
 #: Lines on either side that smoothing takes in, and the width of the Gaussian.
 RADIUS = 2
 SIGMA = 1.0
+#: How many times the ratios of articles count.
+LANDMARK = 40.0
+#: Part of the threshold that a line of the cluster has by its own ratio.
+OWN = 0.1
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset(
@@ -55,13 +61,17 @@ _ROLES = frozenset(
 )
 _NAME = (
     r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|consent|cookies?|disqus|"
-    r"footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|"
+    r"footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|"
     r"pagination|popup|promo\w*|recommend\w*|related|replies|respond|search|share|sidebar|signup|"
-    r"skip|social|sponsor\w*|subscribe|tags|toolbar|widget)"
+    r"skip|social|sponsor\w*|subscribe|tags|toolbar|widget{})"
 )
-_NAMES = re.compile(rf"(?:^|\s){_NAME}(?:[_-]+{_NAME})*(?:$|\s)")
-#: Stands for the tag of an element that is excluded by its name alone.
-_NAMED = "#name"
+_NAMES = {
+    inside: re.compile(rf"(?:^|\s)(?:{name}(?:[_-]\S*)?|\S*[_-]{name})(?:$|\s)")
+    for inside, name in ((True, _NAME.format("")), (False, _NAME.format("|header")))
+}
+_COMMENTS = re.compile(r"(?:^|\s)(?:comments?|replies|respond|disqus)(?:[_-]\S*)?(?:$|\s)")
+#: Stand for the tag of an element that is excluded by its name alone.
+_NAMED, _COMMENTED = "#name", "#comments"
 #: A tag, comment or declaration that the page ends in.
 _UNFINISHED = re.compile("<[A-Za-z/!?]")
 #: An element of these ends an open one of the same kind of its own accord.
@@ -129,7 +139,9 @@ class _Lines(HTMLParser):
         if excluded in ("", _NAMED):
             if self._excludes(tag, attrs, inside):
                 excluded = tag
-            elif tag not in ("html", "body") and self._is_named(attrs):
+            elif tag not in ("html", "body") and self._is_named(attrs, _COMMENTS):
+                excluded = _COMMENTED
+            elif tag not in ("html", "body") and self._is_named(attrs, _NAMES[inside]):
                 number = len(self.named)
                 self.named.append(0)
                 names = (*names, number)
@@ -219,9 +231,9 @@ class _Lines(HTMLParser):
         return False
 
     @staticmethod
-    def _is_named(attrs: list[tuple[str, str | None]]) -> bool:
+    def _is_named(attrs: list[tuple[str, str | None]], names: re.Pattern) -> bool:
         return any(
-            name in ("class", "id") and bool(_NAMES.search((value or "").lower())) for name, value in attrs
+            name in ("class", "id") and bool(names.search((value or "").lower())) for name, value in attrs
         )
 
 
@@ -251,15 +263,21 @@ def main_text(html: str) -> str:
     lengths = np.array([len(t) for t in page.texts], float)
     ratios = np.where(allowed, lengths / np.maximum(page.tags, 1), 0.0)
     smooth = np.where(allowed, smoothed(ratios), 0.0)
-    content = allowed & (smooth >= smooth.std())
+    # A line of links beside long text has its neighbours' weight, but none of its own.
+    content = allowed & (smooth >= smooth.std()) & (ratios >= OWN * smooth.std())
     if not content.any():  # no line stands out
         content = allowed
     regions = np.array(page.regions)
     articles = {r for r in set(regions[allowed].tolist()) if page.landmark[r]}
-    if articles:
+    in_article = allowed & np.isin(regions, list(articles))
+    elsewhere = content & ~in_article
+    # Each candidate is smoothed by itself: lines of one lend no weight to the other.
+    landmark = LANDMARK * smoothed(ratios[in_article]).sum() if articles else 0.0
+    others = smoothed(ratios[elsewhere]).sum() if elsewhere.any() else 0.0
+    if articles and landmark >= others:
         chosen = articles
     else:
-        chosen = page.around_all(set(regions[content].tolist()))
+        chosen = page.around_all(set(regions[elsewhere if elsewhere.any() else content].tolist()))
     kept = [
         text
         for text, region, may in zip(page.texts, page.regions, page.allowed)

@@ -54,3 +54,43 @@ def test_a_small_article_in_a_named_element_is_judged_anew():
 def test_headings_in_an_entry_header_stay():
     html = page("<article><div class='entry-header'><h1>Head</h1></div><p>Text.</p><p class='ad'>Buy</p></article>")
     assert html_text.main_text(html) == "Head\nText."
+
+
+TEXT = "<p>" + "</p><p>".join(LONG[:2]) + "</p>"
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        "<div class=comments-area><p>What a very nice text this is, thank you.</p></div>",
+        "<div id=comments>" + f"<p>{LONG[5]}</p>" * 9 + "</div>",
+        "<div class='site-header'>A site of texts</div>",
+        "<div class=site-footer><p>All rights reserved by all of us here</p></div>",
+        "<div id=comments><article class=comment-body><p>I have read this twice.</p></article></div>",
+        "<div class=replies><article><p>Me too.</p></article></div>",
+    ],
+)
+def test_names_with_further_parts_exclude(noise):
+    for content in (f"<div>{TEXT}</div>", f"<article>{TEXT}</article>"):
+        assert html_text.main_text(page(content + noise)).split("\n") == LONG[:2]
+        assert html_text.main_text(page(noise + content)).split("\n") == LONG[:2]
+
+
+@pytest.mark.parametrize("name", ["comment-list", "share-buttons", "related-posts", "ad-slot", "article-share"])
+def test_named_parts_of_an_article_go(name):
+    html = page(f"<article>{TEXT}<ol class={name}><li>one of several further things</li></ol></article>")
+    assert html_text.main_text(html).split("\n") == LONG[:2]
+
+
+def test_the_cluster_overrules_a_landmark():
+    """The ratios alone decide: the same teaser is passed over beside long text, and taken alone."""
+    teaser = "<article><p>Teaser</p></article>"
+    assert html_text.main_text(page(f"<div>{TEXT}</div>{teaser}")).split("\n") == LONG[:2]
+    assert html_text.main_text(page(f"<div>{teaser}{TEXT}</div>")).split("\n") == ["Teaser", *LONG[:2]]
+    assert html_text.main_text(page(f"<div>by me</div>{teaser}")) == "Teaser"
+
+
+def test_without_landmarks_the_ratios_decide():
+    links = "".join(f"<span><a href=/{i}>link {i}</a></span> " for i in range(40))
+    html = page(f"<div><p>{links}</p></div><div>{TEXT}</div><div><p>{links}</p></div>")
+    assert html_text.main_text(html).split("\n") == LONG[:2]
