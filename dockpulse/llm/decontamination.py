@@ -6,9 +6,11 @@ tracks the longest run of words, ending at the current one, that occurs in any i
 occurrence of a window is a hit. Items are known by state: the state whose strings include the
 last ``window`` words lists the items they occur in.
 
-The automaton is broadcast, so it is held to ``SHARD_WORDS`` item words. A larger benchmark is
-split by a hash of its rows into as many automata as that takes, through which the documents pass
-one after the other; passes are narrow and nothing is shuffled.
+The automaton is broadcast, so it is held to about ``SHARD_WORDS`` item words. A larger benchmark is
+split by a hash of its rows into as many automata as that takes, longer items into pieces that share
+all but one word of a window. The documents pass through one automaton after the other: each is
+built, broadcast, used for a pass whose result is written, and released before the next one, so
+neither driver nor workers hold more than one. Passes are narrow and nothing is shuffled.
 
 Defined results: a null or empty text has no words, is never hit and its coverage is 0; an item
 without words matches nothing; a null item_id counts as an item named by the empty string;
@@ -36,7 +38,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from dockpulse.llm.common import map_arrow, utf8
+from dockpulse.llm.common import map_arrow, utf8, written
 
 WINDOW = 10
 #: Words of all items in one automaton at most (some 100 MB of states in each Python worker).
@@ -199,17 +201,37 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _shards(benchmark: DataFrame, shard_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in groups of about ``shard_words`` words, one group on the driver at a time."""
+def _shards(
+    benchmark: DataFrame, window: int, shard_words: int
+) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many, and items in groups of about ``shard_words`` words, one on the driver at a time."""
+    schema = StructType([StructField("name", StringType()), StructField("body", BinaryType())])
+    step = max(1, shard_words // 4)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            names, bodies = [], []
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(body)
+                for start in range(0, max(1, len(words) - window + 1), step):
+                    names.append(name)
+                    bodies.append(b" ".join(words[start : start + step + window - 1]))
+            yield [names, bodies]
+
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), utf8("text").alias("body")
     )
+    pieces = map_arrow(items, schema, cut)
     # A word and its separator take two bytes at least.
-    total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    total = pieces.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     count = max(1, -(-total // (2 * shard_words)))
-    for shard in range(count):
-        mine = items.where(F.pmod(F.xxhash64("name", "body"), F.lit(count)) == shard)
-        yield [(row.name, bytes(row.body)) for row in mine.collect()]
+
+    def groups() -> Iterator[list[tuple[str, bytes]]]:
+        for shard in range(count):
+            mine = pieces.where(F.pmod(F.xxhash64("name", "body"), F.lit(count)) == shard)
+            yield [(row.name, bytes(row.body)) for row in mine.collect()]
+
+    return count, groups()
 
 
 def _hit_rows(
@@ -235,11 +257,8 @@ def _hit_rows(
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"), utf8("text").alias("body")
     )
-    spark = docs.sparkSession
-    automata = [
-        spark.sparkContext.broadcast(Automaton([(n, words_of(b)) for n, b in shard], window))
-        for shard in _shards(benchmark, shard_words)
-    ]
+    context = docs.sparkSession.sparkContext
+    count, shards = _shards(benchmark, window, shard_words)
     out = StructType([StructField("doc", kept), *columns])
 
     def scanning(automaton, last: bool):
@@ -268,9 +287,13 @@ def _hit_rows(
 
         return run
 
-    for number, automaton in enumerate(automata):
-        last = number == len(automata) - 1
-        rows = map_arrow(rows, out if last else passing, scanning(automaton, last))
+    for number, shard in enumerate(shards, 1):
+        automaton = context.broadcast(Automaton([(n, words_of(b)) for n, b in shard], window))
+        if number == count:
+            rows = map_arrow(rows, out, scanning(automaton, True))
+        else:
+            rows = written(map_arrow(rows, passing, scanning(automaton, False)), "decontamination")
+            automaton.destroy()
     return rows
 
 
