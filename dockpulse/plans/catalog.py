@@ -11,6 +11,7 @@ from dockpulse.operators import activity, cleaning, diff, events, freshness, hea
 from dockpulse.operators import progress as packing
 from dockpulse.operators import scan_times as scanning
 from dockpulse.operators import serials as serial
+from dockpulse.operators import slices
 from dockpulse.operators import users as people
 from dockpulse.plans import canonical as given
 from dockpulse.plans.canonical import CURRENT, PARAMS, PREVIOUS, Snapshot
@@ -46,6 +47,16 @@ def _users(spark: SparkSession, sf: str, snapshot: Snapshot = CURRENT) -> DataFr
     return people.user_activity(given.core(spark, sf, snapshot), snapshot.as_of, WINDOW)
 
 
+def _users_from_slices(spark, sf):
+    """The users section merged from slices that were saved by day."""
+    home = scratch_dir(spark, "slices")
+    core = given.core(spark, sf)
+    slices.scan_slices(core).write.partitionBy("day").parquet(f"{home}/slices")
+    slices.known_users(core).write.parquet(f"{home}/users")
+    saved = spark.read.parquet(f"{home}/slices"), spark.read.parquet(f"{home}/users")
+    return slices.users_from_slices(*saved, CURRENT.as_of, WINDOW)
+
+
 def _pair(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, DataFrame]:
     """A section in the current and in the previous snapshot."""
     now = given.section(spark, sf, name, CURRENT, PREVIOUS)
@@ -306,6 +317,7 @@ _QUERIES: dict[str, Query] = {
     "latest_two_scans": lambda spark, sf: scanning.latest_two_scans(given.core(spark, sf)),
     # users
     "users": _section("users"),
+    "users_from_slices": _users_from_slices,
     "users_idle_fallback": lambda spark, sf: people.user_activity(
         given.core(spark, sf), "2005-01-01 00:00:00"
     ),

@@ -559,6 +559,7 @@ FROM orders""",
         ),
         "scan_gap_label": _on_current(_gap_label()),
         "latest_two_scans": _on_current(_two_scans()),
+        "users_from_slices": _on_current(_NOW["users"]),
         "users_idle_fallback": _on_current(_idle_users()),
         "recent_scans": _on_current(
             f"SELECT * FROM current_cur WHERE created_by IS NOT NULL AND scan_timestamp >= "

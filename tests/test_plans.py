@@ -24,6 +24,7 @@ EAGER = {
     "change_feed",
     "dashboard",
     "section_from_json",
+    "users_from_slices",
     "stream_scans",
     "stream_refresh",
     "stream_change_feed",
