@@ -192,7 +192,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         _, excluded, _, _, muted, names = self._open[-1]
-        if excluded in ("", _NAMED):
+        if excluded in ("", _NAMED, _COMMENTED):
             length = len("".join(data.split()))
             self.characters += length
             for number in names:
