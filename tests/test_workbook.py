@@ -5,11 +5,12 @@ from datetime import datetime
 from io import BytesIO
 from zipfile import ZipFile
 
+import pandas as pd
 import pytest
 from conftest import ROOT
-from helpers import rows
+from helpers import plan, rows
 
-from dockpulse.plans.workbooks import scan_workbooks, workbook_bytes
+from dockpulse.plans.workbooks import scan_workbooks, table_bytes, workbook_bytes
 from dockpulse.sources.files import classify_files, latest_file, list_files
 from dockpulse.sources.reports import load_report, read_scans
 from dockpulse.sources.workbook import (
@@ -18,6 +19,7 @@ from dockpulse.sources.workbook import (
     unreadable_workbooks,
     workbook_columns,
     workbook_rows,
+    workbook_table,
 )
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -203,3 +205,29 @@ def test_unreadable_workbooks(spark):
         [("good.xlsx", good), ("cut.xlsx", good[:-30]), ("text.xlsx", b"hello")], "path string, content binary"
     )
     assert sorted(path for path, _ in unreadable_workbooks(files)) == ["cut.xlsx", "text.xlsx"]
+
+
+def test_tables_are_written_as_their_rows_are():
+    table = pd.DataFrame(
+        {
+            "Text": ["a<b>", None, "", "NaN"],
+            "Day": pd.to_datetime(["2024-03-01 10:20:30", None, "2024-03-01 10:20:30", "1999-01-01"]),
+            "Number": [1.5, float("nan"), -0.0, 0.0],
+            "Whole": [1, 2, 3, 4],
+            "Open": pd.Series([True, None, 7, "x"], dtype=object),
+        }
+    )
+    whole = workbook_bytes(table.columns, table.astype(object).itertuples(index=False))
+    assert list(_sheet_rows(table_bytes(table))) == list(_sheet_rows(whole))
+
+
+def test_tables_are_decoded_without_a_map_of_each_row(spark):
+    # the second header is numbered, cells below no header are called by their place
+    content = workbook_bytes(["Delivery", "Delivery", None, "column_3"], [(1, 2, "x", "y"), (None, 7, None, "z"), (None,) * 4])
+    files = spark.createDataFrame([("a.xlsx", bytearray(content))], "path string, content binary")
+    names = ["column_3", "delivery", "delivery_2", "nowhere", "delivery"]
+    table = workbook_table(files, names)
+    assert table.columns == names and "map" not in plan(table.select("column_3")).lower().replace("mapinarrow", "")
+    expected = [tuple(r) for r in workbook_rows(files).selectExpr(*[f"cells['{n}']" for n in names]).collect()]
+    assert [tuple(r) for r in table.collect()] == expected
+    assert expected[0] == ("x", "1", "2", None, "1") and expected[1] == ("z", None, "7", None, None)
