@@ -206,3 +206,13 @@ def test_the_order_of_rows_does_not_matter_but_their_number_does(spark, store):
         store.save_digests(name, ["deliveries"])
     assert store.differing_slots("2", "1")["deliveries"] == []
     assert len(store.differing_slots("3", "1")["deliveries"]) == 1
+
+
+def test_slots_are_not_named_when_most_differ(spark, store):
+    refresh(store, *many(spark, 1000), "1", at("11:00"))
+    refresh(store, *many(spark, 1000, shipped_from=0), "2", at("12:00"))
+    slots = store.differing_slots("2", "1")
+    assert slots["serials"] is None and slots["users"] != []
+    feed = store.load("change_feed", "2").filter("section = 'serials'")
+    assert rows(feed.groupBy("op").count(), "op", "count") == [("added", 1000), ("removed", 1000)]
+    assert store.load("serials", "2", []).count() == 0

@@ -181,3 +181,12 @@ def test_records_that_do_not_fit_are_kept_apart(spark):
         ("7", 2, None),
     ]
     assert broken_records(records).count() == 8
+    assert not store._paths.exists(f"{store.base}/current/snapshot_id=1")
+
+
+def test_reports_with_rows_are_not_read_for_being_empty(spark, store, monkeypatch):
+    raw, packages = reports(spark, *FIRST)
+    plain, asked = type(raw).isEmpty, []
+    monkeypatch.setattr(type(raw), "isEmpty", lambda df: asked.append(df.columns) or plain(df))
+    assert refresh(store, raw, packages, "1", at("11:00"))["serials"] == 2
+    assert not [columns for columns in asked if "delivery" in columns]
