@@ -136,3 +136,15 @@ def test_day_first_reaches_every_cast(spark, day_first):
         True: [("S1", datetime(2024, 1, 2), datetime(2024, 1, 2, 10)), ("S2", datetime(2024, 2, 13), datetime(2024, 2, 13, 10))],
     }
     assert rows(found, "serial_number", "created_on", "scan_timestamp") == expected[day_first]
+
+
+def test_maps_are_moved_once_by_the_deduplication(spark):
+    df = spark.createDataFrame(
+        [("S1", "ASH", {"b": "2", "a": None}), ("S1", "ASH", {"a": "1", "b": "2"}), (None, "SHP", None)],
+        "serial_number string, status string, extra map<string,string>",
+    )
+    found = dedup_serials(df)
+    assert "array_sort" not in plan(found) and plan(found).count("map_entries") == 1
+    assert rows(found, "serial_number", "extra") == [("S1", {"a": None, "b": "2"}), (None, None)]
+    packages = df.selectExpr("serial_number AS delivery", "1 AS number_of_packages", "extra")
+    assert plan(one_row_per_delivery(packages)).count("map_entries") == 1
