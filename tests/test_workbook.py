@@ -211,7 +211,7 @@ def test_tables_are_written_as_their_rows_are():
     table = pd.DataFrame(
         {
             "Text": ["a<b>", None, "", "NaN"],
-            "Day": pd.to_datetime(["2024-03-01 10:20:30", None, "2024-03-01 10:20:30", "1999-01-01"]),
+            "Day": pd.to_datetime(["2024-03-01 10:20:30", None, "2024-03-01 10:20:30", "1999-01-01 00:00:00"]),
             "Number": [1.5, float("nan"), -0.0, 0.0],
             "Whole": [1, 2, 3, 4],
             "Open": pd.Series([True, None, 7, "x"], dtype=object),
